@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import in_fold, table, written
 
 CLASHING_TURN = "<|im_end|><|im_start|>assistant ok"
 
@@ -16,6 +16,24 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import Discriminant, class_moments, document_statistics, score_quality
+
+    features = written(document_statistics(table(spark, sf_dir, "documents")), "quality-statistics")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(F.col("label").isin(0, 1) & ~in_fold(F.col("doc_id"), 5, 0))
+    model = Discriminant(class_moments(features.join(labels, "doc_id")))
+    return score_quality(features, model).select("doc_id", F.coalesce(in_fold(F.col("doc_id"), 5, 0), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import LanguageModel, identify_language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = LanguageModel.learn(docs.where(~in_fold(F.col("doc_id"), 3, 1)))
+    found = identify_language(docs, model, spans=False)
+    return found.select("doc_id", F.coalesce(in_fold(F.col("doc_id"), 3, 1), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import conversation_digests, format_conversations
 
@@ -32,7 +50,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op8_chat_format, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_quality, op7_language_id, op8_chat_format, op9_token_counts)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
