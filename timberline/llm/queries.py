@@ -25,6 +25,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(features, model).select("doc_id", F.coalesce(in_fold(F.col("doc_id"), 5, 0), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import LanguageModel, identify_language
 
@@ -50,7 +56,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_quality, op7_language_id, op8_chat_format, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_quality, op6_suffix_dedup, op7_language_id, op8_chat_format, op9_token_counts)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
