@@ -25,6 +25,18 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(features, model).select("doc_id", F.coalesce(in_fold(F.col("doc_id"), 5, 0), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+#: A source's domain: the number at its end modulo 4, for want of a column.
+DOMAIN = "concat('d', pmod(try_cast(regexp_extract(source, '([0-9]+)$', 1) as int), 4))"
+WEIGHTS = {"domain": {"d0": 3.0, "d1": 2.0, "d2": 1.0, "d3": 1.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents"), F.expr(DOMAIN), fraction=0.6, weights=WEIGHTS, max_epochs=2)
+    return mixed.select("doc_id", "mix_domain", "mix_lang", "mix_source", "mix_tokens", "mix_epoch")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
@@ -56,9 +68,51 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_quality, op6_suffix_dedup, op7_language_id, op8_chat_format, op9_token_counts)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_contamination
+
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_quality, op5_mixing, op6_suffix_dedup, op7_language_id, op8_chat_format, op9_token_counts, op10_decontamination)}
+
+def _filled(level: str, parent: str, weight: str, keys: list[str]) -> str:
+    """SQL of one level of the mixing budget: shares of the nodes of ``keys`` within their parents."""
+    by = ", ".join(keys[:-1]) or "0"
+    above = f"JOIN {parent} p USING ({by})" if keys[:-1] else ""
+    budget = "p.budget" if keys[:-1] else "(SELECT 0.6 * sum(tokens) FROM leaves)"
+    names = ", ".join(keys)
+    return f"""
+        {level}_n AS (SELECT {names}, capacity, weight, {budget} AS budget, capacity / weight AS level FROM (
+            SELECT {names}, sum(tokens) * 2.0 AS capacity, any_value({weight}) AS weight FROM leaves GROUP BY {names}) n {above}),
+        {level}_f AS (SELECT *, coalesce(sum(capacity) OVER (PARTITION BY {by} ORDER BY level, {names} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+            + level * sum(weight) OVER (PARTITION BY {by} ORDER BY level, {names} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= budget AS is_full FROM {level}_n),
+        {level} AS (SELECT {names}, CASE WHEN is_full THEN capacity ELSE weight * (budget - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER (PARTITION BY {by}))
+            / sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER (PARTITION BY {by}) END AS budget FROM {level}_f)"""
+
+
+def _case(name: str, weights: dict[str, float]) -> str:
+    return f"CASE {name} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1.0 END"
+
+
+_TREE = ["mix_domain", "mix_lang", "mix_source"]
+_MIXING_SQL = f"""
+        WITH d AS (
+          SELECT doc_id, coalesce('d' || (CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS INT) % 4), 'unknown') AS mix_domain,
+                 coalesce(lang, 'unknown') AS mix_lang, coalesce(source, 'unknown') AS mix_source,
+                 CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+')) AS BIGINT) AS mix_tokens FROM documents),
+        leaves AS (SELECT mix_domain, mix_lang, mix_source, CAST(sum(mix_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL),
+        {_filled("by_domain", "", _case("mix_domain", WEIGHTS["domain"]), _TREE[:1])},
+        {_filled("by_lang", "by_domain", _case("mix_lang", WEIGHTS["lang"]), _TREE[:2])},
+        {_filled("by_source", "by_lang", "1.0", _TREE)},
+        plan AS (SELECT {", ".join(_TREE)}, CASE WHEN tokens > 0 THEN CAST(floor((budget + 1e-6) / tokens) AS INT) ELSE 0 END AS epochs, budget, tokens FROM leaves JOIN by_source USING ({", ".join(_TREE)})),
+        o AS (SELECT d.*, epochs, CAST(floor(budget - epochs * tokens + 1e-6) AS BIGINT) AS rest, md5('17:' || (epochs + 1) || ':' || doc_id) AS digest FROM d JOIN plan USING ({", ".join(_TREE)})),
+        c AS (SELECT *, sum(mix_tokens) OVER (PARTITION BY {", ".join(_TREE)} ORDER BY digest) <= rest AS in_prefix FROM o)
+        SELECT doc_id, {", ".join(_TREE)}, mix_tokens, CAST(e AS INT) AS mix_epoch FROM c, (VALUES (1), (2)) v(e)
+        WHERE e <= epochs OR (e = epochs + 1 AND in_prefix)"""
 
 ORACLE_SQL = {
+    "op5_mixing": _MIXING_SQL,
     "op2_exact_dedup": """
         WITH n AS (
           SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
