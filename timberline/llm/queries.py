@@ -10,12 +10,24 @@ from ._spark import in_fold, table, written
 CLASHING_TURN = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), ~in_fold(F.col("doc_id"), 7, 2))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_duplicates
 
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import Discriminant, class_moments, document_statistics, score_quality
 
@@ -74,7 +86,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_quality, op5_mixing, op6_suffix_dedup, op7_language_id, op8_chat_format, op9_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_near_dedup, op4_quality, op5_mixing, op6_suffix_dedup, op7_language_id, op8_chat_format, op9_token_counts, op10_decontamination)}
 
 def _filled(level: str, parent: str, weight: str, keys: list[str]) -> str:
     """SQL of one level of the mixing budget: shares of the nodes of ``keys`` within their parents."""
