@@ -236,3 +236,29 @@ def identify_language(docs: DataFrame, model: LanguageModel, penalty: float = 8.
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     return rows.mapInArrow(run, schema)
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text gets a language; the others are rejected.
+
+    Rows stay where they are: texts pass through the task that labels them.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.scores, model.barred))
+    mark = "__lettered"
+    while mark in docs.columns:
+        mark += "_"
+
+    def run(batches):
+        here = LanguageModel.__new__(LanguageModel)
+        here.langs, here.scores, here.barred = shared.value
+        for batch in batches:
+            keep = np.array(batch.column(mark).to_pylist(), dtype=bool) & bool(here.langs)
+            if keep.any():
+                data, offsets = column_bytes(batch.column(text_col), lower=True)
+                for a, b in blocks(offsets, DECODE_BYTES):
+                    _, score, _ = _decode(here, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], penalty, False)
+                    keep[a:b] &= np.isfinite(score)
+            names = [n for n in batch.schema.names if n != mark]
+            yield batch.select(names).filter(pa.array(keep))
+
+    return docs.withColumn(mark, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)
