@@ -211,54 +211,59 @@ def _decode(model: LanguageModel, data: np.ndarray, offsets: np.ndarray, penalty
     return code, score, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_doc)]), pa.int32()), items)
 
 
+def _labels(model: LanguageModel, texts: pa.Array, lettered: np.ndarray, penalty: float, spans: bool):
+    """(first row, last row, names, scores, spans) of a batch, in runs of DECODE_BYTES."""
+    data, offsets = column_bytes(texts, lower=True)
+    for a, b in blocks(offsets, DECODE_BYTES):
+        if model.langs:
+            code, score, found = _decode(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], penalty, spans)
+            yield a, b, np.where(lettered[a:b], np.array(model.langs, dtype=object)[code], "und"), np.where(lettered[a:b], score, 0.0), found
+        else:
+            yield a, b, np.full(b - a, "und", dtype=object), np.zeros(b - a), pa.array([[]] * (b - a), pa.list_(SPAN))
+
+
+def _received(shared) -> LanguageModel:
+    model = LanguageModel.__new__(LanguageModel)
+    model.langs, model.scores, model.barred = shared.value
+    return model
+
+
 def identify_language(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, spans: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score and, if asked for, spans (byte ranges with their language) of each row."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.langs, model.scores, model.barred))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.scores, model.barred))
     schema = "doc_id long, lang_pred string, score double" + (", spans array<struct<start:int,end:int,lang:string>>" if spans else "")
 
     def run(batches):
-        here = LanguageModel.__new__(LanguageModel)
-        here.langs, here.scores, here.barred = shared.value
+        here = _received(shared)
         for batch in batches:
             lettered = np.array(batch.column("lettered").to_pylist(), dtype=bool)
-            data, offsets = column_bytes(batch.column("text"), lower=True)
-            for a, b in blocks(offsets, DECODE_BYTES):
-                some = lettered[a:b]
-                if here.langs:
-                    code, score, found = _decode(here, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], penalty, spans)
-                    names = np.where(some, np.array(here.langs, dtype=object)[code], "und")
-                    score = np.where(some, score, 0.0)
-                else:
-                    names, score, found = np.full(b - a, "und", dtype=object), np.zeros(b - a), pa.array([[]] * (b - a), pa.list_(SPAN))
-                columns = [batch.column("doc_id")[a:b], pa.array(names, pa.string()), pa.array(score)]
+            for a, b, names, scores, found in _labels(here, batch.column("text"), lettered, penalty, spans):
+                columns = [batch.column("doc_id")[a:b], pa.array(names, pa.string()), pa.array(scores)]
                 yield pa.RecordBatch.from_arrays(columns + [found] * spans, ["doc_id", "lang_pred", "score"] + ["spans"] * spans)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
-    return rows.mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _lettered(text_col).alias("lettered")).mapInArrow(run, schema)
+
+
+def _lettered(text_col: str):
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text gets a language; the others are rejected.
+    """The rows of ``docs``, all columns, that identify_language doesn't call ``und``.
 
     Rows stay where they are: texts pass through the task that labels them.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.scores, model.barred))
-    mark = "__lettered"
+    mark = "lettered"
     while mark in docs.columns:
         mark += "_"
 
     def run(batches):
-        here = LanguageModel.__new__(LanguageModel)
-        here.langs, here.scores, here.barred = shared.value
+        here = _received(shared)
         for batch in batches:
-            keep = np.array(batch.column(mark).to_pylist(), dtype=bool) & bool(here.langs)
-            if keep.any():
-                data, offsets = column_bytes(batch.column(text_col), lower=True)
-                for a, b in blocks(offsets, DECODE_BYTES):
-                    _, score, _ = _decode(here, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], penalty, False)
-                    keep[a:b] &= np.isfinite(score)
-            names = [n for n in batch.schema.names if n != mark]
-            yield batch.select(names).filter(pa.array(keep))
-
-    return docs.withColumn(mark, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)
+            lettered = np.array(batch.column(mark).to_pylist(), dtype=bool)
+            rows = batch.select([n for n in batch.schema.names if n != mark])
+            for a, b, names, _, _ in _labels(here, batch.column(text_col), lettered, penalty, False):
+                yield rows[a:b].filter(pa.array(names != "und"))
+
+    return docs.withColumn(mark, _lettered(text_col)).mapInArrow(run, docs.schema)
