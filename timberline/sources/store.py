@@ -22,7 +22,7 @@ class EntryStore:
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.schema = spark, path, None
 
     def replace(self, entries: DataFrame) -> None:
         """Write a batch. Only the partitions it has are overwritten, so repeating a batch changes nothing."""
@@ -31,7 +31,8 @@ class EntryStore:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*DAY_COLUMNS).parquet(self.path)
 
     def read(self, source: str | None = None, file: str | None = None) -> DataFrame:
-        out = self.spark.read.option("mergeSchema", "false").parquet(self.path)
+        reader = self.spark.read.schema(self.schema) if self.schema else self.spark.read
+        out = reader.parquet(self.path)
         if source is not None:
             out = out.where(F.col("source_key") == source)
         if file is not None:
@@ -41,7 +42,7 @@ class EntryStore:
     def _rewrite(self, keep, touched: DataFrame, to: str) -> None:
         """Write the kept rows beside the store; readers switch by path, nothing is read and overwritten at once."""
         touched.where(keep).write.mode("overwrite").partitionBy(*DAY_COLUMNS).parquet(to)
-        self.path = to
+        self.path, self.schema = to, touched.schema  # an empty version has no file to tell its schema
 
     def purge_source(self, source: str, to: str) -> None:
         """Drop a source: a new version of the store without its partitions."""
