@@ -138,10 +138,12 @@ def _matches(tests: TestSet, data: np.ndarray, offsets: np.ndarray, least: float
     seed = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     place = np.repeat(at[hit], times)
     item, shift, row = tests.seed_item[seed], tests.seed_at[seed], rows[place]
+    if not len(row):
+        return
     order = np.lexsort((place, item, row))
     place, item, shift, row = place[order], item[order], shift[order], row[order]
     bounds = np.searchsorted(rows, np.arange(len(offsets)))
-    cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]))) if len(row) else []
+    cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])))
     for a, b in zip(cut, np.append(cut[1:], len(row)), strict=True):
         target, r = tests.item(item[a]), row[a]
         size = len(target)
