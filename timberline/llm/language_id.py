@@ -117,6 +117,9 @@ class LanguageModel:
     def __init__(self, langs: list[str], counts: np.ndarray, smoothing: float = 0.5, script_share: float = 0.001):
         self.langs = langs
         self.scores = np.zeros((SLOTS, len(langs)), dtype=np.float32)
+        self.barred = np.zeros((len(SCRIPTS), len(langs)), dtype=np.float32)
+        if not langs:
+            return
         for part, weight in ((slice(0, TRIGRAMS), 1.0), (slice(TRIGRAMS, TRIGRAMS + WORDS), 0.5)):
             c = counts[part].astype(float) + smoothing
             logs = np.log(c / c.sum(axis=0))

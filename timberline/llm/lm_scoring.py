@@ -209,7 +209,7 @@ def learn_weights(cells: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndar
     for _ in range(rounds):
         each = weights[octave] * parts
         each *= (n / np.maximum(each.sum(axis=1), 1e-300))[:, None]
-        sums = np.stack([np.bincount(octave, weights=each[:, k], minlength=OCTAVES) for k in range(3)], axis=1)
+        sums = np.stack([np.bincount(octave, weights=each[:, k], minlength=OCTAVES) for k in range(3)], axis=1).astype(float)
         sums[:, 2] += 1e-3  # keeps a little for the unknown
         weights = np.where(seen[:, None], sums / sums.sum(axis=1, keepdims=True), weights)
     for k in range(2, OCTAVES):

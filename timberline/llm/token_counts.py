@@ -1,17 +1,18 @@
 """Token counts through a cache keyed by content and tokenizer digests.
 
-A document's key is the SHA-256 of its normalised content: runs of the bytes
-space and 0x09 to 0x0D become one space and the ends are trimmed, which leaves
-the counts of the tokenizers served here unchanged. Keys are joined to the
+A document's key is the SHA-256 of its normalised content: for a tokenizer
+that cuts at white space and drops it, runs of the bytes space and 0x09 to
+0x0D become one space and the ends are trimmed, which leaves counts unchanged;
+for others the content is taken as it is. Keys are joined to the
 stored counts of the same tokenizer version (the digest of its file and of the
 library's version); of each key that is missing, one document's text is
 encoded, and the new counts are appended to the cache before all rows read
 their count from it.
 
-Encoding a text: the JSON tokenizers served here cut at white space, so the
-count is the sum over white-space separated words, and each worker encodes a
-word once and remembers a bounded number of them. Whether a tokenizer cuts at
-white space is tested when it is loaded; one that doesn't encodes whole texts.
+Encoding a text: where a tokenizer drops white space, the count is the sum
+over white-space separated words, and each worker encodes a word once and
+remembers a bounded number of them. Whether it does is tested when it is
+loaded; another encodes whole texts.
 
 Defined results: null text is empty text and has no tokens; rows that repeat a
 doc_id keep a row each; rows whose doc_id is null count as well.
@@ -49,7 +50,7 @@ class Encoder:
             tokenizer.no_truncation()
             tokenizer.no_padding()
             self.count_batch = lambda texts: [len(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        probe = ["a b", "it's  9 x\n\ty", " lead and trail ", "don't stop, 3.5 %", "Ünï \x0b çode \x0c!"]
+        probe = [" ", "a b", "a  b", "it's  9 x\n\ty", " lead and trail ", "don't stop, 3.5 %", "Ünï \x0b çode \x0c!"]
         self.by_word = all(n == sum(self.count_batch(p.split()) or [0]) for n, p in zip(self.count_batch(probe), probe, strict=True))
         self.known: dict[bytes, int] = {}
 
@@ -77,7 +78,9 @@ def tokenizer_digest(path: str) -> str:
     return digest.hexdigest()
 
 
-def normalised(text) -> F.Column:
+def normalised(text, collapse: bool) -> F.Column:
+    if not collapse:
+        return F.coalesce(text, F.lit(""))
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \\x09-\\x0D]+", " "))
 
 
@@ -107,8 +110,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     spark = docs.sparkSession
     cache_path = cache_path or f"{shared_dir(spark).rstrip('/')}/tables/token-cache-{uuid.uuid4().hex}"
     version = tokenizer_digest(tokenizer_path)
+    key_text = normalised(F.col("text"), Encoder(tokenizer_path).by_word)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keys = written(texts.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("content_sha256"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")), "content-keys")
+    keys = written(texts.select("doc_id", F.sha2(key_text, 256).alias("content_sha256"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")), "content-keys")
 
     def cache() -> DataFrame:
         try:
@@ -127,7 +131,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     missing = keys.groupBy("content_sha256").agg(F.min("doc_id").alias("doc_id")).join(stored(), "content_sha256", "left_anti")
     firsts = missing.where(F.col("doc_id").isNotNull())
     # A doc_id may stand on rows with different texts, so the key is compared as well.
-    chosen = texts.join(firsts.hint("shuffle_hash"), "doc_id").where(F.sha2(normalised(F.col("text")), 256) == F.col("content_sha256")).select("content_sha256", "text")
-    nameless = texts.where(F.col("doc_id").isNull()).withColumn("content_sha256", F.sha2(normalised(F.col("text")), 256)).join(missing.where(F.col("doc_id").isNull()).select("content_sha256"), "content_sha256", "left_semi").select("content_sha256", "text")
+    chosen = texts.join(firsts.hint("shuffle_hash"), "doc_id").where(F.sha2(key_text, 256) == F.col("content_sha256")).select("content_sha256", "text")
+    nameless = texts.where(F.col("doc_id").isNull()).withColumn("content_sha256", F.sha2(key_text, 256)).join(missing.where(F.col("doc_id").isNull()).select("content_sha256"), "content_sha256", "left_semi").select("content_sha256", "text")
     encode_rows(chosen.unionByName(nameless), tokenizer_path).withColumn("tokenizer_sha256", F.lit(version)).write.mode("append").parquet(cache_path)
     return keys.join(stored(), "content_sha256", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
