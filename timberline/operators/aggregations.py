@@ -7,7 +7,7 @@ Bucket frames are (key, count, rate, stat_value).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import number, value
@@ -15,20 +15,37 @@ from ..model import NO_FILE
 
 MAX_GROUPS, MAX_BUCKETS, DEFAULT_RANGE_MINUTES = 100, 500, 1440
 
-STATISTICS = {
-    "avg": lambda v: F.avg(v),
-    "min": lambda v: F.min(v),
-    "max": lambda v: F.max(v),
-    "sum": lambda v: F.sum(v),
-    # Exact nearest rank.
-    "p50": lambda v: _rank(v, 0.5),
-    "p95": lambda v: _rank(v, 0.95),
-    "p99": lambda v: _rank(v, 0.99),
-}
+STATISTICS = {"avg": F.avg, "min": F.min, "max": F.max, "sum": F.sum}
+RANKS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+RANK_BINS, RANK_ROUNDS = 4096, 2
 
 
-def _rank(v: Column, p: float) -> Column:
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY _value)")  # v is always _value here
+def nearest_rank(values: DataFrame, p: float) -> DataFrame:
+    """(key, count, stat_value): the exact nearest-rank percentile of each key's ``_value``.
+
+    Counts in bins narrow the range that holds the rank, RANK_BINS times per
+    round and starting anew from the values that are there; the values left in
+    the last range are counted and added up. No task sorts or holds a group,
+    as it would for percentile_disc.
+    """
+    target = F.greatest(F.lit(1), F.ceil(F.col("count") * p)).cast("long")
+    range_of = values.groupBy("key").agg(F.count("*").alias("count"), F.min("_value").alias("low"), F.max("_value").alias("high")).withColumn("rank", target)
+    upto = F.sum("n").over(Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    for _ in range(RANK_ROUNDS):
+        inside = values.join(range_of, "key").where((F.col("_value") >= F.col("low")) & (F.col("_value") <= F.col("high")))
+        at = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("_value") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * RANK_BINS), F.lit(RANK_BINS - 1))).otherwise(0)
+        bins = inside.groupBy("key", "count", "rank", at.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.min("_value").alias("low"), F.max("_value").alias("high"))
+        holding = bins.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+        range_of = holding.select("key", "count", "low", "high", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
+    last = values.join(range_of, "key").where((F.col("_value") >= F.col("low")) & (F.col("_value") <= F.col("high"))).groupBy("key", "count", "rank", F.col("_value").alias("bin")).agg(F.count("*").alias("n"))
+    return last.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))).select("key", "count", F.col("bin").alias("stat_value"))
+
+
+def _statistic(values: DataFrame, statistic: str) -> DataFrame:
+    """(key, count, stat_value) of (key, _value) rows."""
+    if statistic in RANKS:
+        return nearest_rank(values, RANKS[statistic])
+    return values.groupBy("key").agg(F.count("*").alias("count"), STATISTICS[statistic]("_value").alias("stat_value"))
 
 
 def count_by(df: DataFrame, name: str, limit: int = MAX_GROUPS) -> DataFrame:
@@ -66,7 +83,7 @@ def numeric_by(df: DataFrame, statistic: str, of: str | Column, by: str | None =
     """
     key = F.lit("all") if by is None else F.coalesce("file", F.lit("")) if by == "file" else value(by)
     numbers = df.select(key.alias("key"), (number(of) if isinstance(of, str) else of).alias("_value")).where("key IS NOT NULL AND _value IS NOT NULL")
-    return numbers.groupBy("key").agg(F.count("*").alias("count"), STATISTICS[statistic](F.col("_value")).alias("stat_value")).orderBy("key").limit(limit)
+    return _statistic(numbers, statistic).orderBy("key").limit(limit)
 
 
 def numeric_over_time(df: DataFrame, statistic: str, of: str | Column, as_of: str, range_minutes: int, width_ms: int) -> DataFrame:
@@ -74,8 +91,8 @@ def numeric_over_time(df: DataFrame, statistic: str, of: str | Column, as_of: st
     width_ms = max(1, width_ms)
     spine, first, n = _buckets(as_of, range_minutes, width_ms, df.sparkSession)
     at = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.unix_millis("ts") - first) / width_ms))).cast("long")
-    numbers = df.select(at.alias("i"), (number(of) if isinstance(of, str) else of).alias("_value")).where("_value IS NOT NULL")
-    stats = numbers.groupBy("i").agg(F.count("*").alias("count"), STATISTICS[statistic](F.col("_value")).alias("stat_value"))
+    numbers = df.select(at.alias("key"), (number(of) if isinstance(of, str) else of).alias("_value")).where("_value IS NOT NULL")
+    stats = _statistic(numbers, statistic).withColumnRenamed("key", "i")
     return spine.join(stats, "i", "left").select("i", F.col("start").alias("start_ms"), F.coalesce("count", F.lit(0)).cast("long").alias("count"), "stat_value")
 
 
