@@ -47,8 +47,6 @@ def test_counts_are_the_library_s(odd, none, name):
 def test_word_sums_equal_whole_texts(text):
     encoder = tc.Encoder(PATH)
     assert encoder.by_word and encoder.counts([text, text + " <|endoftext|> x"]) == [len(library()(t)) for t in (text, text + " <|endoftext|> x")]
-    normal = " ".join(text.encode().decode().split(" "))
-    assert encoder.counts([normal]) == [len(library()(normal))]
 
 
 def test_cache_is_used_and_extended(spark, odd, monkeypatch):
@@ -59,8 +57,8 @@ def test_cache_is_used_and_extended(spark, odd, monkeypatch):
     again = sorted(map(str, tc.token_counts(odd, PATH, cache).collect()))
     more = spark.createDataFrame([(1, "two  words "), (2, "something new")], "doc_id long, text string")
     tc.token_counts(more, PATH, cache).collect()
-    different = len({" ".join((t or "").encode().split(b" ") and (t or "").split()) for _, t, *_ in ODD})
-    assert first == again and encoded[1:] == [0, 1] and different - 1 <= encoded[0] <= different + 1
+    different = len({" ".join((t or "").split()) for _, t, *_ in ODD})
+    assert first == again and encoded == [different, 0, 1]
     assert tc.tokenizer_digest(PATH) != tc.tokenizer_digest(public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -79,7 +77,7 @@ def test_round_trip_of_nasty_texts(spark):
         source = [(role, text) for k, _, role, text in rows if k == c]
         assert [(t.role, t.text) for t in found[c].turns] == source
         shown = [found[c].formatted[s.start : s.start + s.length] for s in found[c].loss_spans]
-        assert [x.replace("<^", "<", 1) if False else x for x in shown] and len(shown) == 2
+        assert len(shown) == 2
         said = [text for role, text in source if role == "assistant"]
         assert all(a == b or "<^" in a for a, b in zip(shown, said, strict=True))
 
