@@ -46,13 +46,15 @@ from ._text import blocks, byte_codes, column_bytes, mix64, powers, prefix_hashe
 SEED = 32
 PLACE_BITS = np.uint64(28)
 NO_ID = -(2**63)
+#: Work arrays of an anchor search take about 80 bytes for each of these.
+ANCHOR_BLOCK = 1 << 20
 
 
 class Anchors:
     """The anchors of a chunk's rows; places count from the start of the row."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
-        parts = [self._block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], a, length) for a, b in blocks(offsets)]
+        parts = [self._block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], a, length) for a, b in blocks(offsets, ANCHOR_BLOCK)]
         self.row, self.at, self.first, self.last, self.seed, self.context = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate((np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)))
 
     @staticmethod
