@@ -9,7 +9,7 @@ made up among siblings before it reaches the ancestors' siblings.
 
 A source then gives whole epochs, and of one more epoch the longest prefix
 that fits into what is left. An epoch's order is by the MD5 of seed, epoch and
-doc_id. The prefix's end is found in two steps, by sums over the 65,536
+doc_id. The prefix's end is found in two steps, by sums over the 4,096
 leading values of the digest and then within the one value that holds the
 end, so that no task sorts a whole source. The selection itself compares each
 document with its source's end; only the table of sources is joined.
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, domain: Column, fraction: float, weights: dict[str, dic
     def order(epochs: Column, key: Column) -> Column:
         return F.md5(F.concat_ws(":", F.lit(str(seed)), (epochs + 1).cast("string"), F.coalesce(key.cast("string"), F.lit(""))))
 
-    ordered = small.join(plan, TREE).withColumn("digest", order(F.col("epochs"), F.col("mix_id"))).withColumn("lead", F.substring("digest", 1, 4))
+    ordered = small.join(plan, TREE).withColumn("digest", order(F.col("epochs"), F.col("mix_id"))).withColumn("lead", F.substring("digest", 1, 3))
     sums = ordered.groupBy(*TREE, "rest", "lead").agg(F.sum("mix_tokens").alias("tokens"))
     upto = F.sum("tokens").over(Window.partitionBy(*TREE).orderBy("lead").rowsBetween(Window.unboundedPreceding, 0))
     leads = sums.withColumn("upto", upto).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("tokens") <= F.col("rest")))
