@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from conftest import ODD
@@ -94,11 +95,23 @@ def test_components(spark):
     assert found == {2: 1, 3: 1, 4: 1, 8: 5, 9: 5, 101: 100}
 
 
-def test_suffix_removal(documents, texts):
+@pytest.mark.parametrize("common", [24, 2])
+def test_suffix_removal(documents, texts, monkeypatch, common):
+    monkeypatch.setattr(sd, "COMMON", common)  # 2: seeds with two contexts in a chunk take the path of common ones
     found = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in sd.remove_repeats(documents).collect()}
     assert found == dict(zip(sorted(texts), cut_repeats([texts[d] for d in sorted(texts)]), strict=True))
 
 
+def test_suffix_removal_around_a_common_passage(spark):
+    """One passage in many surroundings, over several chunks, with the default bound."""
+    rng = random.Random(7)
+    passage = " ".join(rng.choice("lorem ipsum dolor sit amet tempor magna".split()) + str(i) for i in range(40))
+    texts = {i: f"{rng.random()} {'x' * rng.randrange(90)} {passage} {rng.random()}" * (1 + i % 2) for i in range(150)}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    found = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in sd.remove_repeats(docs, chunks=3).collect()}
+    assert found == dict(zip(texts, cut_repeats(texts.values()), strict=True))
+
+
 def test_suffix_removal_of_odd_rows(odd, none):
     found = sd.remove_repeats(odd).collect()
     order = sorted(ODD, key=lambda r: (-1 if r[0] is None else r[0], (r[1] or "").encode()))

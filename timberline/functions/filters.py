@@ -1,6 +1,8 @@
 """Predicates on log frames as Columns.
 
-A row that lacks a field matches no predicate on it, and matches the negation.
+A row that lacks a field matches no predicate on it, and matches the negation:
+predicates stay null there, so that plain comparisons reach the Parquet scan,
+and ``negate`` takes null for false. Use ``negate`` instead of ``~``.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ def phrase(words: str, name: str | None = None) -> Column:
 
 
 def equals(name: str, text: str) -> Column:
-    return F.coalesce(value(name) == text, F.lit(False))
+    return value(name) == text
 
 
 def differs(name: str, text: str) -> Column:
@@ -62,12 +64,12 @@ def in_time(low=None, high=None, with_low: bool = True, with_high: bool = True)
 
 
 def _range(column: Column, low, high, with_low: bool, with_high: bool) -> Column:
-    out = [column.isNotNull()]
+    out = []
     if low is not None:
         out.append(column >= low if with_low else column > low)
     if high is not None:
         out.append(column <= high if with_high else column < high)
-    return F.coalesce(every(out), F.lit(False))
+    return every(out) if out else column.isNotNull()
 
 
 def lexical_range(name: str, low: str | None, high: str | None, with_low: bool = True, with_high: bool = True) -> Column:
@@ -80,31 +82,32 @@ def matches(pattern: str, name: str | None = None) -> Column:
     java = whole_term_pattern(pattern)
     if name is None:
         return F.exists(tokens(F.col("message")), lambda t: t.rlike(java))
-    return F.coalesce(value(name).rlike(java), F.lit(False))
+    return value(name).rlike(java)
 
 
 def wildcard(pattern: str, name: str | None = None) -> Column:
     java = wildcard_pattern(pattern if name else pattern.lower())
     if name is None:
         return F.exists(tokens(all_text()), lambda t: t.rlike(java))
-    return F.coalesce(value(name).rlike(java), F.lit(False))
+    return value(name).rlike(java)
 
 
 def prefix(start: str, name: str | None = None) -> Column:
     if name is None:
         return F.exists(tokens(all_text()), lambda t: t.startswith(start.lower()))
-    return F.coalesce(value(name).startswith(start), F.lit(False))
+    return value(name).startswith(start)
 
 
 def fuzzy(word: str, edits: int = 2, name: str | None = None) -> Column:
     """Within some edits of a token, or of a field's value."""
     if name is None:
         return F.exists(tokens(all_text()), lambda t: F.levenshtein(t, F.lit(word.lower())) <= edits)
-    return F.coalesce(F.levenshtein(value(name), F.lit(word)) <= edits, F.lit(False))
+    return F.levenshtein(value(name), F.lit(word)) <= edits
 
 
 def every(parts: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, parts, F.lit(True))
+    parts = list(parts)
+    return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
 def either(parts: Iterable[Column]) -> Column:

@@ -13,6 +13,9 @@ context, and a text of n bytes has about n / 35 of them.
    context goes by its seed's hash: a (seed, context) that stood earlier is a
    repeat as a whole, and a seed with several contexts is undecided. A very
    common passage reaches its task once per chunk, not once per copy.
+   A seed with many contexts in one chunk is common: its contexts are dealt by
+   (seed, context) instead, and every chunk that sees this tells the seed's
+   task, so that all of the seed's contexts count as common.
 2. Undecided contexts are sent, as bytes, to the task of their seed. There
    their suffixes from the anchor on, and their reversed prefixes before it,
    are suffix-sorted: a mergesort whose comparisons find the common extension
@@ -21,10 +24,14 @@ context, and a text of n bytes has about n / 35 of them.
    hash collision can't pass (the sort is redone on plain bytes). Two strings
    are equal if they agree on both sides of the anchor; all but the first of
    equals are repeats.
-3. Each chunk marks the bytes under repeats and cuts them out.
+3. The strings of common seeds' contexts are too many for one task. Each chunk
+   sends the first of equal ones, under two 64-bit hashes of all its bytes, and
+   all but the first of all chunks are repeats.
+4. Each chunk marks the bytes under repeats and cuts them out.
 
 Whole contexts are matched across chunks by two independent 64-bit hashes, of
-the seed and of the context; contexts that differ are compared by bytes.
+the seed and of the context; contexts that differ are compared by bytes, but
+for common seeds.
 
 Defined results: a null text counts as empty; texts shorter than ``length``
 lose nothing; rows that share a doc_id are ordered by text and the later row's
@@ -37,7 +44,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import partitions, written
@@ -46,6 +53,8 @@ from ._text import blocks, byte_codes, column_bytes, mix64, powers, prefix_hashe
 SEED = 32
 PLACE_BITS = np.uint64(28)
 NO_ID = -(2**63)
+#: A seed with so many contexts in a chunk is common; fewer where there are so many chunks that a seed's could pass COLD_CONTEXTS.
+COMMON, COLD_CONTEXTS = 24, 200_000
 #: Work arrays of an anchor search take about 80 bytes for each of these.
 ANCHOR_BLOCK = 1 << 20
 
@@ -134,21 +143,23 @@ def _numpy(rows: pa.Table, *names: str) -> list[np.ndarray]:
 
 
 def _decide(batches):
-    """Whole repeats (whole = true) and undecided contexts of one task's seeds."""
+    """Whole repeats (whole = true) and undecided contexts, of common seeds or not, of one task's anchors."""
     rows = _gathered(batches)
     if rows is None:
         return
-    seed, context, ids, ordinal, at = _numpy(rows, "seed", "context", "doc_id", "ordinal", "at")
-    order = np.lexsort((at, ordinal, ids, context, seed))
-    seed, context = seed[order], context[order]
+    seed, context, ids, ordinal, at = _numpy(rows, "route", "context", "doc_id", "ordinal", "at")  # a common seed's route holds one context
+    spread = rows["spread"].to_numpy(zero_copy_only=False).astype(bool)
+    order = np.lexsort((at, ordinal, ids, context, seed, spread))
+    seed, context, spread, told = seed[order], context[order], spread[order], at[order] < 0
     new_seed, new_context = np.ones(len(order), dtype=bool), np.ones(len(order), dtype=bool)
-    new_seed[1:] = seed[1:] != seed[:-1]
-    new_context[1:] = new_seed[1:] | (context[1:] != context[:-1])
+    new_seed[1:] = (seed[1:] != seed[:-1]) | (spread[1:] != spread[:-1])
+    new_context[1:] = new_seed[1:] | (context[1:] != context[:-1]) | (told[1:] != told[:-1])
     group = np.cumsum(new_seed) - 1
-    several = np.bincount(group, weights=new_context) > 1
-    keep = ~new_context | several[group]
+    is_common = spread | (np.bincount(group, weights=told) > 0)[group]
+    several = is_common | (np.bincount(group, weights=new_context & ~told) > 1)[group]
+    keep = ~told & (~new_context | several)
     out = order[keep]
-    yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(ordinal[out]), pa.array(at[out]), pa.array(~new_context[keep])], ["doc_id", "ordinal", "at", "whole"])
+    yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(ordinal[out]), pa.array(at[out]), pa.array(~new_context[keep]), pa.array(is_common[keep])], ["doc_id", "ordinal", "at", "whole", "common"])
 
 
 class Suffixes:
@@ -274,14 +285,24 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True, i
 
     rows = chunked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
 
+    common = max(2, min(COMMON, COLD_CONTEXTS // n))
+
     def listed(part: pa.Table) -> pa.Table:
         chunk = Chunk(part)
         found = Anchors(chunk.data, chunk.offsets, length)
         found = found.take(found.split_repeats()[0])
-        return pa.table({"seed": found.seed.view(np.int64), "context": found.context.view(np.int64), "doc_id": chunk.ids[found.row], "ordinal": chunk.ordinal[found.row].astype(np.int32), "at": found.at.astype(np.int32)})
-
-    anchors = rows.groupBy("chunk").applyInArrow(listed, "seed long, context long, doc_id long, ordinal int, at int")
-    decided = written(anchors.repartition(n, "seed").mapInArrow(_decide, "doc_id long, ordinal int, at int, whole boolean"), "repeat-anchors")
+        seeds, inverse, contexts = np.unique(found.seed, return_inverse=True, return_counts=True)
+        spread = contexts[inverse] >= common
+        told = seeds[contexts >= common]  # one row without an anchor tells the seed's task
+        route = np.where(spread, mix64(found.seed * np.uint64(3) + found.context), found.seed)
+        blank = np.zeros(len(told), np.int64)
+        return pa.table({
+            "route": np.append(route, told).view(np.int64), "context": np.append(found.context.view(np.int64), blank),
+            "doc_id": np.append(chunk.ids[found.row], blank), "ordinal": np.append(chunk.ordinal[found.row], blank).astype(np.int32), "at": np.append(found.at, blank - 1).astype(np.int32), "spread": np.append(spread, blank > 0),
+        })
+
+    anchors = rows.groupBy("chunk").applyInArrow(listed, "route long, context long, doc_id long, ordinal int, at int, spread boolean")
+    decided = written(anchors.repartition(n, "route").mapInArrow(_decide, "doc_id long, ordinal int, at int, whole boolean, common boolean"), "repeat-anchors")
 
     def flagged(chunk: Chunk, found: Anchors, marks: pa.Table) -> np.ndarray:
         """Indexes of the anchors that ``marks`` names."""
@@ -316,9 +337,47 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True, i
         closes = np.append(opens[1:], len(which))[: len(opens)] - 1
         yield pa.RecordBatch.from_arrays([pa.array(ids[which[opens]]), pa.array(ordinal[which[opens]]), pa.array(starts[opens], pa.int32()), pa.array(starts[closes] + length, pa.int32())], ["doc_id", "ordinal", "from", "until"])
 
+    def listed_strings(part: pa.Table, marks: pa.Table) -> pa.Table:
+        """The first of each chunk's equal strings, with hashes, and spans of the others."""
+        chunk = Chunk(part)
+        found = Anchors(chunk.data, chunk.offsets, length)
+        found = found.take(np.sort(flagged(chunk, found, marks)) if marks.num_rows else np.zeros(0, np.int64))
+        row, start, h1, h2 = [], [], [], []
+        for a, b in blocks(chunk.offsets, ANCHOR_BLOCK):
+            mine = np.flatnonzero((found.row >= a) & (found.row < b))
+            if len(mine):
+                data, base = chunk.data[chunk.offsets[a] : chunk.offsets[b]], chunk.offsets[found.row[mine]] - chunk.offsets[a]
+                many = found.last[mine] - found.first[mine] + 1
+                place = np.repeat(found.first[mine], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                at = np.repeat(base, many) + place
+                row.append(np.repeat(found.row[mine], many))
+                start.append(place)
+                h1.append(span_hashes(prefix_hashes(data), at, at + length))
+                h2.append(span_hashes(prefix_hashes(data, 0x5EED), at, at + length))
+        row, start, h1, h2 = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((row, np.int64), (start, np.int64), (h1, np.uint64), (h2, np.uint64)))
+        order = np.lexsort((start, row, h2, h1))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+        again, firsts = np.sort(order[~new]), order[new]  # strings were listed by row and start
+        opens = np.flatnonzero(np.append(True, (row[again][1:] != row[again][:-1]) | (start[again][1:] != start[again][:-1] + 1))) if len(again) else again
+        closes = np.append(opens[1:], len(again))[: len(opens)].astype(np.int64) - 1
+        rows_out = np.append(row[firsts], row[again[opens]])
+        blank = np.append(np.zeros(len(firsts), bool), np.ones(len(opens), bool))
+        hashes = [pa.array(np.append(h[firsts].view(np.int64), np.zeros(len(opens), np.int64)), mask=blank) for h in (h1, h2)]
+        return pa.table({
+            "h1": hashes[0], "h2": hashes[1], "doc_id": chunk.ids[rows_out], "ordinal": chunk.ordinal[rows_out].astype(np.int32),
+            "from": np.append(start[firsts], start[again[opens]]).astype(np.int32), "until": np.append(start[firsts] + length, start[again[closes]] + length).astype(np.int32),
+        })
+
     marks = chunked(decided)
-    contexts = rows.groupBy("chunk").cogroup(marks.where("not whole").groupBy("chunk")).applyInArrow(undecided, "seed long, doc_id long, ordinal int, at int, first int, last int, context binary")
+    contexts = rows.groupBy("chunk").cogroup(marks.where("not whole and not common").groupBy("chunk")).applyInArrow(undecided, "seed long, doc_id long, ordinal int, at int, first int, last int, context binary")
     spans = written(contexts.repartition(n, "seed").mapInArrow(compared, "doc_id long, ordinal int, from int, until int"), "repeat-spans")
+    crowded = marks.where("not whole and common")
+    if crowded.limit(1).count():
+        strings = written(rows.groupBy("chunk").cogroup(crowded.groupBy("chunk")).applyInArrow(listed_strings, "h1 long, h2 long, doc_id long, ordinal int, from int, until int"), "common-strings")
+        earlier = Window.partitionBy("h1", "h2").orderBy("doc_id", "ordinal", "from")  # a row per chunk at most
+        later = strings.where("h1 IS NOT NULL").withColumn("place", F.row_number().over(earlier)).where("place > 1")
+        spans = written(spans.unionByName(strings.where("h1 IS NULL").drop("h1", "h2")).unionByName(later.drop("h1", "h2", "place")), "repeat-spans")
     known = marks.where("whole").select("chunk", "doc_id", "ordinal", "at", F.lit(-1).alias("until")).unionByName(chunked(spans).select("chunk", "doc_id", "ordinal", F.col("from").alias("at"), "until"))
 
     def cut(part: pa.Table, repeats: pa.Table) -> pa.Table:

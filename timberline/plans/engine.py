@@ -100,7 +100,7 @@ class Engine:
     def query(self, logs: DataFrame, where: Column | str = "true", **scope) -> DataFrame:
         """Entries of ``logs`` within a scope that match a predicate."""
         condition = F.expr(where) if isinstance(where, str) else where
-        return logs.where(filters.scope(disabled=self._disabled(), **scope) & F.coalesce(condition, F.lit(False)))
+        return logs.where(filters.scope(disabled=self._disabled(), **scope) & condition)
 
     def search(self, logs: DataFrame, search: str = "", levels=(), sort_by: str = "time", direction: str = "desc", page: int = 0, size: int = 10, **scope) -> DataFrame:
         """A page of a simple search."""
