@@ -128,10 +128,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
         return cache().where(F.col("tokenizer_sha256") == version).groupBy("content_sha256").agg(F.max("n_tokens").alias("n_tokens"))
 
     # One row stands for all of a key's copies: the partial aggregate folds them before the shuffle.
-    missing = keys.groupBy("content_sha256").agg(F.min("doc_id").alias("doc_id")).join(stored(), "content_sha256", "left_anti")
+    missing = keys.groupBy("content_sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).join(stored(), "content_sha256", "left_anti")
     firsts = missing.where(F.col("doc_id").isNotNull())
     # A doc_id may stand on rows with different texts, so the key is compared as well.
-    chosen = texts.join(firsts.hint("shuffle_hash"), "doc_id").where(F.sha2(key_text, 256) == F.col("content_sha256")).select("content_sha256", "text")
-    nameless = texts.where(F.col("doc_id").isNull()).withColumn("content_sha256", F.sha2(key_text, 256)).join(missing.where(F.col("doc_id").isNull()).select("content_sha256"), "content_sha256", "left_semi").select("content_sha256", "text")
-    encode_rows(chosen.unionByName(nameless), tokenizer_path).withColumn("tokenizer_sha256", F.lit(version)).write.mode("append").parquet(cache_path)
+    chosen = texts.join(firsts.hint("shuffle_hash"), "doc_id").where(F.sha2(key_text, 256) == F.col("content_sha256"))
+    nameless = texts.where(F.col("doc_id").isNull()).withColumn("content_sha256", F.sha2(key_text, 256)).join(missing.where(F.col("doc_id").isNull()).select("content_sha256"), "content_sha256", "left_semi")
+    single, several = (chosen.where(c).select("content_sha256", "text") for c in ("copies = 1", "copies > 1"))
+    # Rows that repeat a doc_id and its text, or have none, are still to be folded.
+    distinct = single.unionByName(several.unionByName(nameless.select("content_sha256", "text")).dropDuplicates(["content_sha256"]))
+    encode_rows(distinct, tokenizer_path).withColumn("tokenizer_sha256", F.lit(version)).write.mode("append").parquet(cache_path)
     return keys.join(stored(), "content_sha256", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
