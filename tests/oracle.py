@@ -17,7 +17,7 @@ def connect(data):
 
 def rows(frame):
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "-"
         return f"{v:.9g}" if isinstance(v, float) else str(v)
 
