@@ -136,6 +136,17 @@ def test_stream_ingests_new_files_once(spark, tmp_path):
         assert sorted(r.message for r in kept.read().collect()) == [f"m{k}" for k in range(1, n + 1)]
 
 
+def test_ingest_takes_all_lines_and_a_tail_the_last(spark, tmp_path):
+    lines = [line(k % 60, text=f"m{k}") for k in range(tails.MAX_LINES + 5)]
+    kept = store.EntryStore(spark, str(tmp_path / "store"))
+    ingest_batch(kept, spark.createDataFrame([("s", "long.log", "\n".join(lines) + "\n")], "source string, file string, text string"), AS_OF)
+    assert {r.message for r in kept.read("s", "long.log").collect()} == {f"m{k}" for k in range(len(lines))}
+    write(tmp_path / "long.log", *lines)
+    engine = Engine(spark)
+    engine.sources.create(Source("s", "LOCAL_FILE", str(tmp_path / "long.log")))
+    assert {r.message for r in engine.logs(AS_OF).collect()} == {f"m{k}" for k in range(5, len(lines))}
+
+
 def test_windows_close_behind_the_watermark(spark, tmp_path):
     made = [(NOW + dt.timedelta(minutes=m), "s", "INFO") for m in (0, 1, 7, 60)]
     spark.createDataFrame(made, "ts timestamp, source string, level string").write.parquet(str(tmp_path / "e"))

@@ -81,17 +81,19 @@ def message_of(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(_without_first(rest, BRACKET_LEVEL), r"^[\p{Z}\s]+|[\p{Z}\s]+$", ""), " {2,}", " ")
 
 
-def frame_lines(texts: DataFrame, from_start: Column | None = None, max_lines: int = 3000) -> DataFrame:
+def frame_lines(texts: DataFrame, from_start: Column | None = None, max_lines: int | None = None) -> DataFrame:
     """(source, file, pos, line) from (source, file, text) rows of whole or tail texts.
 
     Of a tail that doesn't begin at the file's start the first, partial line
-    goes; the empty line after a final newline goes; the last ``max_lines`` stay.
+    goes; the empty line after a final newline goes; the last ``max_lines`` stay,
+    or all if none is given.
     """
     begin = F.lit(True) if from_start is None else from_start
     lines = F.split("text", "\n")
     lines = F.when(begin, lines).otherwise(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))))
     lines = F.when((F.size(lines) > 0) & (F.try_element_at(lines, F.lit(-1)) == ""), F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
-    lines = F.slice(lines, F.greatest(F.size(lines) - max_lines + 1, F.lit(1)), max_lines)
+    if max_lines is not None:
+        lines = F.slice(lines, F.greatest(F.size(lines) - max_lines + 1, F.lit(1)), max_lines)
     return texts.select("source", "file", F.posexplode(lines).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long")).withColumn("line", F.regexp_replace("line", "\r$", ""))
 
 

@@ -62,7 +62,7 @@ class Engine:
             texts = self._texts(source).select("source", "file", "text", "from_start")
             if source.type in ("HTTP", "SFTP"):
                 texts.limit(1).count()  # a failure shows when it is read
-            entries = parse(frame_lines(texts.select("source", "file", "text", "from_start"), F.col("from_start")), as_of)
+            entries = parse(frame_lines(texts.select("source", "file", "text", "from_start"), F.col("from_start"), tails.MAX_LINES), as_of)
         except Exception as error:
             entries = tails.error_entry(self.spark, source.name, str(error).splitlines()[0], as_of)
         return entries
