@@ -1,9 +1,10 @@
 """The training-data pipeline: five stages from raw documents to a mixture.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written and read again as the next stage's docs. Decisions are applied by an
-anti join with the ids that go, so that rows without an id pass. Extra columns
-of documents pass through all stages.
+written and read again as the next stage's docs. Decisions are made for rows,
+not for ids: rows without an id, rows that repeat an id and a text, and
+different texts under one id are each decided on by their own text. Extra
+columns of documents pass through all stages.
 """
 
 from __future__ import annotations
@@ -11,17 +12,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm._spark import discard, table, written
-from timberline.llm.decontaminate import find_contamination
-from timberline.llm.exact_dedup import exact_duplicates
+from timberline.llm._spark import discard, partitions, table, written
+from timberline.llm.decontaminate import drop_contaminated
+from timberline.llm.exact_dedup import exact_duplicates, text_digest
 from timberline.llm.language_id import LanguageModel, keep_identified
 from timberline.llm.mixing import mix
 from timberline.llm.near_dedup import near_duplicates
 from timberline.llm.queries import DOMAIN, WEIGHTS
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.where(F.col("doc_id").isNotNull()), "doc_id", "left_anti").select(docs.columns)
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    """``docs``, written, with a long for each row that ascends with doc_id; rows without an id come last.
+
+    Ranges of (id, text hash, position) make the key, so rows without an id
+    and repeated rows are spread over tasks like all others.
+    """
+    hashed, at = _free("row_hash", docs), _free("row_at", docs)
+    order = [F.col("doc_id").cast("long").asc_nulls_last(), F.col(hashed).asc(), F.col(at).asc()]
+    placed = docs.withColumns({hashed: F.xxhash64("text"), at: F.monotonically_increasing_id()})
+    ranged = placed.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return written(ranged.select(*docs.columns, F.monotonically_increasing_id().alias(key)), "keyed")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,18 +48,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the largest id of each text."""
-    return _without(docs, exact_duplicates(docs).where(~F.col("kept")).select("doc_id"))
+    """Keep one row of each text: one with the largest id, or one without an id if no row has any.
+
+    Rows equal in id and text are folded by a partial aggregate before the
+    shuffle; the anti join finds its rows where that shuffle put them.
+    """
+    key = _free("row_key", docs)
+    found = exact_duplicates(docs)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.concat_ws(":", "text_sha256", "doc_id").alias(key))
+    rows = docs.withColumn(key, F.concat_ws(":", text_digest("text"), F.col("doc_id").cast("long"))).dropDuplicates([key])
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group at 5-word similarity 0.8."""
-    return _without(docs, near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id"))
+    """Keep the row with the smallest id of each group at 5-word similarity 0.8."""
+    key = _free("row_key", docs)
+    rows = _keyed(docs, key)
+    gone = near_duplicates(rows, words=5, percent=80, id_col=key).where(~F.col("kept")).select(F.col("doc_id").alias(key))
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a copy or an edited copy of a benchmark item."""
-    return _without(docs, find_contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -229,3 +229,30 @@ def test_pipeline_odd_rows(spark, odd, none, data):
             kept = {r.doc_id for r in out.select("doc_id").collect()}
         assert kept.isdisjoint({1, 2, 3, 6, 7, 10, 11})
     assert COPY in odd.where("doc_id = 14").first().text
+
+
+def test_pipeline_decides_on_rows(spark, data):
+    """Without ids, with repeated rows, and with one id on two texts."""
+    item, other = (r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").where("length(text) > 0").orderBy("item_id").take(2))
+    long = " ".join(f"{w}{k}" for k in range(60) for w in ("alpha", "beta"))
+    rows = [
+        (None, "A copy without an id"), (None, "a copy WITHOUT an id"), (None, "another text of its own"),
+        (3, "Repeated row"), (3, "Repeated row"), (3, "repeated row"), (None, "repeated row"),
+        (5, "text A is unique"), (5, "text B stands twice"), (9, "text B stands twice"),
+        (None, long), (None, long + " end"), (20, long + " stop"), (20, "and a clean one"),
+        (None, "see " + item), (30, "see " + other), (30, "nothing of it here"),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "s1", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages, left = dict(corpus_pipeline.STAGES), {}
+    for name in ("exact_dedup", "near_dedup", "decontamination"):
+        left[name] = Counter((r.doc_id, r.text.lower()) for r in stages[name](spark, docs, data).collect())
+    gone = {name: Counter((d, t.lower()) for d, t in rows) - found for name, found in left.items()}
+    assert gone["exact_dedup"] == {(None, "a copy without an id"): 1, (3, "repeated row"): 2, (None, "repeated row"): 1, (5, "text b stands twice"): 1}
+    assert gone["near_dedup"] == {(None, "a copy without an id"): 1, (3, "repeated row"): 2, (None, "repeated row"): 1, (9, "text b stands twice"): 1, (None, long): 1, (None, long + " end"): 1}
+    assert gone["decontamination"] == {(None, "see " + item.lower()): 1, (30, "see " + other.lower()): 1}
+
+
+@pytest.mark.parametrize("at_once", [2_000_000, 5])
+def test_rows_with_leaks_go(leaks, at_once):
+    docs, items = leaks
+    assert Counter(r.doc_id for r in dc.drop_contaminated(docs, items, words_at_once=at_once).collect()) == {4: 1, 5: 1, 6: 1, 7: 1, 9: 1}

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import discard, written
 from ._text import blocks, column_bytes, mix64, prefix_hashes, span_hashes
 
 WORD = np.zeros(256, dtype=bool)
@@ -170,19 +171,55 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare:
     ``start`` and ``end`` are byte offsets of the aligned passage.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return reduce(DataFrame.unionByName, [_find(texts, items, n, rare, least) for items in _item_blocks(benchmark, words_at_once)])
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: float = 1e-9, least: float = 0.5, words_at_once: int = 2_000_000, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, in which find_contamination finds no item.
+
+    Each row is decided on in the task that holds it, with or without an id.
+    """
+    texts, scratch = docs.select(F.col(text_col).alias("text")), []
+    *others, last = _item_blocks(benchmark, words_at_once)
+    for items in others:  # written, so that a task ever holds one block of items
+        docs = written(_drop(docs, _test_set(texts, items, n, rare), least, text_col), "decontaminated")
+        discard(*scratch)
+        scratch = [docs]
+    return _drop(docs, _test_set(texts, last, n, rare), least, text_col)
+
+
+def _item_blocks(benchmark: DataFrame, words_at_once: int) -> list[DataFrame]:
+    """(item_id, text) of the test set, in blocks of about ``words_at_once`` words."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
     n_words = items.agg(F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^ \\x09-\\x0D]+")))).first()[0] or 0
     parts = max(1, -(-int(n_words) // words_at_once))
-    found = [_find(texts, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k), n, rare, least) for k in range(parts)]
-    return reduce(DataFrame.unionByName, found)
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) for k in range(parts)]
 
 
-def _find(texts: DataFrame, items: DataFrame, n: int, rare: float, least: float) -> DataFrame:
+def _test_set(texts: DataFrame, items: DataFrame, n: int, rare: float):
+    """The items with their seeds, broadcast; word frequencies are those of ``texts``."""
     held = items.toArrow()
     tests = TestSet(held["item_id"].to_pylist(), held["text"], n)
     counts, total = _word_counts(texts, tests.vocabulary) if len(tests.vocabulary) else (np.zeros(0, np.int64), 0)
     tests.choose_seeds(counts, total, rare)
-    shared = texts.sparkSession.sparkContext.broadcast(tests)
+    return texts.sparkSession.sparkContext.broadcast(tests)
+
+
+def _drop(docs: DataFrame, shared, least: float, text_col: str) -> DataFrame:
+    def run(batches):
+        tests = shared.value
+        for batch in batches:
+            stays = np.ones(batch.num_rows, dtype=bool)
+            data, offsets = column_bytes(batch.column(text_col), lower=True)
+            for a, b in blocks(offsets):
+                stays[[r + a for r, *_ in _matches(tests, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], least)]] = False
+            yield batch.filter(pa.array(stays))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _find(texts: DataFrame, items: DataFrame, n: int, rare: float, least: float) -> DataFrame:
+    shared = _test_set(texts, items, n, rare)
 
     def run(batches):
         tests = shared.value

@@ -158,9 +158,14 @@ class CuckooIndex:
         return index
 
 
+def text_digest(text_col: str):
+    """A text's key as hexadecimal digits."""
+    return F.sha2(lower_ascii(F.col(text_col)), 256)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_sha256) of every row."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(lower_ascii(F.col(text_col)), 256).alias("text_sha256"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text_col).alias("text_sha256"))
 
 
 def _fold(batches):
