@@ -256,3 +256,9 @@ def test_pipeline_decides_on_rows(spark, data):
 def test_rows_with_leaks_go(leaks, at_once):
     docs, items = leaks
     assert Counter(r.doc_id for r in dc.drop_contaminated(docs, items, words_at_once=at_once).collect()) == {4: 1, 5: 1, 6: 1, 7: 1, 9: 1}
+
+
+def test_lettered_documents_stay_where_no_language_is_known(spark, odd, data):
+    rows = odd.withColumn("lang", F.lit(None).cast("string"))
+    left = corpus_pipeline.language_id(spark, rows, data).collect()
+    assert Counter(r.doc_id for r in left) == Counter(d for d, t, *_ in ODD if any(c.isalpha() for c in t or ""))

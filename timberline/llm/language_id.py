@@ -254,6 +254,9 @@ def _lettered(text_col: str):
 def keep_identified(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that identify_language doesn't call ``und``.
 
+    A text is ``und`` if it has no letter, so with a model of languages those
+    rows go, whatever the scores say. Where nothing was learned every text is
+    ``und``, which tells nothing of it: then too, only rows without a letter go.
     Rows stay where they are: texts pass through the task that labels them.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.scores, model.barred))
@@ -267,6 +270,6 @@ def keep_identified(docs: DataFrame, model: LanguageModel, penalty: float = 8.0,
             lettered = np.array(batch.column(mark).to_pylist(), dtype=bool)
             rows = batch.select([n for n in batch.schema.names if n != mark])
             for a, b, names, _, _ in _labels(here, batch.column(text_col), lettered, penalty, False):
-                yield rows[a:b].filter(pa.array(names != "und"))
+                yield rows[a:b].filter(pa.array(names != "und" if here.langs else lettered[a:b]))
 
     return docs.withColumn(mark, _lettered(text_col)).mapInArrow(run, docs.schema)
