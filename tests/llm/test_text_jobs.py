@@ -258,6 +258,18 @@ def test_rows_with_leaks_go(leaks, at_once):
     assert Counter(r.doc_id for r in dc.drop_contaminated(docs, items, words_at_once=at_once).collect()) == {4: 1, 5: 1, 6: 1, 7: 1, 9: 1}
 
 
+def test_short_items(spark):
+    """Few words in common are not a copy of a short item; a whole copy of any length is found."""
+    question = "what color was the horse"
+    texts = {1: "nobody knows what color was in fashion", 2: f"Q: {question}?", 3: "what color was really the horse", 4: "a lone Xylophone here", 5: "green, tea", 6: "tea green", 7: "they ask: how many eggs do blue hens lay on a normal farm"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame([(1, question), (2, "xylophone"), (3, "green tea"), (4, "how many eggs do blue hens lay in the spring"), (5, "how many eggs there"), (6, "Green TEA")], "item_id long, text string")
+    found = dc.find_contamination(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(2, 1), (3, 1), (4, 2), (5, 3), (5, 6), (7, 4)]
+    assert {texts[r.doc_id][r.start : r.end] for r in found if r.doc_id in (2, 4, 5)} == {question, "Xylophone", "green, tea"}
+    assert {r.doc_id for r in dc.drop_contaminated(docs, items).collect()} == {1, 6}
+
+
 def test_lettered_documents_stay_where_no_language_is_known(spark, odd, data):
     rows = odd.withColumn("lang", F.lit(None).cast("string"))
     left = corpus_pipeline.language_id(spark, rows, data).collect()

@@ -9,15 +9,18 @@ into very many documents keeps its seeds. Every place of a document where a
 seed stands is a candidate; the document's words around it are aligned with
 the item's by Smith-Waterman (match 2, other -1, gap -1), which tolerates
 replaced, added and missing words. A pair is reported if the best local
-alignment reaches ``least`` of the item's perfect score.
+alignment reaches ``least`` of the item's perfect score and, since few words
+in common are no evidence for a short item, holds at least ``SURE`` of the
+item's words in their order (all of them, if the item has fewer).
 
 The test set is shipped to the tasks, which is done only up to
 ``words_at_once`` words; a larger one is taken in blocks of items, each over
 the whole corpus.
 
-Defined results: null texts are empty; an item of fewer than ``n`` words has
-no seeds and is never reported; repeated rows are reported each; an empty
-corpus or test set gives an empty result.
+Defined results: null texts are empty; an item of fewer than ``n`` words is
+reported where its whole word sequence stands (so a one-word item is, in every
+document with that word), and one without words never; repeated rows are
+reported each; an empty corpus or test set gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from ._text import blocks, column_bytes, mix64, prefix_hashes, span_hashes
 
 WORD = np.zeros(256, dtype=bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: So many words of an item in common are evidence, even if the item has more.
+SURE = 6
 
 
 def words(data: np.ndarray, offsets: np.ndarray):
@@ -74,8 +79,18 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def in_order(item: np.ndarray, text: np.ndarray) -> int:
+    """The most words of ``item`` that stand in ``text`` in the same order."""
+    above = np.zeros(len(text) + 1, np.int64)
+    for word in item:
+        here = above.copy()
+        here[1:] = np.maximum(here[1:], above[:-1] + (text == word))
+        above = np.maximum.accumulate(here)
+    return int(above[-1])
+
+
 class TestSet:
-    """Test items with their seeds, sorted by hash."""
+    """Test items with their seeds, sorted by hash; whole sequences of items of fewer than ``n`` words."""
 
     __test__ = False
 
@@ -86,6 +101,15 @@ class TestSet:
         self.bounds = np.searchsorted(self.rows, np.arange(len(ids) + 1))
         self.vocabulary = np.unique(self.hashes)
         self.seeds = self.seed_item = self.seed_at = None
+        self.short = {}  # by number of words: sequences, sorted, and their items
+        sizes = np.diff(self.bounds)
+        for size in range(1, n):
+            items = np.flatnonzero(sizes == size)
+            if len(items):
+                found, at = grams(self.hashes, self.rows, size)
+                whole = found[np.searchsorted(at, self.bounds[items])]
+                order = np.argsort(whole, kind="stable")
+                self.short[size] = whole[order], items[order]
 
     def choose_seeds(self, counts: np.ndarray, total: int, rare: float) -> None:
         chance = np.maximum(counts, 1) / max(1, total)
@@ -126,18 +150,38 @@ def _word_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
     return counts[:-1], int(counts[-1])
 
 
+def _look_up(sorted_keys: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index in ``found``, index in ``sorted_keys``) of every equal pair."""
+    slot = np.minimum(np.searchsorted(sorted_keys, found), len(sorted_keys) - 1)
+    hit = np.flatnonzero(sorted_keys[slot] == found)
+    first, last = np.searchsorted(sorted_keys, found[hit]), np.searchsorted(sorted_keys, found[hit], side="right")
+    times = last - first
+    return np.repeat(hit, times), np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _whole(wanted, items, size, found, at, starts, ends, rows, offsets):
+    """As _matches, for items whose whole sequence stands in a document: its first place, and how often."""
+    hit, slot = _look_up(wanted, found)
+    place, item = at[hit], items[slot]
+    order = np.lexsort((place, item, rows[place]))
+    place, item = place[order], item[order]
+    row = rows[place]
+    cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]))) if len(row) else np.zeros(0, int)
+    for a, b in zip(cut, np.append(cut[1:], len(row))[: len(cut)], strict=True):
+        r, k = row[a], place[a]
+        yield int(r), int(item[a]), 1.0, int(b - a), int(starts[k] - offsets[r]), int(ends[k + size - 1] - offsets[r])
+
+
 def _matches(tests: TestSet, data: np.ndarray, offsets: np.ndarray, least: float):
     """(row, item, similarity, seeds hit, start, end) of each reported pair of a block."""
     hashes, starts, ends, rows = words(data, offsets)
+    for size, (wanted, items) in tests.short.items():
+        yield from _whole(wanted, items, size, *grams(hashes, rows, size), starts, ends, rows, offsets)
     found, at = grams(hashes, rows, tests.n)
     if not len(tests.seeds) or not len(found):
         return
-    slot = np.minimum(np.searchsorted(tests.seeds, found), len(tests.seeds) - 1)
-    hit = np.flatnonzero(tests.seeds[slot] == found)
-    first, last = np.searchsorted(tests.seeds, found[hit]), np.searchsorted(tests.seeds, found[hit], side="right")
-    times = last - first
-    seed = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    place = np.repeat(at[hit], times)
+    hit, seed = _look_up(tests.seeds, found)
+    place = at[hit]
     item, shift, row = tests.seed_item[seed], tests.seed_at[seed], rows[place]
     if not len(row):
         return
@@ -156,10 +200,10 @@ def _matches(tests: TestSet, data: np.ndarray, offsets: np.ndarray, least: float
         begins = np.flatnonzero(opens)
         for x, y in zip(low[begins], reach[np.append(begins[1:], b - a) - 1], strict=True):
             score, end = align(target, hashes[x:y])
-            if score > best[0]:
+            if score > best[0] and score >= 2 * size * least and (score >= 2 * min(size, SURE) or in_order(target, hashes[x : x + end]) >= min(size, SURE)):
                 best = (score, int(x), int(x) + end)
         similarity = best[0] / (2 * size)
-        if similarity >= least:
+        if best[0] and similarity >= least:
             _, back = align(target[::-1], hashes[best[1] : best[2]][::-1])
             begin = max(best[1], best[2] - back)
             yield int(r), int(item[a]), similarity, int(b - a), int(starts[begin] - offsets[r]), int(ends[best[2] - 1] - offsets[r])
