@@ -91,13 +91,14 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     return whole.withColumn("turns", parse_turns(F.col("formatted"))).select("conv_id", "formatted", "turns", "loss_spans", "n_escaped", F.col("turns").eqNullSafe(F.col("source")).alias("identical"))
 
 
-def conversation_digests(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """The digests of what a reader gets back from ``formatted``.
+def masked_text(formatted: Column, spans: Column) -> Column:
+    """What the spans of a loss mask cover, unescaped, end to end."""
+    return F.array_join(F.transform(spans, lambda s: unescape_text(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
 
-    Loss text is read from the parsed turns: what the spans cover, unescaped.
-    """
-    said = F.transform(F.filter("turns", lambda t: t["role"] == loss_role), lambda t: t["text"])
-    both = formatted.select("conv_id", "formatted", "turns", F.array_join(said, "").alias("loss"), "n_escaped", "identical")
+
+def conversation_digests(formatted: DataFrame) -> DataFrame:
+    """The digests of what a reader gets back from ``formatted``: the turns by parsing it, the loss text through the mask."""
+    both = formatted.select("conv_id", "formatted", "turns", masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), "n_escaped", "identical")
     return both.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
