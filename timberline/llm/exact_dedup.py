@@ -20,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,9 @@ from pyspark.sql import functions as F
 from ._spark import lower_ascii, partitions, written
 
 SLOTS, MAX_KICKS = 4, 200
+NO_ID = -(2**63)
+#: Rows that a part of the index is planned for; a part is held by one task.
+PART_ROWS = 200_000
 INDEX_SCHEMA = "part int, log2_buckets int, fingerprints binary, digests binary, keeps binary, sizes binary"
 
 
@@ -84,33 +88,34 @@ class CuckooFilter:
 
 
 class CuckooIndex:
-    """Live digests of one part: a filter in front of bucketed whole keys."""
+    """Live digests of one part: a filter in front of buckets of whole keys, each with what is known of it."""
 
     def __init__(self, log2_buckets: int = 4):
         self.filter = CuckooFilter(log2_buckets)
-        self.buckets: dict[int, list[bytes]] = defaultdict(list)
-        self.entries: dict[bytes, list] = {}
+        self.buckets: dict[int, list[list]] = defaultdict(list)  # [digest, keep_id, size]
         self.resizes = 0
 
     @staticmethod
     def bucket_of(digest: bytes) -> int:
         return int.from_bytes(digest[10:14], "little")
 
+    def entries(self):
+        return chain.from_iterable(self.buckets.values())
+
     def find(self, digest: bytes) -> list | None:
         """The entry of a live digest: filter first, then the bucket's whole keys."""
         if not self.filter.contains(digest):
             return None
-        return self.entries[digest] if digest in self.buckets.get(self.bucket_of(digest), ()) else None
+        return next((e for e in self.buckets.get(self.bucket_of(digest), ()) if e[0] == digest), None)
 
     def insert(self, digest: bytes, keep: int | None, size: int) -> None:
         """Add ``size`` rows of a text, the largest id among them being ``keep``."""
         entry = self.find(digest)
         if entry is not None:
-            entry[0] = keep if entry[0] is None else entry[0] if keep is None else max(entry[0], keep)
-            entry[1] += size
+            entry[1] = keep if entry[1] is None else entry[1] if keep is None else max(entry[1], keep)
+            entry[2] += size
             return
-        self.buckets[self.bucket_of(digest)].append(digest)
-        self.entries[digest] = [keep, size]
+        self.buckets[self.bucket_of(digest)].append([digest, keep, size])
         try:
             self.filter.insert(digest)
         except Overflow:
@@ -123,7 +128,7 @@ class CuckooIndex:
             log2, self.resizes = log2 + 1, self.resizes + 1
             self.filter = CuckooFilter(log2)
             try:
-                for digest in self.entries:
+                for digest, _, _ in self.entries():
                     self.filter.insert(digest)
                 return
             except Overflow:
@@ -131,10 +136,10 @@ class CuckooIndex:
 
     def delete(self, digest: bytes) -> bool:
         """Take a digest out; False if it wasn't live."""
-        if self.find(digest) is None:
+        entry = self.find(digest)
+        if entry is None:
             return False
-        self.buckets[self.bucket_of(digest)].remove(digest)
-        del self.entries[digest]
+        self.buckets[self.bucket_of(digest)].remove(entry)
         self.filter.delete(digest)
         return True
 
@@ -142,9 +147,11 @@ class CuckooIndex:
         marks = np.zeros((1 << self.filter.log2, SLOTS), dtype="<u2")
         for at, held in enumerate(self.filter.slots):
             marks[at, : len(held)] = held
-        keeps = np.array([-(2**63) if k is None else k for k, _ in self.entries.values()], dtype="<i8")
-        sizes = np.array([n for _, n in self.entries.values()], dtype="<i8")
-        return {"part": part, "log2_buckets": self.filter.log2, "fingerprints": marks.tobytes(), "digests": b"".join(self.entries), "keeps": keeps.tobytes(), "sizes": sizes.tobytes()}
+        digests, keeps, sizes = zip(*self.entries(), strict=True) if any(self.buckets.values()) else ((), (), ())
+        return {
+            "part": part, "log2_buckets": self.filter.log2, "fingerprints": marks.tobytes(), "digests": b"".join(digests),
+            "keeps": np.array([NO_ID if k is None else k for k in keeps], dtype="<i8").tobytes(), "sizes": np.array(sizes, dtype="<i8").tobytes(),
+        }
 
     @classmethod
     def of_row(cls, row: dict) -> CuckooIndex:
@@ -153,8 +160,7 @@ class CuckooIndex:
         index.filter.slots = [[m for m in held if m] for held in marks.tolist()]
         for at, (keep, size) in enumerate(zip(np.frombuffer(row["keeps"], "<i8").tolist(), np.frombuffer(row["sizes"], "<i8").tolist(), strict=True)):
             digest = row["digests"][32 * at : 32 * at + 32]
-            index.buckets[cls.bucket_of(digest)].append(digest)
-            index.entries[digest] = [None if keep == -(2**63) else keep, size]
+            index.buckets[cls.bucket_of(digest)].append([digest, None if keep == NO_ID else keep, size])
         return index
 
 
@@ -190,8 +196,8 @@ def _insert_all(index: CuckooIndex, rows: pa.Table) -> None:
 
 
 def build_index(digested: DataFrame, parts: int | None = None) -> DataFrame:
-    """An index table of ``parts`` rows over (doc_id, text_sha256) rows."""
-    parts = parts or 2 * partitions(digested.sparkSession)
+    """An index table of ``parts`` rows over (doc_id, text_sha256) rows; by default one for PART_ROWS rows."""
+    parts = parts or max(2 * partitions(digested.sparkSession), -(-digested.count() // PART_ROWS))
 
     def build(rows: pa.Table) -> pa.Table:
         index = CuckooIndex(max(2, int(np.ceil(np.log2(max(1, rows.num_rows / 3))))))
@@ -228,7 +234,7 @@ def live_classes(index: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 keeps, sizes = np.frombuffer(row["keeps"], "<i8"), np.frombuffer(row["sizes"], "<i8")
                 names = [row["digests"][i : i + 32].hex() for i in range(0, len(row["digests"]), 32)]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keeps, mask=keeps == -(2**63)), pa.array(sizes)], ["text_sha256", "keep_id", "group_size"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keeps, mask=keeps == NO_ID), pa.array(sizes)], ["text_sha256", "keep_id", "group_size"])
 
     return index.mapInArrow(unpack, "text_sha256 string, keep_id long, group_size long")
 
