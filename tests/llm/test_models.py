@@ -109,8 +109,17 @@ def test_language_odd_rows(odd, none):
     assert all(r.score == 0 and r.spans == [] for r in found if r.lang_pred == "und" and r.doc_id != 11)
     empty = li.LanguageModel.learn(none)
     assert {r.lang_pred for r in li.identify_language(odd, empty).collect()} == {"und"} and li.identify_language(none, model).count() == 0
-    kept = li.keep_identified(odd, model)
-    assert kept.columns == odd.columns and kept.count() == sum(r.lang_pred != "und" for r in found)
+    kept = li.label_identified(odd, model)
+    labels = {(r.doc_id, r.lang_pred) for r in found if r.lang_pred != "und"}
+    assert kept.columns == odd.columns and kept.count() == sum(r.lang_pred != "und" for r in found) and {(r.doc_id, r.lang) for r in kept.collect()} == labels
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(li, "MAX_LANGUAGES", 3)
+    rows = spark.createDataFrame([("a word", f"l{i}") for i in range(4)], "text string, lang string")
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        li.LanguageModel.learn(rows)
+    assert li.LanguageModel.learn(rows.where("lang <> 'l0'")).langs == ["l1", "l2", "l3"]
 
 
 def test_quality_accuracy(spark, data):

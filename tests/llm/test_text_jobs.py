@@ -95,6 +95,16 @@ def test_conversation_digests(spark, data):
     assert all(x.identical for x in found.values())
 
 
+def test_loss_is_read_through_the_mask(spark):
+    """A mask that is off by one, or misses a span, gives other digests."""
+    made = cf.format_conversations(turns(spark, (1, 0, "user", "q"), (1, 1, "assistant", "a <|im_end|> b"), (1, 2, "user", "r"), (1, 3, "assistant", "été 😀 c")))
+    digest = lambda df: cf.conversation_digests(df).first().loss_sha256
+    moved = [F.transform("loss_spans", lambda s: F.struct((s["start"] + a).alias("start"), (s["length"] + b).alias("length"))) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))]
+    assert digest(made) == hashlib.sha256("a <|im_end|> bété 😀 c".encode()).hexdigest()
+    broken = [made.withColumn("loss_spans", m) for m in [*moved, F.slice("loss_spans", 1, 1), F.reverse("loss_spans")]]
+    assert len({digest(made), *map(digest, broken)}) == 7
+
+
 def test_chat_nulls_and_ties(spark):
     rows = [(None, None, None, None), (1, 0, "user", None), (1, 0, "assistant", "b"), (1, 0, "assistant", "b"), (1, None, None, "z")]
     found = {r.conv_id: r for r in cf.format_conversations(turns(spark, *rows)).collect()}
@@ -274,3 +284,14 @@ def test_lettered_documents_stay_where_no_language_is_known(spark, odd, data):
     rows = odd.withColumn("lang", F.lit(None).cast("string"))
     left = corpus_pipeline.language_id(spark, rows, data).collect()
     assert Counter(r.doc_id for r in left) == Counter(d for d, t, *_ in ODD if any(c.isalpha() for c in t or ""))
+
+
+def test_language_stage_moves_mislabelled_documents(spark, documents, data):
+    """The label that the first stage sets decides where the last one budgets a document."""
+    german = documents.where("lang = 'de' AND length(text) > 400").orderBy("doc_id").limit(3)
+    ids = {r.doc_id for r in german.collect()}
+    rows = documents.withColumn("lang", F.when(F.col("doc_id").isin(*ids), "es").otherwise(F.col("lang")))
+    labelled = corpus_pipeline.language_id(spark, rows, data)
+    assert {r.lang for r in labelled.where(F.col("doc_id").isin(*ids)).collect()} == {"de"}
+    placed = corpus_pipeline.mixing(spark, labelled, data).where(F.col("doc_id").isin(*ids)).collect()
+    assert {r.mix_lang for r in placed} <= {"de"}

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
+import contextvars
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,21 +24,29 @@ def in_fold(key: Column, mod: int, remainder: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
+    """The folder that the driver and all executors share: spark.checkpoint.dir."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="timberline-"))
-    return context.getCheckpointDir()
+
+_scopes: contextvars.ContextVar[tuple[list[DataFrame], ...]] = contextvars.ContextVar("scopes", default=())
+
+
+@contextlib.contextmanager
+def scratch():
+    """Delete the tables that were ``written`` inside, but for lasting ones, when the block ends."""
+    made: list[DataFrame] = []
+    token = _scopes.set((*_scopes.get(), made))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        discard(*made)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts lineage (a lost executor costs no recomputation of what is
@@ -51,6 +60,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._scratch_path = path
+    if _scopes.get() and not lasting:
+        _scopes.get()[-1].append(out)
     return out
 
 
@@ -62,16 +73,26 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_cleaning = {"lock": threading.Lock(), "users": 0, "before": None}
+
+
 @contextlib.contextmanager
 def shuffles_removed(spark: SparkSession):
-    """Have Spark delete an action's shuffle files when the action ends."""
+    """Have Spark delete an action's shuffle files when the action ends; the first user sets it, the last restores it."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    with _cleaning["lock"]:
+        if not _cleaning["users"]:
+            _cleaning["before"] = spark.conf.get(key, None)
+            spark.conf.set(key, "true")
+        _cleaning["users"] += 1
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        with _cleaning["lock"]:
+            _cleaning["users"] -= 1
+            if not _cleaning["users"]:
+                before = _cleaning["before"]
+                spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -79,5 +100,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Text that one task holds at a time.
+CHUNK_BYTES = 12 << 20
+
+
+def chunk_count(docs: DataFrame, text_col: str, each: int = CHUNK_BYTES) -> int:
+    """Into how many chunks of about ``each`` bytes of text the rows go; not fewer than there are shuffle partitions."""
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-total // each))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -3,10 +3,16 @@
 A column is handled as one byte buffer plus row offsets, so that tokenising
 and hashing are a handful of array passes instead of a Python loop per word.
 Nulls count as empty texts.
+
+Hashes of spans are polynomial modulo 2**64. That is sound for short spans
+only: of two texts made to cancel out (Thue-Morse sequences), those of 1,024
+bytes collide whatever the base. Spans of more than ``LONGEST`` bytes are
+therefore hashed by BLAKE2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +26,11 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Texts are taken in blocks of about this many bytes, which bounds the work arrays.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: Powers are kept for blocks of up to this size; a longer text has its own made and dropped.
+KEPT_POWERS = 2 << 20
+#: The most bytes of a span that is hashed as a polynomial.
+LONGEST = 256
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -40,22 +50,27 @@ def byte_codes(seed: int = 0) -> np.ndarray:
     return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed))
 
 
-_powers: dict[str, np.ndarray] = {}
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))):
+        steps = np.full(n, base, dtype=np.uint64)
+        steps[:1] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(KEPT_POWERS)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n; grown and kept per worker."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        for name, base in (("up", BASE), ("down", inverse)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
-def column_bytes(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64 for i < n; a worker keeps at most KEPT_POWERS of each."""
+    up, down = _kept_powers() if n <= KEPT_POWERS else _powers(n)
+    return up[:n], down[:n]
+
+
+def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The column's UTF-8 bytes end to end, and the offset of each row (one more than rows)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
@@ -65,11 +80,15 @@ def column_bytes(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tup
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     if column.buffers()[2] is None:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
-    raw = memoryview(column.buffers()[2])[offsets[0] : offsets[-1]]
-    data = np.frombuffer(bytes(raw).translate(LOWER) if lower else raw, dtype=np.uint8)
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     return data, offsets - offsets[0]
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return np.frombuffer(data.tobytes().translate(LOWER), dtype=np.uint8)
+
+
 def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES):
     """Row ranges (a, b) whose texts hold about ``size`` bytes; a longer text stands alone."""
     a, rows = 0, len(offsets) - 1
@@ -80,6 +99,14 @@ def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES):
         a = b
 
 
+def text_blocks(column: pa.Array | pa.ChunkedArray, lowered: bool = True, size: int = BLOCK_BYTES):
+    """(a, b, data, offsets) of the row ranges of ``blocks``: their bytes, in lower case if asked for."""
+    data, offsets = column_bytes(column)
+    for a, b in blocks(offsets, size):
+        part = data[offsets[a] : offsets[b]]
+        yield a, b, lower(part) if lowered else part, offsets[a : b + 1] - offsets[a]
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word; words never cross rows."""
     inside = ~WHITE[data]
@@ -108,14 +135,19 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def content_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each data[start:end] of any length, the starts ascending."""
+    out = np.empty(len(starts), np.uint64)
+    for a in range(0, len(data), BLOCK_BYTES):  # in slices, so that a very long text needs no long arrays
+        x, y = np.searchsorted(starts, [a, a + BLOCK_BYTES])
+        part = data[a : a + BLOCK_BYTES + LONGEST]
+        out[x:y] = span_hashes(prefix_hashes(part), starts[x:y] - a, np.minimum(ends[x:y] - a, len(part)))
+    for i in np.flatnonzero(ends - starts > LONGEST).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every word of a block."""
     starts, ends, rows = word_spans(data, offsets)
-    return span_hashes(prefix_hashes(data), starts, ends), rows
-
-
-def crc_remainder(ids: np.ndarray | list, mod: int) -> np.ndarray:
-    """crc32 of each id as decimal text, modulo ``mod``."""
-    import zlib
-
-    return np.fromiter((zlib.crc32(str(int(i)).encode()) % mod for i in ids), dtype=np.int64, count=len(ids))
+    return content_hashes(data, starts, ends), rows

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import discard, written
-from ._text import blocks, column_bytes, mix64, prefix_hashes, span_hashes
+from ._text import column_bytes, content_hashes, lower, mix64, text_blocks
 
 WORD = np.zeros(256, dtype=bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -51,7 +51,7 @@ def words(data: np.ndarray, offsets: np.ndarray):
     opens[1:] &= ~inside[:-1] | first[1:n]
     closes[:-1] &= ~inside[1:] | first[1:n]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    return span_hashes(prefix_hashes(data), starts, ends), starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+    return content_hashes(data, starts, ends), starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
 def grams(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,9 +95,9 @@ class TestSet:
     __test__ = False
 
     def __init__(self, ids: list, texts: pa.Array, n: int):
-        data, offsets = column_bytes(texts, lower=True)
+        data, offsets = column_bytes(texts)
         self.ids, self.n = ids, n
-        self.hashes, _, _, self.rows = words(data, offsets)
+        self.hashes, _, _, self.rows = words(lower(data), offsets)
         self.bounds = np.searchsorted(self.rows, np.arange(len(ids) + 1))
         self.vocabulary = np.unique(self.hashes)
         self.seeds = self.seed_item = self.seed_at = None
@@ -135,9 +135,8 @@ def _word_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
         known = shared.value
         counts = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
-            data, offsets = column_bytes(batch.column("text"), lower=True)
-            for a, b in blocks(offsets):
-                found, _, _, _ = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for _, _, data, offsets in text_blocks(batch.column("text")):
+                found, _, _, _ = words(data, offsets)
                 at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                 counts[:-1] += np.bincount(at[known[at] == found], minlength=len(known))
                 counts[-1] += len(found)
@@ -254,9 +253,8 @@ def _drop(docs: DataFrame, shared, least: float, text_col: str) -> DataFrame:
         tests = shared.value
         for batch in batches:
             stays = np.ones(batch.num_rows, dtype=bool)
-            data, offsets = column_bytes(batch.column(text_col), lower=True)
-            for a, b in blocks(offsets):
-                stays[[r + a for r, *_ in _matches(tests, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], least)]] = False
+            for a, _, data, offsets in text_blocks(batch.column(text_col)):
+                stays[[r + a for r, *_ in _matches(tests, data, offsets, least)]] = False
             yield batch.filter(pa.array(stays))
 
     return docs.mapInArrow(run, docs.schema)
@@ -269,9 +267,8 @@ def _find(texts: DataFrame, items: DataFrame, n: int, rare: float, least: float)
         tests = shared.value
         for batch in batches:
             ids = batch.column("doc_id")
-            data, offsets = column_bytes(batch.column("text"), lower=True)
-            for a, b in blocks(offsets):
-                rows = [*_matches(tests, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], least)]
+            for a, _, data, offsets in text_blocks(batch.column("text")):
+                rows = [*_matches(tests, data, offsets, least)]
                 if rows:
                     row, item, similarity, seeds, start, end = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array([x + a for x in row])), pa.array([tests.ids[x] for x in item], pa.int64()), pa.array(similarity), pa.array(seeds, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["doc_id", "item_id", "similarity", "n_seeds", "start", "end"])

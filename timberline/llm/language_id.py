@@ -14,7 +14,8 @@ A-Z. The model takes 1 MB a language (``SLOTS`` counts), whatever the corpus.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
 0; so is every text if nothing was learned. Rows whose lang is null are not
-learned from. Ties go to the language that sorts first.
+learned from. Ties go to the language that sorts first. More than
+``MAX_LANGUAGES`` different lang values are refused with an error.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import BLOCK_BYTES, blocks, column_bytes, prefix_hashes, span_hashes
+from ._text import blocks, content_hashes, text_blocks
 
 #: First code points of Unicode script ranges (fixed values); 'other' fills the gaps.
 SCRIPT_STARTS = [
@@ -41,7 +42,9 @@ _NAMES = np.array([SCRIPTS.index(name) for _, name in SCRIPT_STARTS])
 TRIGRAMS = WORDS = 1 << 16
 SLOTS = TRIGRAMS + WORDS + len(SCRIPTS)
 #: Viterbi runs over this many bytes of documents at once.
-DECODE_BYTES = 16 << 20
+DECODE_BYTES = 4 << 20
+#: The most languages a model has: it is 1 MB a language, in the driver and in each task.
+MAX_LANGUAGES = 500
 
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[0x61:0x7B] = True
@@ -79,7 +82,7 @@ def _features(data: np.ndarray, offsets: np.ndarray):
         return ((x << np.uint32(16) | y << np.uint32(8) | z) * np.uint32(0x9E3779B1)) >> np.uint32(16)
 
     last = ends - 1
-    return starts, ends, rows, scripts, inside, slot(two, one, wide), slot(one[last], wide[last], np.uint32(32)), TRIGRAMS + (span_hashes(prefix_hashes(data), starts, ends) >> np.uint64(48)).astype(np.int64)
+    return starts, ends, rows, scripts, inside, slot(two, one, wide), slot(one[last], wide[last], np.uint32(32)), TRIGRAMS + (content_hashes(data, starts, ends) >> np.uint64(48)).astype(np.int64)
 
 
 def count_features(rows: DataFrame) -> DataFrame:
@@ -88,12 +91,10 @@ def count_features(rows: DataFrame) -> DataFrame:
     def run(batches):
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            data, offsets = column_bytes(batch.column("text"), lower=True)
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
             names = sorted(set(langs.tolist()))
             codes = np.searchsorted(np.array(names, dtype=object), langs) if names else np.zeros(0, int)
-            for a, b in blocks(offsets):
-                block, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            for a, b, block, cuts in text_blocks(batch.column("text")):
                 starts, ends, doc, scripts, inside, tri, tri_end, word = _features(block, cuts)
                 of_byte = np.repeat(codes[a:b], np.diff(cuts))
                 of_word = codes[a:b][doc]
@@ -131,8 +132,11 @@ class LanguageModel:
 
     @classmethod
     def learn(cls, rows: DataFrame, **options) -> LanguageModel:
-        """From (text, lang) rows; brings SLOTS numbers a language to the driver."""
-        found = count_features(rows.where(F.col("lang").isNotNull()).select("text", "lang")).toArrow()
+        """From (text, lang) rows; brings SLOTS numbers a language to the driver, of MAX_LANGUAGES at most."""
+        rows = rows.where(F.col("lang").isNotNull()).select("text", "lang")
+        if rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+            raise ValueError(f"more than {MAX_LANGUAGES} languages to learn: clean the lang column first")
+        found = count_features(rows).toArrow()
         names = found["lang"].to_pylist()
         langs = sorted(set(names))
         counts = np.zeros((SLOTS, len(langs)), np.int64)
@@ -191,19 +195,18 @@ def _decode(model: LanguageModel, data: np.ndarray, offsets: np.ndarray, penalty
     """Language code, score and spans of each document."""
     docs, states = len(offsets) - 1, len(model.langs)
     parts = []
-    for a, b in blocks(offsets, BLOCK_BYTES):
+    for a, b in blocks(offsets):
         starts, ends, rows, scores = model.word_scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         parts.append((starts + offsets[a], ends + offsets[a], rows + a, scores))
-    starts, ends, rows = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
-    scores = np.concatenate([p[3] for p in parts]) if parts else np.zeros((0, states), np.float32)
+    starts, ends, rows, scores = (np.concatenate([p[k] for p in parts]) for k in range(4))
     lengths = np.bincount(rows, minlength=docs)
     labels = viterbi(scores, np.cumsum(lengths) - lengths, lengths, penalty)
     letters = np.bincount(rows * states + labels, weights=ends - starts, minlength=docs * states).reshape(docs, states)
     code = letters.argmax(axis=1)
     share = letters[np.arange(docs), code] / np.maximum(1, letters.sum(axis=1))
-    total = np.stack([np.bincount(rows, weights=scores[:, k], minlength=docs) for k in range(states)], axis=1) if docs else np.zeros((0, states))
+    total = np.stack([np.bincount(rows, weights=scores[:, k], minlength=docs) for k in range(states)], axis=1)
     total *= (np.minimum(lengths, 20) / np.maximum(1, lengths))[:, None]
-    likely = np.exp(total - total.max(axis=1, keepdims=True)) if docs else total
+    likely = np.exp(total - total.max(axis=1, keepdims=True))
     score = share * likely[np.arange(docs), code] / np.maximum(likely.sum(axis=1), 1e-300)
     if not spans:
         return code, score, None
@@ -216,10 +219,9 @@ def _decode(model: LanguageModel, data: np.ndarray, offsets: np.ndarray, penalty
 
 def _labels(model: LanguageModel, texts: pa.Array, lettered: np.ndarray, penalty: float, spans: bool):
     """(first row, last row, names, scores, spans) of a batch, in runs of DECODE_BYTES."""
-    data, offsets = column_bytes(texts, lower=True)
-    for a, b in blocks(offsets, DECODE_BYTES):
+    for a, b, data, offsets in text_blocks(texts, size=DECODE_BYTES):
         if model.langs:
-            code, score, found = _decode(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], penalty, spans)
+            code, score, found = _decode(model, data, offsets, penalty, spans)
             yield a, b, np.where(lettered[a:b], np.array(model.langs, dtype=object)[code], "und"), np.where(lettered[a:b], score, 0.0), found
         else:
             yield a, b, np.full(b - a, "und", dtype=object), np.zeros(b - a), pa.array([[]] * (b - a), pa.list_(SPAN))
@@ -251,13 +253,13 @@ def _lettered(text_col: str):
     return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that identify_language doesn't call ``und``.
+def label_identified(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, that identify_language doesn't call ``und``, with its label for their language.
 
-    A text is ``und`` if it has no letter, so with a model of languages those
-    rows go, whatever the scores say. Where nothing was learned every text is
-    ``und``, which tells nothing of it: then too, only rows without a letter go.
-    Rows stay where they are: texts pass through the task that labels them.
+    A text is ``und`` if it has no letter. Where nothing was learned every
+    text is ``und``, which tells nothing of it: then rows without a letter go,
+    and the others keep the language they came with. Rows stay where they are:
+    texts pass through the task that labels them.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.scores, model.barred))
     mark = "lettered"
@@ -269,7 +271,11 @@ def keep_identified(docs: DataFrame, model: LanguageModel, penalty: float = 8.0,
         for batch in batches:
             lettered = np.array(batch.column(mark).to_pylist(), dtype=bool)
             rows = batch.select([n for n in batch.schema.names if n != mark])
+            at = rows.schema.get_field_index(lang_col)
             for a, b, names, _, _ in _labels(here, batch.column(text_col), lettered, penalty, False):
-                yield rows[a:b].filter(pa.array(names != "und" if here.langs else lettered[a:b]))
+                part = rows[a:b]
+                if here.langs:
+                    part = part.set_column(at, part.schema.field(at), pa.array(names, part.schema.field(at).type))
+                yield part.filter(pa.array(names != "und" if here.langs else lettered[a:b]))
 
     return docs.withColumn(mark, _lettered(text_col)).mapInArrow(run, docs.schema)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import partitions, written
-from ._text import blocks, column_bytes, mix64, word_hashes
+from ._text import mix64, text_blocks, word_hashes
 
 END = np.uint64(0xE5D0E5D0E5D0E5D1)
 STEPS = 8  # bins per octave
@@ -63,13 +63,11 @@ class Tokens:
     """The tokens of a chunk: hashes with an end token after each row's words."""
 
     def __init__(self, texts):
-        data, offsets = column_bytes(texts, lower=True)
-        hashes, rows = [], []
-        for a, b in blocks(offsets):
-            h, r = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        hashes, rows, docs = [], [], len(texts)
+        for a, _, data, offsets in text_blocks(texts):
+            h, r = word_hashes(data, offsets)
             hashes.append(h)
             rows.append(r + a)
-        docs = len(offsets) - 1
         words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         of = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         self.counts = np.bincount(of, minlength=docs) + 1

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import blocks, column_bytes, word_hashes
+from ._text import lower, text_blocks, word_hashes, word_spans
 
 STATISTICS = [
     "log_bytes", "log_words", "word_length", "upper", "digits", "symbols", "shouts", "stops", "wide", "breaks",
@@ -40,8 +40,6 @@ SYMBOL[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in "
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of transformed statistics per text."""
-    from ._text import word_spans
-
     docs = len(offsets) - 1
     sizes = np.diff(offsets).astype(float)
     starts, ends, rows = word_spans(data, offsets)
@@ -65,10 +63,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         np.maximum.at(top, of[order][firsts], np.diff(np.append(firsts, len(order))))
         return np.bincount(of[order][firsts], minlength=docs).astype(float), top
 
-    from ._text import LOWER
-
-    lowered = np.frombuffer(data.tobytes().translate(LOWER), dtype=np.uint8)
-    hashes, _ = word_hashes(lowered, offsets)
+    hashes, _ = word_hashes(lower(data), offsets)
     single, top = distinct(hashes, rows)
     paired = np.flatnonzero(rows[1:] == rows[:-1]) if len(rows) else np.zeros(0, int)
     pairs, _ = distinct(hashes[paired] * np.uint64(3) + hashes[paired + 1], rows[paired])
@@ -90,9 +85,8 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for batch in batches:
-            data, offsets = column_bytes(batch.column("text"))
-            for a, b in blocks(offsets):
-                x = statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for a, b, data, offsets in text_blocks(batch.column("text"), lowered=False):
+                x = statistics(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))], ["doc_id", "x"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, x array<double>")
