@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm._spark import discard, partitions, table, written
+from timberline.llm._spark import discard, partitions, scratch, table, written
 from timberline.llm.decontaminate import drop_contaminated
 from timberline.llm.exact_dedup import exact_duplicates, text_digest
-from timberline.llm.language_id import LanguageModel, keep_identified
+from timberline.llm.language_id import LanguageModel, label_identified
 from timberline.llm.mixing import mix
 from timberline.llm.near_dedup import near_duplicates
 from timberline.llm.queries import DOMAIN, WEIGHTS
@@ -43,8 +43,12 @@ def _keyed(docs: DataFrame, key: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that get no language: without a letter, empty or null."""
-    return keep_identified(docs, LanguageModel.learn(docs))
+    """Set each document's lang to the language found in its text; drop those that get none: without a letter, empty or null.
+
+    Mixing goes by the language that is set here, so a document with a wrong
+    or missing lang is budgeted with those it belongs to.
+    """
+    return label_identified(docs, LanguageModel.learn(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -92,7 +96,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch():  # what the stage wrote on its way goes
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
         discard(*before)
         before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
