@@ -2,7 +2,6 @@
 
 import hashlib
 import re
-from collections import Counter
 
 import numpy as np
 
@@ -54,8 +53,3 @@ def cut_repeats(rows, length=100):
         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
         out.append((int(gone.sum()), int((np.diff(np.append(0, gone.astype(int))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
     return out
-
-
-def base_counts(texts, trained):
-    counts = Counter(w for d, t in texts.items() if trained(d) for w in [*words(t), None])
-    return counts, sum(counts.values()), len(counts)

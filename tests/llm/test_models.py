@@ -1,10 +1,11 @@
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from conftest import ODD
-from plain import base_counts, words
+from plain import words
 from pyspark.sql import functions as F
 
 from timberline.llm import language_id as li
@@ -18,24 +19,70 @@ def fold(d, mod):
     return zlib.crc32(str(d).encode()) % mod
 
 
+def plain_language_model(texts, trained):
+    """Counts and mixture weights learned token by token, and P(word | context)."""
+    tokens = {d: [*words(t), None] for d, t in texts.items()}
+    one, two = Counter(), Counter()
+    for d, ws in tokens.items():
+        if trained(d):
+            one.update(ws)
+            two.update(zip([None, *ws[:-1]], ws, strict=True))
+    n, v = sum(one.values()), len(one)
+    octave = lambda c: 0 if c <= 0 else min(1 + int(math.log2(c)), lm.OCTAVES - 1)
+    left_out = Counter()
+    for (context, w), times in two.items():  # every training token, with itself left out of the counts
+        c = one[context] - 1
+        left_out[octave(c), (times - 1) / c if c > 0 else 0.0, (one[w] - 1) / (n - 1)] += times
+    weights = np.tile([0.4, 0.4, 0.2], (lm.OCTAVES, 1))
+    weights[0] = [0, 0.8, 0.2]
+    for _ in range(60):
+        sums = np.zeros((lm.OCTAVES, 3))
+        for (k, pair, word), times in left_out.items():
+            each = weights[k] * [pair, word, 1 / (v + 1)]
+            sums[k] += times * each / each.sum()
+        seen = sums.sum(axis=1) > 0
+        sums[:, 2] += 1e-3
+        weights = np.where(seen[:, None], sums / sums.sum(axis=1, keepdims=True), weights)
+    for k in range(2, lm.OCTAVES):
+        if not seen[k] and seen[1:k].any():
+            weights[k] = weights[k - 1]
+
+    def p(w, context):
+        a2, a1, a0 = weights[octave(one[context])]
+        return a2 * two[context, w] / max(1, one[context]) + a1 * one[w] / n + a0 / (v + 1)
+
+    return tokens, one, n, v, p
+
+
 def test_language_model_counts_and_scores(spark, data, texts):
+    """Against the plain model: the query's EM works on estimates rounded to an eighth of an octave."""
     found = {r.doc_id: r for r in QUERIES["op1_lm_scoring"](spark, data).collect()}
-    counts, n, v = base_counts(texts, lambda d: fold(d, 7) != 2)
-    for d, t in texts.items():
-        tokens = [*words(t), None]
-        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens)
+    tokens, counts, n, v, p = plain_language_model(texts, lambda d: fold(d, 7) != 2)
+    for d, ws in tokens.items():
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)
+        score = sum(math.log10(p(w, context)) for context, w in zip([None, *ws[:-1]], ws, strict=True))
         r = found[d]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold(d, 7) == 2, len(tokens), sum(counts[w] > 0 for w in tokens), n)
-        assert r.base_score == pytest.approx(base, rel=1e-9)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold(d, 7) == 2, len(ws), sum(counts[w] > 0 for w in ws), n)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=5e-3)
     held = [r for r in found.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held) and all(r.score < 0 for r in held)
 
 
 def test_interpolated_probabilities_sum_to_one(spark):
-    """Scores of one-word texts against a hand-made model: all words and the unknown share one."""
-    docs = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, "a"), (4, "c"), (5, "b c"), (6, "zz")], "doc_id long, text string")
-    scored = lm.score_documents(docs, F.col("doc_id") != 6).collect()
-    assert {r.doc_id for r in scored if r.held_out} == {6} and all(math.isfinite(r.score) for r in scored)
+    """P(w | context) over the whole vocabulary and one unknown word, read from differences of scores."""
+    train = ["a b a", "b", "a", "c", "b c", "a b c a b", "d a"]
+    ends, vocabulary = ["a", "b", "c", "d", "zz"], ["a", "b", "c", "d"]
+    # The score of "x" is log P(x | end) + log P(end | x), that of "x y" adds log P(y | x) and swaps the last factor.
+    asked = [*vocabulary, "zz", ""] + [f"{x} {y}" for x in vocabulary for y in ends]
+    docs = spark.createDataFrame([(k, t, True) for k, t in enumerate(train)] + [(100 + k, t, False) for k, t in enumerate(asked)], "doc_id long, text string, train boolean")
+    score = {asked[r.doc_id - 100]: r.score for r in lm.score_documents(docs, F.col("train")).collect() if r.doc_id >= 100}
+    _, one, n, v, p = plain_language_model(dict(enumerate(train)), lambda d: True)
+    for x in [*vocabulary, None]:
+        assert sum(p(w, x) for w in [*vocabulary, None]) + p("zz", x) == pytest.approx(1.0, abs=1e-9)
+    for x in vocabulary:
+        # Sum over y of P(y | x), each from the scores: P(y | x) = 10 ** (score(x y) - score(x)) * P(end | x) / P(end | y)
+        total = sum(10 ** (score[f"{x} {y}"] - score[x]) * p(None, x) / p(None, y) for y in ends)
+        assert total + p(None, x) == pytest.approx(1.0, rel=0.05)
     cells = np.array([(3 * lm.BINS + 200) * lm.BINS + 180, (3 * lm.BINS + 0) * lm.BINS + 150, (5 * lm.BINS + 190) * lm.BINS + 170])
     weights = lm.learn_weights(cells, np.array([50.0, 20.0, 30.0]))
     assert np.allclose(weights.sum(axis=1), 1) and (weights >= 0).all() and weights[0, 0] == 0

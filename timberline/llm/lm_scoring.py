@@ -14,12 +14,15 @@ counts in turn, so its estimates are (c(v w) - 1) / (c(v) - 1) and
 estimates (to an eighth of an octave), which all training tokens enter and
 whose size does not depend on the corpus.
 
-How counts get to tokens: documents are dealt into chunks by id. A chunk lists
-its different n-grams once, as sorted 64-bit hashes with its own training
-counts, and sends them to buckets by hash range; a bucket adds up all chunks'
-counts and answers each chunk in the chunk's own order. So a very frequent
-n-gram reaches its bucket once per chunk, and lists travel as differences of
-sorted hashes. The answers then meet the chunk's texts again.
+How counts get to tokens: documents are dealt into chunks of about 12 MB of
+text. A chunk lists its different n-grams once, as sorted 64-bit hashes with
+its own training counts, and sends them to buckets by hash range; a bucket adds
+up all chunks' counts and answers each chunk in the chunk's own order. So a very
+frequent n-gram reaches its bucket once per chunk, and lists travel as
+differences of sorted hashes. The answers then meet the chunk's texts again.
+There are as many buckets as chunks, so that the tasks of both keep their size
+as the corpus grows. The pieces that chunks send get shorter then, but there
+are never more of them than n-grams in the chunks' lists.
 
 Defined results: a null or empty text is the end token alone; a row whose id is
 null is learned from; rows that repeat an id are scored each; without training
@@ -35,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import partitions, written
+from ._spark import chunk_count, discard, written
 from ._text import mix64, text_blocks, word_hashes
 
 END = np.uint64(0xE5D0E5D0E5D0E5D1)
@@ -222,14 +225,15 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     ``train`` tells which rows are learned from. base_score is the add-one
     unigram model's log10 probability, score that of the interpolated model.
     """
-    spark = docs.sparkSession
-    buckets = partitions(spark)
-    chunks = chunks or 2 * buckets
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(True)).alias("train")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
-    asked = rows.groupBy("chunk").applyInArrow(_requests(buckets), "bucket int, chunk int, kind int, grams binary, counts binary")
-    answers = written(asked.groupBy("bucket").applyInArrow(_answers, "chunk int, kind int, bucket int, answer binary, n_tokens long, n_words long"), "ngram-counts")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
+    n = chunks or chunk_count(rows, "text")
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartitionById(n, "chunk").groupBy("chunk")
+    asked = dealt.applyInArrow(_requests(n), "bucket int, chunk int, kind int, grams binary, counts binary")
+    answers = written(asked.repartitionById(n, "bucket").groupBy("bucket").applyInArrow(_answers, "chunk int, kind int, bucket int, answer binary, n_tokens long, n_words long"), "ngram-counts")
     n_tokens, n_words = (int(x or 0) for x in answers.agg(F.sum("n_tokens"), F.sum("n_words")).first())
-    evidence = written(rows.groupBy("chunk").cogroup(answers.select("chunk", "kind", "bucket", "answer").groupBy("chunk")).applyInArrow(_evidence(n_tokens, n_words), EVIDENCE), "lm-evidence")
+    answered = answers.select("chunk", "kind", "bucket", "answer").repartitionById(n, "chunk").groupBy("chunk")
+    evidence = written(dealt.cogroup(answered).applyInArrow(_evidence(n_tokens, n_words), EVIDENCE), "lm-evidence")
+    discard(answers)
     table = deleted_estimates(evidence, n_tokens, n_words).toArrow()
     weights = learn_weights(table["cell"].to_numpy(), table["n"].to_numpy().astype(float))
 
