@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import ODD
 from plain import AZ, components, cut_repeats
@@ -95,13 +97,78 @@ def test_components(spark):
     assert found == {2: 1, 3: 1, 4: 1, 8: 5, 9: 5, 101: 100}
 
 
-@pytest.mark.parametrize("common", [24, 2])
-def test_suffix_removal(documents, texts, monkeypatch, common):
-    monkeypatch.setattr(sd, "COMMON", common)  # 2: seeds with two contexts in a chunk take the path of common ones
-    found = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in sd.remove_repeats(documents).collect()}
+@pytest.mark.parametrize(("common", "in_all"), [(24, 4096), (2, 4096), (10**9, 10**9), (10**9, 2)])
+def test_suffix_removal(documents, texts, monkeypatch, common, in_all):
+    """Whatever seeds are taken for common: by default, nearly all in a chunk, none, nearly all in all chunks."""
+    monkeypatch.setattr(sd, "COMMON", common)
+    monkeypatch.setattr(sd, "COMMON_IN_ALL", in_all)
+    found = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in sd.remove_repeats(documents, chunks=5).collect()}
     assert found == dict(zip(sorted(texts), cut_repeats([texts[d] for d in sorted(texts)]), strict=True))
 
 
+def anchors_of(texts):
+    rows = pa.table({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    chunk = sd.Chunk(rows)
+    return chunk, sd.Anchors(chunk.data, chunk.offsets, 100)
+
+
+PASSAGES = [" ".join(f"{w}{k}{i}" for k in range(30)) for i, w in enumerate(("alpha", "beta", "gamma"))]
+REPEATING = [PASSAGES[0], "x" + PASSAGES[1], PASSAGES[0] + "y", PASSAGES[2] + PASSAGES[1], PASSAGES[0], "z" * 400]
+
+
+def test_contexts_of_a_chunk_survive_collisions():
+    chunk, found = anchors_of(REPEATING)
+    found.context[:] = 0
+    found.seed[:] = 0
+    firsts, later = found.split_repeats(chunk.data, chunk.offsets, 100)
+    raw, base = chunk.data.tobytes(), chunk.offsets[found.row]
+    context = [raw[x:y] for x, y in zip(base + found.first, base + found.last + 100, strict=True)]
+    assert sorted([*firsts, *later]) == list(range(len(found.row))) and len(later)
+    assert {context[k] for k in later} <= {context[k] for k in firsts}
+    # Under one hash only the first of all can be an earlier copy, so contexts may stay that the digests of all chunks decide.
+    assert len({tuple(d) for d in found.take(firsts).digests(chunk.data, chunk.offsets, 100)}) == len({context[k] for k in firsts})
+
+
+def test_strings_of_a_chunk_survive_collisions(monkeypatch):
+    data = np.frombuffer(("ab" * 40 + "abc" * 30 + "ab" * 40).encode(), np.uint8)
+    at = np.arange(len(data) - 19)
+    raw = data.tobytes()
+    for broken in (False, True):
+        if broken:
+            monkeypatch.setattr(sd, "content_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+        firsts, later = sd.first_strings(data, at, 20)
+        assert sorted([*firsts, *later]) == at.tolist() and {raw[x : x + 20] for x in later} <= {raw[x : x + 20] for x in firsts}
+        assert broken or len({raw[x : x + 20] for x in firsts}) == len(firsts)
+    assert sd._binary(data, at[:50], 20).to_pylist() == [raw[x : x + 20] for x in range(50)]
+
+
+def test_seeds_that_collide_give_the_same_repeats():
+    """Contexts of different seeds in one group: the sort tells them apart by their bytes."""
+    chunk, found = anchors_of(REPEATING)
+    raw, base = chunk.data.tobytes(), chunk.offsets[found.row]
+    contexts = sd.column_bytes(pa.array([raw[x:y] for x, y in zip(base + found.first, base + found.last + 100, strict=True)], pa.binary()))
+
+    def repeats(seed):
+        return sorted((int(k), int(x)) for again, start in sd.repeated_strings(seed, found.row, np.zeros_like(found.row), found.at, found.first, found.last, contexts, 100) for k, x in zip(again, start, strict=True))
+
+    seen, expected = set(), []
+    for k, (row, first, last) in enumerate(zip(found.row, found.first, found.last, strict=True)):
+        for x in range(first, last + 1):
+            piece = raw[chunk.offsets[row] + x : chunk.offsets[row] + x + 100]
+            expected += [(k, x)] * (piece in seen)
+            seen.add(piece)
+    assert repeats(found.seed) == expected and repeats(np.zeros_like(found.seed)) == expected
+
+
+def test_digests_decide_whole_contexts(spark):
+    """Rows of one seed and one half of the digest are one context only if the other half agrees."""
+    rows = pa.table({"route": [7, 7, 7, 7], "c1": [1, 1, 1, 2], "c2": [5, 6, 5, 5], "doc_id": [1, 2, 3, 4], "ordinal": [0, 0, 0, 0], "at": [0, 0, 0, 0], "spread": [False] * 4})
+    (out,) = sd._decide(100)(iter(rows.to_batches()))
+    assert {r["doc_id"]: (r["whole"], r["common"]) for r in out.to_pylist()} == {1: (False, False), 2: (False, False), 3: (True, False), 4: (False, False)}
+    (out,) = sd._decide(3)(iter(rows.to_batches()))
+    assert {r["doc_id"]: (r["whole"], r["common"]) for r in out.to_pylist()} == {1: (False, True), 2: (False, True), 3: (True, True), 4: (False, True)}
+
+
 def test_suffix_removal_around_a_common_passage(spark):
     """One passage in many surroundings, over several chunks, with the default bound."""
     rng = random.Random(7)
@@ -123,8 +190,6 @@ def test_suffix_removal_of_odd_rows(odd, none):
 
 
 def test_suffix_sort_matches_plain_sort_and_survives_collisions(monkeypatch):
-    import numpy as np
-
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
     starts = rng.integers(0, 2900, 400)

@@ -8,14 +8,17 @@ the same place, so it is enough to compare the strings around anchors with
 equal seeds. Neighbouring strings share their anchor; together they form its
 context, and a text of n bytes has about n / 35 of them.
 
-1. Documents are dealt into chunks by id. A chunk lists its anchors; a context
-   that stood earlier in the same chunk is decided there. The first of each
-   context goes by its seed's hash: a (seed, context) that stood earlier is a
-   repeat as a whole, and a seed with several contexts is undecided. A very
-   common passage reaches its task once per chunk, not once per copy.
-   A seed with many contexts in one chunk is common: its contexts are dealt by
-   (seed, context) instead, and every chunk that sees this tells the seed's
-   task, so that all of the seed's contexts count as common.
+1. Documents are dealt by id into chunks of about 12 MB. A chunk lists its
+   anchors; a context that stood earlier in the same chunk is decided there,
+   by its bytes. The first of each context goes by its seed's hash, with a
+   128-bit BLAKE2b digest of the context's bytes: a (seed, digest) that stood
+   earlier is a repeat as a whole, and a seed with several contexts is
+   undecided. A very common passage reaches its task once per chunk, not once
+   per copy.
+   A seed with many contexts, in one chunk or in all together, is common: it
+   stands at the edge of a passage that has very many surroundings. Where a
+   chunk sees this, its contexts are dealt by (seed, digest) instead, and the
+   seed's task is told, so that all of the seed's contexts count as common.
 2. Undecided contexts are sent, as bytes, to the task of their seed. There
    their suffixes from the anchor on, and their reversed prefixes before it,
    are suffix-sorted: a mergesort whose comparisons find the common extension
@@ -24,14 +27,14 @@ context, and a text of n bytes has about n / 35 of them.
    hash collision can't pass (the sort is redone on plain bytes). Two strings
    are equal if they agree on both sides of the anchor; all but the first of
    equals are repeats.
-3. The strings of common seeds' contexts are too many for one task. Each chunk
-   sends the first of equal ones, under two 64-bit hashes of all its bytes, and
-   all but the first of all chunks are repeats.
+3. The contexts of common seeds are too many for one task. Each chunk sends the
+   first of their equal strings, as bytes; all but the first of all chunks are
+   repeats. A string that stands in all surroundings is sent once per chunk.
 4. Each chunk marks the bytes under repeats and cuts them out.
 
-Whole contexts are matched across chunks by two independent 64-bit hashes, of
-the seed and of the context; contexts that differ are compared by bytes, but
-for common seeds.
+Polynomial hashes only choose what is compared: strings and contexts of one
+chunk are equal if their bytes are, whole contexts of several chunks if their
+digests are.
 
 Defined results: a null text counts as empty; texts shorter than ``length``
 lose nothing; rows that share a doc_id are ordered by text and the later row's
@@ -47,18 +50,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import partitions, written
-from ._text import blocks, byte_codes, column_bytes, mix64, powers, prefix_hashes, span_hashes
+from ._spark import chunk_count, discard, written
+from ._text import blocks, byte_codes, column_bytes, content_hashes, mix64, powers, prefix_hashes, span_hashes
 
 SEED = 32
 PLACE_BITS = np.uint64(28)
 NO_ID = -(2**63)
-#: A seed with so many contexts in a chunk is common; fewer where there are so many chunks that a seed's could pass COLD_CONTEXTS.
-COMMON, COLD_CONTEXTS = 24, 200_000
+#: A seed with so many contexts in a chunk, or in all chunks, is common. This bounds a seed's task; results don't depend on it.
+COMMON, COMMON_IN_ALL = 24, 4096
 #: Work arrays of an anchor search take about 80 bytes for each of these.
 ANCHOR_BLOCK = 1 << 20
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether data[a:a+n] equals data[b:b+n], for each a, b and n."""
+    out = np.ones(len(a), dtype=bool)
+    ends = np.cumsum(n)
+    x = 0
+    while x < len(a):
+        y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + ANCHOR_BLOCK, side="right")))
+        m = n[x:y]
+        ramp = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        differs = data[np.repeat(a[x:y], m) + ramp] != data[np.repeat(b[x:y], m) + ramp]
+        out[np.repeat(np.arange(x, y), m)[differs]] = False
+        x = y
+    return out
+
+
 class Anchors:
     """The anchors of a chunk's rows; places count from the start of the row."""
 
@@ -104,12 +122,23 @@ class Anchors:
             setattr(out, name, getattr(self, name)[which])
         return out
 
-    def split_repeats(self) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes of the first of each (seed, context), rows being in order, and of the others."""
+    def split_repeats(self, data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of the first of each context, rows being in order, and of the others, whose bytes are the same."""
         order = np.lexsort((np.arange(len(self.seed)), self.context, self.seed))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (self.seed[order][1:] != self.seed[order][:-1]) | (self.context[order][1:] != self.context[order][:-1])
-        return np.sort(order[new]), order[~new]
+        lead, later = order[new][np.cumsum(new) - 1][~new], order[~new]
+        begin, size = offsets[self.row] + self.first, self.last + length - self.first
+        same = (size[lead] == size[later]) & (self.at[lead] - self.first[lead] == self.at[later] - self.first[later])
+        same[same] = same_bytes(data, begin[lead[same]], begin[later[same]], size[later[same]])
+        return np.sort(np.append(order[new], later[~same])), later[same]
+
+    def digests(self, data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
+        """128 bits for each context: two 64-bit numbers."""
+        begin = offsets[self.row] + self.first
+        raw, make = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+        joined = b"".join([make(raw[x:y], digest_size=16).digest() for x, y in zip(begin.tolist(), (offsets[self.row] + self.last + length).tolist(), strict=True)])
+        return np.frombuffer(joined, np.int64).reshape(-1, 2)
 
 
 class Chunk:
@@ -142,24 +171,28 @@ def _numpy(rows: pa.Table, *names: str) -> list[np.ndarray]:
     return [rows[n].to_numpy() for n in names]
 
 
-def _decide(batches):
+def _decide(in_all: int):
     """Whole repeats (whole = true) and undecided contexts, of common seeds or not, of one task's anchors."""
-    rows = _gathered(batches)
-    if rows is None:
-        return
-    seed, context, ids, ordinal, at = _numpy(rows, "route", "context", "doc_id", "ordinal", "at")  # a common seed's route holds one context
-    spread = rows["spread"].to_numpy(zero_copy_only=False).astype(bool)
-    order = np.lexsort((at, ordinal, ids, context, seed, spread))
-    seed, context, spread, told = seed[order], context[order], spread[order], at[order] < 0
-    new_seed, new_context = np.ones(len(order), dtype=bool), np.ones(len(order), dtype=bool)
-    new_seed[1:] = (seed[1:] != seed[:-1]) | (spread[1:] != spread[:-1])
-    new_context[1:] = new_seed[1:] | (context[1:] != context[:-1]) | (told[1:] != told[:-1])
-    group = np.cumsum(new_seed) - 1
-    is_common = spread | (np.bincount(group, weights=told) > 0)[group]
-    several = is_common | (np.bincount(group, weights=new_context & ~told) > 1)[group]
-    keep = ~told & (~new_context | several)
-    out = order[keep]
-    yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(ordinal[out]), pa.array(at[out]), pa.array(~new_context[keep]), pa.array(is_common[keep])], ["doc_id", "ordinal", "at", "whole", "common"])
+
+    def run(batches):
+        rows = _gathered(batches)
+        if rows is None:
+            return
+        seed, c1, c2, ids, ordinal, at = _numpy(rows, "route", "c1", "c2", "doc_id", "ordinal", "at")  # a common seed's route holds one context
+        spread = rows["spread"].to_numpy(zero_copy_only=False).astype(bool)
+        order = np.lexsort((at, ordinal, ids, c2, c1, seed, spread))
+        seed, c1, c2, spread, told = seed[order], c1[order], c2[order], spread[order], at[order] < 0
+        new_seed, new_context = np.ones(len(order), dtype=bool), np.ones(len(order), dtype=bool)
+        new_seed[1:] = (seed[1:] != seed[:-1]) | (spread[1:] != spread[:-1])
+        new_context[1:] = new_seed[1:] | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]) | (told[1:] != told[:-1])
+        group = np.cumsum(new_seed) - 1
+        contexts = np.bincount(group, weights=new_context & ~told)
+        is_common = spread | ((np.bincount(group, weights=told) > 0) | (contexts >= in_all))[group]
+        keep = ~told & (~new_context | is_common | (contexts > 1)[group])
+        out = order[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(ordinal[out]), pa.array(at[out]), pa.array(~new_context[keep]), pa.array(is_common[keep])], ["doc_id", "ordinal", "at", "whole", "common"])
+
+    return run
 
 
 class Suffixes:
@@ -275,34 +308,54 @@ def repeated_strings(seed: np.ndarray, ids: np.ndarray, ordinal: np.ndarray, at:
         yield again, at[again] - r
 
 
+def first_strings(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the strings of ``length`` bytes that start at ``at``, which ascends, are the first of equals, and which are later ones."""
+    hashes = content_hashes(data, at, at + length)
+    order = np.lexsort((np.arange(len(at)), hashes))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = hashes[order][1:] != hashes[order][:-1]
+    lead, later = order[new][np.cumsum(new) - 1][~new], order[~new]
+    same = same_bytes(data, at[lead], at[later], np.full(len(later), length))
+    return np.sort(np.append(order[new], later[~same])), np.sort(later[same])
+
+
+def _binary(data: np.ndarray, at: np.ndarray, length: int) -> pa.Array:
+    """The strings of ``length`` bytes that start at ``at``."""
+    out = np.empty((len(at), length), np.uint8)
+    for k in range(length):
+        out[:, k] = data[at + k]
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * length).astype(np.int32)), pa.py_buffer(out)])
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, spans and kept (bytes)."""
-    spark = docs.sparkSession
-    n = chunks or partitions(spark)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    n = chunks or chunk_count(docs, "text")
+    common, in_all = COMMON, COMMON_IN_ALL
 
-    def chunked(df: DataFrame) -> DataFrame:
-        return df.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(n)).cast("int"))
+    def chunked(df: DataFrame):
+        """One chunk a task."""
+        return df.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(n)).cast("int")).repartitionById(n, "chunk").groupBy("chunk")
 
-    rows = chunked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-
-    common = max(2, min(COMMON, COLD_CONTEXTS // n))
+    rows = chunked(docs)
 
     def listed(part: pa.Table) -> pa.Table:
         chunk = Chunk(part)
         found = Anchors(chunk.data, chunk.offsets, length)
-        found = found.take(found.split_repeats()[0])
+        found = found.take(found.split_repeats(chunk.data, chunk.offsets, length)[0])
+        digests = found.digests(chunk.data, chunk.offsets, length)
         seeds, inverse, contexts = np.unique(found.seed, return_inverse=True, return_counts=True)
         spread = contexts[inverse] >= common
         told = seeds[contexts >= common]  # one row without an anchor tells the seed's task
-        route = np.where(spread, mix64(found.seed * np.uint64(3) + found.context), found.seed)
+        route = np.where(spread, mix64(found.seed * np.uint64(3) + digests[:, 0].view(np.uint64)), found.seed)
         blank = np.zeros(len(told), np.int64)
         return pa.table({
-            "route": np.append(route, told).view(np.int64), "context": np.append(found.context.view(np.int64), blank),
+            "route": np.append(route, told).view(np.int64), "c1": np.append(digests[:, 0], blank), "c2": np.append(digests[:, 1], blank),
             "doc_id": np.append(chunk.ids[found.row], blank), "ordinal": np.append(chunk.ordinal[found.row], blank).astype(np.int32), "at": np.append(found.at, blank - 1).astype(np.int32), "spread": np.append(spread, blank > 0),
         })
 
-    anchors = rows.groupBy("chunk").applyInArrow(listed, "route long, context long, doc_id long, ordinal int, at int, spread boolean")
-    decided = written(anchors.repartition(n, "route").mapInArrow(_decide, "doc_id long, ordinal int, at int, whole boolean, common boolean"), "repeat-anchors")
+    anchors = rows.applyInArrow(listed, "route long, c1 long, c2 long, doc_id long, ordinal int, at int, spread boolean")
+    decided = written(anchors.repartition(n, "route").mapInArrow(_decide(in_all), "doc_id long, ordinal int, at int, whole boolean, common boolean"), "repeat-anchors")
 
     def flagged(chunk: Chunk, found: Anchors, marks: pa.Table) -> np.ndarray:
         """Indexes of the anchors that ``marks`` names."""
@@ -338,52 +391,38 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True, i
         yield pa.RecordBatch.from_arrays([pa.array(ids[which[opens]]), pa.array(ordinal[which[opens]]), pa.array(starts[opens], pa.int32()), pa.array(starts[closes] + length, pa.int32())], ["doc_id", "ordinal", "from", "until"])
 
     def listed_strings(part: pa.Table, marks: pa.Table) -> pa.Table:
-        """The first of each chunk's equal strings, with hashes, and spans of the others."""
+        """The first of each chunk's equal strings, as bytes, and spans of the others."""
         chunk = Chunk(part)
         found = Anchors(chunk.data, chunk.offsets, length)
         found = found.take(np.sort(flagged(chunk, found, marks)) if marks.num_rows else np.zeros(0, np.int64))
-        row, start, h1, h2 = [], [], [], []
-        for a, b in blocks(chunk.offsets, ANCHOR_BLOCK):
-            mine = np.flatnonzero((found.row >= a) & (found.row < b))
-            if len(mine):
-                data, base = chunk.data[chunk.offsets[a] : chunk.offsets[b]], chunk.offsets[found.row[mine]] - chunk.offsets[a]
-                many = found.last[mine] - found.first[mine] + 1
-                place = np.repeat(found.first[mine], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                at = np.repeat(base, many) + place
-                row.append(np.repeat(found.row[mine], many))
-                start.append(place)
-                h1.append(span_hashes(prefix_hashes(data), at, at + length))
-                h2.append(span_hashes(prefix_hashes(data, 0x5EED), at, at + length))
-        row, start, h1, h2 = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((row, np.int64), (start, np.int64), (h1, np.uint64), (h2, np.uint64)))
-        order = np.lexsort((start, row, h2, h1))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-        again, firsts = np.sort(order[~new]), order[new]  # strings were listed by row and start
+        many = found.last - found.first + 1
+        row, start = np.repeat(found.row, many), np.repeat(found.first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        at = chunk.offsets[row] + start
+        firsts, again = first_strings(chunk.data, at, length) if len(at) else (at, at)
         opens = np.flatnonzero(np.append(True, (row[again][1:] != row[again][:-1]) | (start[again][1:] != start[again][:-1] + 1))) if len(again) else again
         closes = np.append(opens[1:], len(again))[: len(opens)].astype(np.int64) - 1
         rows_out = np.append(row[firsts], row[again[opens]])
-        blank = np.append(np.zeros(len(firsts), bool), np.ones(len(opens), bool))
-        hashes = [pa.array(np.append(h[firsts].view(np.int64), np.zeros(len(opens), np.int64)), mask=blank) for h in (h1, h2)]
         return pa.table({
-            "h1": hashes[0], "h2": hashes[1], "doc_id": chunk.ids[rows_out], "ordinal": chunk.ordinal[rows_out].astype(np.int32),
+            "string": pa.concat_arrays([_binary(chunk.data, at[firsts], length), pa.nulls(len(opens), pa.binary())]), "doc_id": chunk.ids[rows_out], "ordinal": chunk.ordinal[rows_out].astype(np.int32),
             "from": np.append(start[firsts], start[again[opens]]).astype(np.int32), "until": np.append(start[firsts] + length, start[again[closes]] + length).astype(np.int32),
         })
 
-    marks = chunked(decided)
-    contexts = rows.groupBy("chunk").cogroup(marks.where("not whole and not common").groupBy("chunk")).applyInArrow(undecided, "seed long, doc_id long, ordinal int, at int, first int, last int, context binary")
+    contexts = rows.cogroup(chunked(decided.where("not whole and not common"))).applyInArrow(undecided, "seed long, doc_id long, ordinal int, at int, first int, last int, context binary")
     spans = written(contexts.repartition(n, "seed").mapInArrow(compared, "doc_id long, ordinal int, from int, until int"), "repeat-spans")
-    crowded = marks.where("not whole and common")
+    crowded = decided.where("not whole and common")
     if crowded.limit(1).count():
-        strings = written(rows.groupBy("chunk").cogroup(crowded.groupBy("chunk")).applyInArrow(listed_strings, "h1 long, h2 long, doc_id long, ordinal int, from int, until int"), "common-strings")
-        earlier = Window.partitionBy("h1", "h2").orderBy("doc_id", "ordinal", "from")  # a row per chunk at most
-        later = strings.where("h1 IS NOT NULL").withColumn("place", F.row_number().over(earlier)).where("place > 1")
-        spans = written(spans.unionByName(strings.where("h1 IS NULL").drop("h1", "h2")).unionByName(later.drop("h1", "h2", "place")), "repeat-spans")
-    known = marks.where("whole").select("chunk", "doc_id", "ordinal", "at", F.lit(-1).alias("until")).unionByName(chunked(spans).select("chunk", "doc_id", "ordinal", F.col("from").alias("at"), "until"))
+        strings = written(rows.cogroup(chunked(crowded)).applyInArrow(listed_strings, "string binary, doc_id long, ordinal int, from int, until int"), "common-strings")
+        earlier = Window.partitionBy("string").orderBy("doc_id", "ordinal", "from")  # a row per chunk at most
+        later = strings.where("string IS NOT NULL").withColumn("place", F.row_number().over(earlier)).where("place > 1")
+        both, before = spans.unionByName(strings.where("string IS NULL").drop("string")).unionByName(later.drop("string", "place")), spans
+        spans = written(both, "repeat-spans")
+        discard(before, strings)
+    known = decided.where("whole").select("doc_id", "ordinal", "at", F.lit(-1).alias("until")).unionByName(spans.select("doc_id", "ordinal", F.col("from").alias("at"), "until"))
 
     def cut(part: pa.Table, repeats: pa.Table) -> pa.Table:
         chunk = Chunk(part)
         found = Anchors(chunk.data, chunk.offsets, length)
-        whole = [found.split_repeats()[1]]
+        whole = [found.split_repeats(chunk.data, chunk.offsets, length)[1]]
         edges = np.zeros(len(chunk.data) + 1, np.int32)
         if repeats.num_rows:
             is_whole = repeats["until"].to_numpy() < 0
@@ -421,4 +460,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True, i
         return pa.table(out)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<struct<start:int,end:int>>, kept binary" if with_text else "")
-    return rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(cut, schema)
+    return rows.cogroup(chunked(known)).applyInArrow(cut, schema)
