@@ -49,10 +49,36 @@ def test_word_sums_equal_whole_texts(text):
     assert encoder.by_word and encoder.counts([text, text + " <|endoftext|> x"]) == [len(library()(t)) for t in (text, text + " <|endoftext|> x")]
 
 
+def test_known_words_are_bounded_and_stay_right(texts, monkeypatch):
+    monkeypatch.setattr(tc, "WORDS_KEPT", 300)
+    encoder, encode, some = tc.Encoder(PATH), library(), [*texts.values()][:120]
+    for a in range(0, 120, 7):
+        assert encoder.counts(some[a : a + 7]) == [len(encode(t)) for t in some[a : a + 7]]
+        assert len(encoder.known.older) <= 600
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}}, {"pre_tokenizer": None},
+        {"pre_tokenizer": {"type": "Split", "pattern": {"Regex": " ?\\p{L}+|\\s"}, "behavior": "Removed", "invert": True}}, {"pre_tokenizer": {"type": "Split", "pattern": {"Regex": "[^\\p{L}]+|\\p{L}+"}, "behavior": "Removed", "invert": True}},
+        {"pre_tokenizer": {"type": "Split", "pattern": {"Regex": "\\p{L}+"}, "behavior": "Isolated", "invert": True}}, {"normalizer": {"type": "Prepend", "prepend": "_"}},
+        {"normalizer": {"type": "Replace", "pattern": {"String": " "}, "content": "_"}}, {"added_tokens": [{"content": "a b", "lstrip": False, "rstrip": False, "single_word": False}]},
+        {"added_tokens": [{"content": "<m>", "lstrip": True, "rstrip": False, "single_word": False}]},
+    ],
+)
+def test_only_tokenizers_that_cut_at_white_space_count_by_word(change):
+    import json
+
+    with open(PATH, encoding="utf-8") as file:
+        spec = json.load(file)
+    assert tc.cuts_at_white_space(spec) and not tc.cuts_at_white_space(spec | change)
+
+
 def test_cache_is_used_and_extended(spark, odd, monkeypatch):
     cache, encoded = f"{shared_dir(spark)}/cache-test", []
     plain = tc.encode_rows
-    monkeypatch.setattr(tc, "encode_rows", lambda rows, path: encoded.append(rows.count()) or plain(rows, path))
+    monkeypatch.setattr(tc, "encode_rows", lambda rows, *args: encoded.append(rows.count()) or plain(rows, *args))
     first = sorted(map(str, tc.token_counts(odd, PATH, cache).collect()))
     again = sorted(map(str, tc.token_counts(odd, PATH, cache).collect()))
     more = spark.createDataFrame([(1, "two  words "), (2, "something new")], "doc_id long, text string")
