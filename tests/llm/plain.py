@@ -53,3 +53,26 @@ def cut_repeats(rows, length=100):
         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
         out.append((int(gone.sum()), int((np.diff(np.append(0, gone.astype(int))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def exact_links(texts, n, percent):
+    """Pairs (a, b) of a prefix-filter join over distinct sets: sets as similar as wanted share one of their rarest shingles."""
+    sets, counts = {}, {}
+    for d, t in sorted(texts.items()):
+        own = shingles(t, n)
+        if own and own not in sets:
+            sets[own] = d
+    for own in sets:
+        for x in own:
+            counts[x] = counts.get(x, 0) + 1
+    index, links = {}, []
+    for own, d in sorted(sets.items(), key=lambda x: (len(x[0]), x[1])):
+        rare = sorted(own, key=lambda x: (counts[x], x))[: len(own) - -(-percent * len(own) // 100) + 1]
+        for other in {o for x in rare for o in index.get(x, ())}:
+            if 100 * len(other) >= percent * len(own):
+                both = len(own & other)
+                if 100 * both >= percent * (len(own) + len(other) - both):
+                    links.append((sets[other], d))
+        for x in rare:
+            index.setdefault(x, []).append(own)
+    return links

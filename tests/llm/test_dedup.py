@@ -72,8 +72,9 @@ def test_near_components(documents, texts, monkeypatch, words, percent, region,
 
 
 def test_near_links_across_blocks(spark, monkeypatch):
-    """A long chain: each text is like the next one only, so its ends meet through all blocks."""
+    """A long chain: each text is like the next one only, so it hangs together through regions of all blocks."""
     monkeypatch.setattr(nd, "REGION", 6)
+    monkeypatch.setattr(nd, "WINDOW", 4)
     monkeypatch.setattr(nd, "BLOCK", 4)
     w = [f"w{i}" for i in range(200)]
     texts = {i: " ".join(w[3 * i : 3 * i + 100]) for i in range(24)}
@@ -83,6 +84,33 @@ def test_near_links_across_blocks(spark, monkeypatch):
     assert len({c for _, c in expected.values()}) == 1
 
 
+def test_regions_are_neighbours_in_the_order():
+    """Every two rows of a region share a prefix; each run is whole, cut deeper, or covered by windows and blocks."""
+    rng = np.random.default_rng(6)
+    path = rng.integers(0, 3, (900, nd.DEPTH)).astype(np.uint32)
+    path[:200] = 7
+    tree, node = rng.integers(0, 2, 900), rng.permutation(900)
+    order = np.lexsort((node, *path.T[::-1], tree))
+    tree, path, node = tree[order], path[order], node[order]
+    at, names = nd.cut_regions(tree, path, node, 20, 8)
+    met = {}
+    for row, name in zip(at, names, strict=True):
+        met.setdefault(name, []).append(row)
+    pairs, depths = set(), set()
+    for rows in met.values():
+        assert len({(tree[r], *path[r, : nd.SHALLOW]) for r in rows}) == 1 and len(rows) <= 21
+        pairs |= {(a, b) for a in rows for b in rows if a < b}
+        depths.add(next((d for d in range(nd.DEPTH, 0, -1) if len({tuple(path[r, :d]) for r in rows}) == 1), 0))
+    assert depths >= {3, 4, 8}
+    for r in range(899):  # neighbours with a long enough common prefix always meet
+        if tree[r] == tree[r + 1] and (path[r, : nd.SHALLOW] == path[r + 1, : nd.SHALLOW]).all():
+            assert (r, r + 1) in pairs
+    small = [r for r in range(900) if sum((tree == tree[r]) & (path[:, : nd.SHALLOW] == path[r, : nd.SHALLOW]).all(axis=1)) <= 20]
+    for r in small:
+        for q in small:
+            assert r >= q or tree[r] != tree[q] or (path[r, : nd.SHALLOW] != path[q, : nd.SHALLOW]).any() or (r, q) in pairs or (q, r) in pairs
+
+
 def test_near_odd_rows(odd, none):
     found = {r.doc_id: r for r in nd.near_duplicates(odd).collect()}
     assert found[1].n_shingles == 0 and found[1].component_id == 1 and found[2].component_id == 2 and found[3].kept

@@ -36,7 +36,7 @@ _scopes: contextvars.ContextVar[tuple[list[DataFrame], ...]] = contextvars.Conte
 
 @contextlib.contextmanager
 def scratch():
-    """Delete the tables that were ``written`` inside, but for lasting ones, when the block ends."""
+    """Delete the tables that were ``written`` inside when the block ends; lasting ones belong to the block around it, if any."""
     made: list[DataFrame] = []
     token = _scopes.set((*_scopes.get(), made))
     try:
@@ -60,8 +60,9 @@ def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._scratch_path = path
-    if _scopes.get() and not lasting:
-        _scopes.get()[-1].append(out)
+    scopes = _scopes.get()[: -1 if lasting else None]
+    if scopes:
+        scopes[-1].append(out)
     return out
 
 
