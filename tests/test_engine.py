@@ -13,7 +13,7 @@ from timberline.plans.engine import Engine
 from timberline.plans.registry import Missing, Records, Rule, Search, Source, browse, valid_rule, valid_source
 from timberline.sources import store, tails
 from timberline.streaming.alerts import alert_edges
-from timberline.streaming.ingest import ingest_batch, ingest_stream, windowed_counts
+from timberline.streaming.ingest import ingest_batch, ingest_history, ingest_stream, windowed_counts
 
 AS_OF = "2026-08-10 12:00:00"
 NOW = dt.datetime(2026, 8, 10, 12)
@@ -126,6 +126,102 @@ def test_store_replaces_files_and_purges(spark, tmp_path):
     assert kept.read().count() == 0
 
 
+def test_store_purges_in_place(spark, tmp_path):
+    kept = store.EntryStore(spark, str(tmp_path / "store"))
+    for source, file, texts in (("s", "old file.log", [line(1)]), ("s", "both.log", [line(2, text="gone"), line(9, text="stays")]), ("s", "new.log", [line(9, text="new")]), ("t:1", "new.log", [line(9, text="other")])):
+        ingest_batch(kept, spark.createDataFrame([(source, file, "\n".join(texts) + "\n")], "source string, file string, text string"), AS_OF)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet") if "new.log" in str(p)}
+    kept.purge_expired("2026-09-09 11:05:00", 30)
+    assert sorted(r.message for r in kept.read().collect()) == ["new", "other", "stays"]
+    assert all(p.stat().st_mtime_ns == at for p, at in before.items()) and len(before) == 2  # files that aren't expired stay as they are
+    kept.purge_source("t:1")
+    assert sorted(r.message for r in kept.read().collect()) == ["new", "stays"]
+    kept.purge_source("s")
+    assert kept.read().count() == 0
+
+
+def test_history_is_ingested_whole(spark, tmp_path):
+    """More lines than a tail has, in several splits, with continuation lines."""
+    many = [x for k in range(4000) for x in (line(k % 60, text=f"m{k}"), "\tat x.y")]
+    write(tmp_path / "h.log", *many)
+    kept = store.EntryStore(spark, str(tmp_path / "store"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        ingest_history(spark, kept, str(tmp_path / "h.log"), "s", AS_OF)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.message for r in kept.read("s", "h.log").collect()} == {f"m{k}\n\tat x.y" for k in range(4000)}
+
+
+def test_state_outlives_the_engine(spark, tmp_path):
+    engine = Engine(spark, state=str(tmp_path))
+    source = engine.sources.create(Source("a", "SFTP", "p", "h", 22, "u", "pw"))
+    engine.saved.create(Search("s", levels=("ERROR", "WARN")))
+    rule = engine.rules.create(Rule("r", threshold=1.0, webhook_url="http://x"))
+    engine.rules.create(Rule("gone", threshold=1.0))
+    engine.rules.delete(2)
+    again = Engine(spark, state=str(tmp_path))
+    assert again.sources.list() == [source] and again.saved.get(1).levels == ("ERROR", "WARN") and again.rules.list() == [rule]
+    assert oct((tmp_path / "sources.json").stat().st_mode & 0o777) == "0o600"
+
+
+def test_events_open_and_resolve(spark):
+    def failing(rule, body):
+        raise OSError("receiver is down")
+
+    engine = Engine(spark)
+    engine.rules.create(Rule("many", threshold=1.0, window_minutes=5, webhook_url="http://x", where="message LIKE 'm%'"))
+    engine.rules.create(Rule("broken", threshold=0.0, window_minutes=5, where="nothing = 1"))
+    made = [(i, NOW - dt.timedelta(seconds=10 * (i + 1)), "ERROR", "svc", "a.log", m, {}) for i, m in enumerate(("m1", "m2", "x"))]
+    logs = spark.createDataFrame(made, "doc_seq long, ts timestamp, level string, source string, file string, message string, fields map<string,string>")
+    state = engine.fire(engine.evaluate_rules(logs, AS_OF), set(), failing, AS_OF)
+    assert state == {1} and [(e.rule_id, e.triggered_at, e.resolved_at, e.metric_value, e.notified) for e in engine.events.list()] == [(1, AS_OF, None, 2.0, False)]
+    assert engine.fire(engine.evaluate_rules(logs.limit(0), AS_OF), state, failing, "later") == set()
+    assert engine.events.frame(spark).select("rule_id", "resolved_at", "threshold_at_trigger").collect() == [(1, "later", 1.0)]
+
+
+def test_rules_are_watched(spark, tmp_path):
+    engine, posted = Engine(spark), []
+    engine.rules.create(Rule("some", threshold=0.0, window_minutes=1440, webhook_url="http://x"))
+    logs = spark.range(3).select(F.col("id").alias("doc_seq"), (F.current_timestamp() - F.expr("INTERVAL 1 HOUR")).alias("ts"), F.lit("INFO").alias("level"), F.lit("s").alias("source"), F.lit("f").alias("file"), F.lit("m").alias("message"))
+    query = engine.watch(lambda: logs, lambda rule, body: posted.append(body["metricValue"]), str(tmp_path / "cp"), "1 second")
+    try:
+        for _ in range(60):
+            if posted:
+                break
+            query.awaitTermination(1)
+    finally:
+        query.stop()
+    assert posted == [3.0] and len(engine.events.list()) == 1
+
+
+def test_live_sources_are_read_again_after_a_while(spark, tmp_path, monkeypatch):
+    from timberline.plans import engine as module
+
+    write(tmp_path / "a.log", line(1))
+    engine = Engine(spark)
+    engine.sources.create(Source("a", "LOCAL_FILE", str(tmp_path / "a.log"), live=True))
+    monkeypatch.setattr(module, "LIVE_SECONDS", 3600.0)
+    assert engine.logs(AS_OF).count() == 1
+    write(tmp_path / "a.log", line(1), line(2))
+    assert engine.logs(AS_OF).count() == 1
+    monkeypatch.setattr(module, "LIVE_SECONDS", 0.0)
+    assert engine.logs(AS_OF).count() == 2
+
+
+def test_changes_of_http_sources(spark):
+    server = HTTPServer(("127.0.0.1", 0), Served)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    engine = Engine(spark)
+    web = engine.sources.create(Source("web", "HTTP", f"http://127.0.0.1:{server.server_port}/x.log"))
+    known = spark.createDataFrame([("x.log", 13, None)], "file string, size long, modified timestamp")
+    assert engine.changed_files(web.id, known).count() == 0 and engine.changed_files(web.id, known.limit(0)).count() == 1
+    server.shutdown()
+    server.server_close()
+    assert engine.changed_files(web.id, known.limit(0)).count() == 0
+
+
 def test_stream_ingests_new_files_once(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

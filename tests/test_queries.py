@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from timberline.functions import filters as f
+from timberline.functions.extract import FLAT_JSON, _flat_json, json_fields
 from timberline.operators import aggregations as agg
-from timberline.operators import rows
-from timberline.queries import AS_OF, ORACLE_SQL, QUERIES, _logs
+from timberline.operators import alerts, rows
+from timberline.queries import _RULE_COLUMNS, AS_OF, ORACLE_SQL, QUERIES, _logs
 from timberline.sources.store import EntryStore
 
 
@@ -51,6 +52,42 @@ def test_pages_do_not_sort_everything(spark, data):
     assert "TakeOrderedAndProject" in found and "Exchange rangepartitioning" not in found
 
 
+@pytest.fixture
+def stored(spark, data, tmp_path):
+    store = EntryStore(spark, str(tmp_path / "store"))
+    store.replace(_logs(spark, data))
+    return store.read()
+
+
+def test_time_windows_reach_the_scan(spark, stored):
+    rules = spark.createDataFrame([(1, None, None, "THRESHOLD", 60, "COUNT", "GT", 1.0, 0, 0.0, False)], _RULE_COLUMNS)
+    for found in (agg.count_over_time(stored, AS_OF, 60, 60_000), agg.count_over_time(stored, AS_OF, 60, 60_000, with_rate=True), alerts.window_counts(stored, rules, AS_OF, 3)):
+        scan = next(x for x in plan(found).splitlines() if "PushedFilters" in x and "ts" in x)
+        assert "GreaterThanOrEqual(ts," in scan and "LessThan(ts," in scan
+
+
+def test_percentiles_scan_twice(spark, data):
+    found = agg.numeric_by(_logs(spark, data), "p95", F.col("num_value"), "source")
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 2, final
+
+
+JSONS = ['{"a": 1, "b": "x y", "c": null, "d": true, "e": -2.5}', ' {"a":"1","a":2} ', '{"a": 1e5}', '{"a": 1.50}', '{"a": -0}', '{"a": {"b": 1}}', "{}", '{"a": "x\\"y"}', '{"a": 12345678901234567890}', '{"é": "ü", "n": 0.001}', '{"a": 1,}', "[1, 2]", '{"a": 0.0}', '{"a": 123456789012.25}', "{bad", '{"a": 1} x', '{"a": "{", "b": "[,]"}', None, "", "plain"]
+
+
+def test_flat_json_equals_the_parser(spark):
+    """Both paths give the same fields, whichever a message takes."""
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(JSONS)], "k int, message string")
+    flat = F.col("message").rlike(FLAT_JSON)
+    found = frame.select("k", flat.alias("flat"), _flat_json(F.col("message")).alias("one"), json_fields(F.col("message")).alias("two")).collect()
+    assert {JSONS[r.k] for r in found if r.flat} == {JSONS[k] for k in (0, 1, 9, 12, 13, 16)}
+    last = lambda pairs: {p.name: p.value for p in pairs}
+    assert all(last(r.one) == last(r.two) for r in found if r.flat)
+    names = {JSONS[r.k]: [p.name for p in r.one] for r in found if r.flat}
+    assert names[JSONS[1]] == ["a"] and names[JSONS[0]] == list("abcde")
+
+
 def test_percentiles_hold_no_group(spark, data):
     found = plan(agg.numeric_by(_logs(spark, data), "p95", F.col("num_value"), "source"))
     assert "percentile" not in found and "ObjectHashAggregate" not in found

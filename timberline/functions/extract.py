@@ -1,8 +1,9 @@
 """Structure of messages: format and fields, by the first format that fits.
 
-Order: JSON, syslog (three forms), access log, logfmt, unstructured. The
-regular formats are Column expressions; JSON of any depth is flattened in an
-Arrow UDF, since Spark's own JSON functions lose key order or duplicate keys.
+Order: JSON, syslog (three forms), access log, logfmt, unstructured. All are
+Column expressions, JSON objects without nesting, escapes or unusual numbers
+among them. Only other JSON reaches an Arrow UDF, which flattens any depth;
+the other messages of a batch are null there.
 """
 
 from __future__ import annotations
@@ -27,6 +28,12 @@ LOGFMT_PAIR = r'([A-Za-z_][\w.-]*)=("(?:[^"\\]|\\.)*"|\S+)'
 LOGFMT_SHARE = 0.6
 MAX_FIELDS = 32
 
+#: One member of a flat JSON object: numbers only as Python prints them.
+_FLAT_NUMBER = r"0|-?0\.(?:0|\d{0,2}[1-9])|-?[1-9]\d{0,11}(?:\.(?:0|\d{0,2}[1-9]))?"
+_FLAT_VALUE = rf'"[^"\\\x00-\x1f]*"|true|false|null|(?:{_FLAT_NUMBER})(?![\d.eE])'
+_FLAT_MEMBER = rf'"([^"\\\x00-\x1f]*)"[ \t\r\n]*:[ \t\r\n]*({_FLAT_VALUE})'
+FLAT_JSON = rf"^\s*\{{[ \t\r\n]*{_FLAT_MEMBER}(?:[ \t\r\n]*,[ \t\r\n]*{_FLAT_MEMBER})*[ \t\r\n]*\}}\s*$"
+
 FIELDS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))
 #: Groups that may be missing, by format; a missing group gives no field.
 OPTIONAL = {"pid": r"\[\d+]", "timestamp": r'"', "referer": r'"', "userAgent": r'"'}
@@ -70,7 +77,19 @@ def json_fields(messages: pd.Series) -> pd.Series:
             return None
         return [{"name": k, "value": v} for k, v in leaves] or None
 
-    return messages.map(one)
+    out = pd.Series([None] * len(messages), index=messages.index, dtype=object)
+    some = messages.notna()
+    out[some] = messages[some].map(one)
+    return out
+
+
+def _flat_json(text: Column) -> Column:
+    """name/value structs of a flat JSON object's members, the last of a repeated name where the first stood."""
+    names, values = (F.regexp_extract_all(text, F.lit(_FLAT_MEMBER), F.lit(k)) for k in (1, 2))
+    plain = F.transform(values, lambda v: F.when(v.startswith('"'), F.substr(v, F.lit(2), F.length(v) - 2)).when(v == "null", "").otherwise(v))
+    pairs = F.zip_with(names, plain, lambda n, v: F.struct(n.alias("name"), v.alias("value")))
+    latest = F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["name"] == p["name"])))
+    return F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("name"), F.element_at(latest, n).alias("value")))
 
 
 def _groups(text: Column, pattern: str, names: list[str], optional: set[str]) -> Column:
@@ -97,12 +116,11 @@ def _logfmt(text: Column) -> Column:
 
 
 def extract(entries: DataFrame) -> DataFrame:
-    """Adds format and fields (a map of at most MAX_FIELDS, the last value of a repeated name).
-
-    Only messages that start like JSON go through the UDF's parser.
-    """
+    """Adds format and fields (a map of at most MAX_FIELDS, the last value of a repeated name)."""
     text = F.trim(F.regexp_replace("message", r"^\s+|\s+$", ""))
-    found = entries.withColumn("_json", json_fields(F.col("message")))
+    flat = F.col("message").rlike(FLAT_JSON)
+    nested = F.when(F.col("message").rlike(r"^\s*[{\[]") & ~flat, F.col("message"))
+    found = entries.withColumn("_json", F.coalesce(F.when(flat, _flat_json(F.col("message"))), json_fields(nested)))
     none = F.lit(None).cast(FIELDS)
     blank = F.coalesce(F.length(text) == 0, F.lit(True))
     tried = [

@@ -46,6 +46,11 @@ def phrase(words: str, name: str | None = None) -> Column:
     return has_phrase(all_text() if name is None else value(name), words)
 
 
+def any_word(words: str, name: str) -> Column:
+    """Any token of ``words`` is a token of a field's value."""
+    return F.when(value(name).isNotNull(), has_any_token(value(name), words))
+
+
 def equals(name: str, text: str) -> Column:
     return value(name) == text
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,15 +17,33 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def _python_tokens(words: str) -> list[str] | None:
+    """The tokens of plain ASCII words, where Python tells them as Spark does; None for others."""
+    plain = words.lower()
+    return plain.split() if re.fullmatch(r"[a-z0-9_ ]*", plain) else None
+
+
 def has_any_token(text: Column, words: str) -> Column:
-    """Whether any token of ``words`` is a token of the text; false if ``words`` has none."""
-    return F.arrays_overlap(tokens(text), tokens(F.lit(words)))
+    """Whether any token of ``words`` is a token of the text; false if ``words`` has none.
+
+    Texts that don't hold one of plain words at all aren't cut into tokens.
+    """
+    found = F.arrays_overlap(tokens(text), tokens(F.lit(words)))
+    plain = _python_tokens(words)
+    if not plain:
+        return found
+    near = reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(w)) for w in plain])
+    return near & found
 
 
 def has_phrase(text: Column, phrase: str) -> Column:
     """Whether the tokens of ``phrase`` stand side by side in the text."""
     joined = F.concat(F.lit(" "), F.array_join(tokens(F.lit(phrase)), " "), F.lit(" "))
-    return (F.size(tokens(F.lit(phrase))) > 0) & F.contains(F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" ")), joined)
+    found = (F.size(tokens(F.lit(phrase))) > 0) & F.contains(F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" ")), joined)
+    plain = _python_tokens(phrase)
+    if not plain:
+        return found
+    return reduce(lambda a, b: a & b, [F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(w)) for w in plain]) & found
 
 
 def composite(*parts: Column) -> Column:

@@ -21,21 +21,26 @@ def compare(metric: Column, comparison: Column, threshold: Column) -> Column:
     )
 
 
-def window_counts(logs: DataFrame, rules: DataFrame, as_of: str, windows: int) -> DataFrame:
+def window_counts(logs: DataFrame, rules: DataFrame, as_of: str, windows: int, where: dict[int, Column] | None = None) -> DataFrame:
     """(rule columns, window, count): entries in each of the last ``windows`` windows of every rule, empty ones included.
 
-    Entries are first counted per source, level and minute-resolution window
-    of each distinct width, so the join with the rules meets counts and not
-    entries.
+    ``where`` has a predicate for the rules that need more than a source and a
+    level. Entries are first counted per source, level, predicate and window of
+    each distinct width, so the join with the rules meets counts and not
+    entries; only entries of the longest rule's windows are scanned.
     """
-    end = F.unix_millis(F.lit(as_of).cast("timestamp"))
+    where = where or {}
+    now = F.lit(as_of).cast("timestamp")
+    end = F.unix_millis(now)
     widths = sorted(r[0] for r in rules.select("window_minutes").distinct().collect())  # control data: a few numbers
     ago = F.floor((end - 1 - F.unix_millis("ts")) / (F.col("window_minutes") * 60_000))
-    near = logs.where(F.col("ts") < F.lit(as_of).cast("timestamp")).select("ts", "source", "level")
-    wide = near.withColumn("window_minutes", F.explode(F.array(*map(F.lit, widths)).cast("array<int>")))
-    counted = wide.where(F.unix_millis("ts") >= end - F.col("window_minutes").cast("long") * 60_000 * windows).groupBy("window_minutes", ago.cast("int").alias("ago"), "source", "level").agg(F.count("*").alias("n"))
-    r, c = rules.alias("r"), counted.alias("c")
-    fits = (F.col("r.window_minutes") == F.col("c.window_minutes")) & (F.col("r.source").isNull() | (F.col("r.source") == F.col("c.source"))) & (F.col("r.level").isNull() | (F.col("r.level") == F.col("c.level")))
+    near = logs.where((F.col("ts") < now) & (F.col("ts") >= F.timestamp_millis(end - max(widths, default=0) * 60_000 * windows)))
+    scopes = F.array_compact(F.array(F.lit(0).cast("long"), *[F.when(p, F.lit(k).cast("long")) for k, p in where.items()]))
+    wide = near.select("ts", "source", "level", F.explode(scopes).alias("scope")).withColumn("window_minutes", F.explode(F.array(*map(F.lit, widths)).cast("array<int>")))
+    counted = wide.where(F.unix_millis("ts") >= end - F.col("window_minutes").cast("long") * 60_000 * windows).groupBy("window_minutes", ago.cast("int").alias("ago"), "source", "level", "scope").agg(F.count("*").alias("n"))
+    own = F.when(F.col("rule_id").isin(*where), F.col("rule_id")).otherwise(0) if where else F.lit(0)
+    r, c = rules.withColumn("scope", own.cast("long")).alias("r"), counted.alias("c")
+    fits = (F.col("r.window_minutes") == F.col("c.window_minutes")) & (F.col("r.scope") == F.col("c.scope")) & (F.col("r.source").isNull() | (F.col("r.source") == F.col("c.source"))) & (F.col("r.level").isNull() | (F.col("r.level") == F.col("c.level")))
     hits = r.join(c, fits).groupBy("r.rule_id", "c.ago").agg(F.sum("c.n").alias("count"))
     spine = rules.withColumn("ago", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
     return spine.join(hits, ["rule_id", "ago"], "left").withColumn("count", F.coalesce("count", F.lit(0))).withColumn("window", F.lit(windows - 1) - F.col("ago")).drop("ago")

@@ -7,9 +7,13 @@ own to parse, since Spark SQL is one.
 
 from __future__ import annotations
 
+import datetime
+import os
+import time
 from dataclasses import asdict
 from functools import reduce
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +22,23 @@ from ..functions.extract import extract
 from ..functions.lines import frame_lines, parse
 from ..operators import aggregations, alerts, dashboard, rows
 from ..sources import tails
-from .registry import Records, Rule, Search, Source, check_local, valid_rule, valid_search, valid_source
+from .registry import Event, Records, Rule, Search, Source, check_local, valid_event, valid_rule, valid_search, valid_source
+
+#: How long what was read of a live source is used.
+LIVE_SECONDS = 2.0
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, apm_template: str | None = None):
+    """``state`` names a folder of the driver's that keeps sources, searches, rules and alert events over restarts."""
+
+    def __init__(self, spark: SparkSession, apm_template: str | None = None, state: str | None = None):
         self.spark = spark
-        self.sources, self.saved, self.rules = Records(valid_source), Records(valid_search), Records(valid_rule)
+        kept = lambda name: os.path.join(state, f"{name}.json") if state else None
+        self.sources, self.saved = Records(valid_source, kept("sources")), Records(valid_search, kept("searches"))
+        self.rules, self.events = Records(valid_rule, kept("rules")), Records(valid_event, kept("events"))
         self.config = {"apm_template": apm_template or None}
         self._held: dict[int, DataFrame] = {}
+        self._read_at: dict[int, float] = {}
 
     # Sources
 
@@ -60,21 +72,24 @@ class Engine:
         """A source's entries; an error entry if it can't be read."""
         try:
             texts = self._texts(source).select("source", "file", "text", "from_start")
-            if source.type in ("HTTP", "SFTP"):
-                texts.limit(1).count()  # a failure shows when it is read
-            entries = parse(frame_lines(texts.select("source", "file", "text", "from_start"), F.col("from_start"), tails.MAX_LINES), as_of)
+            if source.type in ("HTTP", "SFTP"):  # fetched once, which shows a failure; one tail of bounded size
+                texts = self.spark.createDataFrame(texts.collect(), texts.schema)
+            entries = parse(frame_lines(texts, F.col("from_start"), tails.MAX_LINES), as_of)
         except Exception as error:
             entries = tails.error_entry(self.spark, source.name, str(error).splitlines()[0], as_of)
         return entries
 
     def logs(self, as_of: str) -> DataFrame:
-        """The log frame of all enabled sources; sources that aren't live keep what was read first until reload()."""
+        """The log frame of all enabled sources; live ones are read again after LIVE_SECONDS, others after reload()."""
         parts = []
         for source in self.sources.list():
             if not source.enabled:
                 continue
-            if source.live or source.id not in self._held:
-                self._held[source.id] = self.read(source, as_of) if source.live else self.read(source, as_of).cache()
+            if source.id in self._held and source.live and time.monotonic() - self._read_at[source.id] > LIVE_SECONDS:
+                self._held.pop(source.id).unpersist()
+            if source.id not in self._held:
+                self._held[source.id] = self.read(source, as_of).cache()
+                self._read_at[source.id] = time.monotonic()
             parts.append(self._held[source.id])
         if not parts:
             parts = [tails.error_entry(self.spark, "", "", as_of).limit(0)]
@@ -86,11 +101,19 @@ class Engine:
         self._held.clear()
 
     def changed_files(self, key: int, known: DataFrame) -> DataFrame:
-        """Files of a source that isn't live whose fingerprint differs from ``known``."""
+        """Files of a source that isn't live whose fingerprint differs from ``known``; one that can't be read hasn't changed."""
         source = self.sources.get(key)
-        if source.live or not source.enabled or source.type in ("HTTP", "SFTP"):
+        if source.live or not source.enabled:
+            return known.limit(0)
+        if source.type not in ("HTTP", "SFTP"):
+            return tails.changed(tails.fingerprints(self.spark, source.path), known)
+        try:
+            print_ = tails.http_probe(source.path) if source.type == "HTTP" else tails.sftp_probe(source.host, source.port, source.username, source.password, source.path)
+        except (OSError, ValueError):
             return known.limit(0)
-        return tails.changed(tails.fingerprints(self.spark, source.path), known)
+        modified = None if print_.last_modified is None else print_.last_modified.astimezone(datetime.UTC).isoformat()
+        now = self.spark.createDataFrame([(source.path.rstrip("/\\").rsplit("/", 1)[-1], print_.size, modified)], "file string, size long, modified string")
+        return tails.changed(now.withColumn("modified", F.col("modified").cast("timestamp")), known)
 
     # Queries
 
@@ -127,22 +150,57 @@ class Engine:
 
     # Alerts
 
+    def _predicates(self, logs: DataFrame) -> tuple[dict[int, Column], list[int]]:
+        """The predicates of the rules that have one, and the rules whose predicate doesn't fit the log frame."""
+        good, bad = {}, []
+        for rule in self.rules.list():
+            if rule.where or rule.search:
+                where = filters.every([*([F.expr(rule.where)] if rule.where else []), *([filters.simple(rule.search)] if rule.search else [])])
+                try:
+                    logs.where(where)
+                    good[rule.id] = where
+                except (AnalysisException, ParseException):
+                    bad.append(rule.id)
+        return good, bad
+
     def evaluate_rules(self, logs: DataFrame, as_of: str) -> DataFrame:
-        """Each rule's current window: metric_value and triggered."""
-        rules = self.rules.frame(self.spark)
+        """Each rule's current window: metric_value and triggered. A rule that can't be evaluated is left out and stops no other."""
+        where, bad = self._predicates(logs)
+        rules = self.rules.frame(self.spark).where(~F.col("id").isin(*bad)).drop("where", "search") if bad else self.rules.frame(self.spark).drop("where", "search")
         windows = 1 + max([r.baseline_windows for r in self.rules.list()], default=0)
-        counts = alerts.window_counts(logs.where(filters.scope(disabled=self._disabled())), rules, as_of, windows)
+        counts = alerts.window_counts(logs.where(filters.scope(disabled=self._disabled())), rules, as_of, windows, where)
         return alerts.evaluate(counts).where(F.col("window") == windows - 1)
 
-    def fire(self, triggered: DataFrame, firing: set[int], post) -> set[int]:
-        """Notify rules that began to trigger, unless muted; returns those that trigger now."""
+    def fire(self, triggered: DataFrame, firing: set[int], post, as_of: str | None = None) -> set[int]:
+        """Open events of rules that began to trigger and notify unless muted, resolve those that stopped; returns those that trigger now."""
         now = {r["rule_id"]: r for r in triggered.where("triggered").collect()}  # one row a rule
-        for rule_id in now.keys() - firing:
+        at = as_of or datetime.datetime.now(datetime.UTC).isoformat()
+        for event in self.events.list():
+            if event.resolved_at is None and event.rule_id not in now:
+                self.events.update(event.id, resolved_at=at)
+        for rule_id in sorted(now.keys() - firing):
             rule: Rule = self.rules.get(rule_id)
-            if rule.webhook_url and not rule.muted:
-                post(rule, {k: v for k, v in asdict(rule).items() if k not in ("webhook_secret",)} | {"metricValue": now[rule_id]["metric_value"]})
+            sent = bool(rule.webhook_url) and not rule.muted
+            event = self.events.create(Event(rule_id, at, None, now[rule_id]["metric_value"], rule.threshold, not rule.muted))
+            if sent:
+                try:
+                    post(rule, {k: v for k, v in asdict(rule).items() if k not in ("webhook_secret",)} | {"metricValue": now[rule_id]["metric_value"]})
+                except OSError:  # a receiver that is down stops no other rule
+                    self.events.update(event.id, notified=False)
         return set(now)
 
+    def watch(self, logs, post, checkpoint: str, every: str = "30 seconds"):
+        """A streaming query that evaluates all rules on ``logs()`` at every tick and fires; events open at a restart stay open."""
+        firing = {e.rule_id for e in self.events.list() if e.resolved_at is None}
+
+        def tick(_: DataFrame, __: int) -> None:
+            nonlocal firing
+            as_of = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%d %H:%M:%S")
+            firing = self.fire(self.evaluate_rules(logs(), as_of), firing, post, as_of)
+
+        ticks = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        return ticks.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
 
 def count_by(logs: DataFrame, where: Column, name: str) -> DataFrame:
     """The shortest path from a filter to groups."""

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, replace
 
 SOURCE_TYPES = {"LOCAL_FILE": ["path"], "LOCAL_DIRECTORY": ["path"], "SFTP": ["path", "host", "username", "password"], "HTTP": ["path"]}
 STATUSES = ("UNVERIFIED", "REACHABLE", "UNREACHABLE")
@@ -44,8 +45,23 @@ class Search:
     id: int = 0
 
 
+@dataclass(frozen=True)
+class Event:
+    """An alert: when a rule began to trigger and when it stopped."""
+
+    rule_id: int
+    triggered_at: str
+    resolved_at: str | None = None
+    metric_value: float | None = None
+    threshold_at_trigger: float | None = None
+    notified: bool = False
+    id: int = 0
+
+
 @dataclass(frozen=True)
 class Rule:
+    """An alert rule over a source, a level, and a predicate as SQL text or words to search."""
+
     name: str
     rule_type: str = "THRESHOLD"
     window_minutes: int = 5
@@ -56,6 +72,8 @@ class Rule:
     deviations: float = 0.0
     source: str | None = None
     level: str | None = None
+    where: str = ""
+    search: str = ""
     muted: bool = False
     webhook_url: str = ""
     webhook_secret: str = ""
@@ -89,22 +107,39 @@ def valid_rule(rule: Rule) -> Rule:
     return rule
 
 
+def valid_event(event: Event) -> Event:
+    return event
+
+
 def valid_search(search: Search) -> Search:
     if not search.name.strip():
         raise ValueError("a search needs a name")
     return search
 
 
-@dataclass
 class Records:
-    """Records by id, with a check on every change."""
-
-    check: object
-    rows: dict[int, object] = field(default_factory=dict)
+    """Records by id, with a check on every change; kept in a JSON file of the driver's, if one is named."""
+
+    def __init__(self, check, path: str | None = None):
+        self.check, self.path = check, path
+        self.kind = {valid_source: Source, valid_search: Search, valid_rule: Rule, valid_event: Event}[check]
+        self.rows: dict[int, object] = {}
+        if path and os.path.exists(path):
+            with open(path, encoding="utf-8") as file:
+                for row in json.load(file):
+                    row = {k: tuple(v) if isinstance(v, list) else v for k, v in row.items()}
+                    self.rows[row["id"]] = self.kind(**row)
+
+    def _store(self) -> None:
+        if self.path:
+            with open(self.path + ".new", "w", encoding="utf-8", opener=lambda p, flags: os.open(p, flags, 0o600)) as file:
+                json.dump([asdict(r) for r in self.rows.values()], file)
+            os.replace(self.path + ".new", self.path)
 
     def create(self, row):
         row = replace(self.check(row), id=max(self.rows, default=0) + 1)
         self.rows[row.id] = row
+        self._store()
         return row
 
     def get(self, key: int):
@@ -119,11 +154,14 @@ class Records:
         if isinstance(old, Source) and not {"enabled", "live", "status"} >= changes.keys():
             changes["status"] = "UNVERIFIED"
         self.rows[key] = self.check(replace(old, **changes))
+        self._store()
         return self.rows[key]
 
     def delete(self, key: int):
-        self.get(key)
-        return self.rows.pop(key)
+        row = self.get(key)
+        del self.rows[key]
+        self._store()
+        return row
 
     def list(self) -> list:
         return [*self.rows.values()]
@@ -134,8 +172,8 @@ class Records:
         hidden = {"password", "webhook_secret", "levels"}
         rows = [{k: v for k, v in vars(r).items() if k not in hidden} for r in self.rows.values()]
         types = {bool: "boolean", int: "long", float: "double"}
-        sample = Source if self.check is valid_source else Rule if self.check is valid_rule else Search
-        hints = {"threshold": "double", "deviations": "double", "baseline_windows": "int", "window_minutes": "int"}
+        sample = self.kind
+        hints = {"threshold": "double", "deviations": "double", "baseline_windows": "int", "window_minutes": "int", "rule_id": "long", "metric_value": "double", "threshold_at_trigger": "double"}
         names = [f for f in sample.__dataclass_fields__ if f not in hidden]
         kinds = [hints.get(n) or types.get(type(sample.__dataclass_fields__[n].default), "string") for n in names]
         schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))

@@ -7,6 +7,8 @@ parsed columns from the original ones.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,10 @@ from .functions.extract import entry_ids, extract
 from .model import documents_view, events_view, level_ordinal
 from .operators import aggregations as agg
 from .operators import alerts, dashboard, rows
+from .plans.engine import Engine
+from .plans.registry import Rule, Search, Source
 from .sources import store, tails
+from .streaming.ingest import windowed_counts
 
 AS_OF = "2024-01-31 00:00:00"
 MONTH = 30 * 1440
@@ -60,7 +65,7 @@ _add("stats_count_errors_by_source", lambda df: agg.count_by(df.where(f.equals("
 
 def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events_view(events).drop("source").join(events.select(F.col("event_id").alias("doc_seq"), F.col("user_id").cast("string").alias("source")), "doc_seq")
+    return events.select(F.col("user_id").cast("string").alias("source"))
 
 
 _add("stats_top_100_groups", lambda df: agg.count_by(df, "source"), "SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS count FROM logs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100", on=_users)
@@ -283,3 +288,115 @@ def _changed(df: DataFrame) -> DataFrame:
 
 _add("changed_files", _changed, "SELECT DISTINCT source || '/' || file AS file FROM logs WHERE file = 'signup.log' OR (source = 'svc-2' AND file = 'view.log')")
 _add("index_gate", lambda df: tails.ungated(_fingerprints(df, 1), _fingerprints(df, 0)).select("source", "file"), "SELECT DISTINCT source, file FROM logs WHERE source = 'svc-2' AND file = 'view.log'")
+
+# Names, links and labels
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, ["traceId", "trace_id", "X-Request-Id", "request-id", "SPAN_ID", "user", "correlationId"]))
+    return _logs(spark, sf_dir).select("doc_seq", "ts", F.element_at(names, (F.col("doc_seq") % 7 + 1).cast("int")).alias("name"))
+
+
+_NAMED = "SELECT doc_seq, ts, ['traceId', 'trace_id', 'X-Request-Id', 'request-id', 'SPAN_ID', 'user', 'correlationId'][doc_seq % 7 + 1] AS name FROM logs"
+_add("correlation_keys", lambda df: df.select("doc_seq", f.correlation_key(F.col("name")).alias("is_key")), f"SELECT doc_seq, regexp_replace(lower(name), '[-_]', '', 'g') IN ('traceid', 'requestid', 'correlationid', 'spanid', 'reqid') AS is_key FROM ({_NAMED})", on=_named)
+_add("apm_links", lambda df: df.select("doc_seq", f.apm_link("https://apm.test/t/{traceId}?q=1", F.concat("name", F.lit(" a/b+"), F.col("doc_seq").cast("string"))).alias("link")), f"SELECT doc_seq, 'https://apm.test/t/' || url_encode(name || ' a/b+' || doc_seq) || '?q=1' AS link FROM ({_NAMED})", on=_named)
+_AGO = f"epoch(TIMESTAMP '{_NOON}')::BIGINT - epoch_us(ts) // 1000000"
+_add("time_labels", lambda df: df.select("doc_seq", f.time_ago(F.col("ts"), _NOON).alias("ago")), f"SELECT doc_seq, CASE WHEN s < 5 THEN 'just now' WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' ELSE s // 86400 || 'd ago' END AS ago FROM (SELECT doc_seq, {_AGO} AS s FROM logs)")
+_PATHS = lambda: F.concat(F.when(F.col("doc_seq") % 2 == 0, "/var/log/").otherwise("C:\\logs\\"), F.col("file"), F.when(F.col("doc_seq") % 3 == 0, "/").otherwise(""))
+_add("file_labels", lambda df: df.select("doc_seq", tails.base_name(_PATHS()).alias("label")), "SELECT doc_seq, file AS label FROM logs")
+_add("source_names", lambda df: rows.sources(_registry(df.sparkSession)), f"WITH {_REGISTRY} SELECT name AS source FROM registry WHERE enabled")
+
+
+def _bars(df: DataFrame) -> DataFrame:
+    buckets = agg.count_over_time(df, AS_OF, MONTH, DAY, with_rate=True).withColumn("stat_value", F.when(F.col("i") % 2 == 0, F.col("count") * 2.0))
+    return buckets.select("i", agg.bar_value(buckets).alias("bar"))
+
+
+_add("bar_values", _bars, f"SELECT i, CASE WHEN i % 2 = 0 THEN count * 2.0 ELSE rate END AS bar FROM ({_over_time(30, DAY, 'coalesce(c, 0) / 86400.0')})")
+
+# More filters
+
+_filter("filter_everything", f.everything, "true")
+_filter("filter_field_any_word", lambda: f.any_word("1 4 nothing", "source"), "source IN ('svc-1', 'svc-4')")
+_filter("filter_field_any_word_joined", lambda: f.any_word("view.log other", "file"), "file = 'view.log'")
+_filter("filter_preset", lambda: f.simple(levels=f.PRESETS["errors_and_warnings"], as_of=AS_OF, range_minutes=f.TIME_RANGES["7d"]), f"level IN ('ERROR', 'WARN') AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY")
+
+# Events of rules
+
+
+def _rule_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error events, as if each had been raised by one of nine rules."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'error'").select((F.col("user_id") % 9).alias("rule_id"), "event_id")
+
+
+_add("events_of_rule", lambda df: rows.latest_per_key(df, "rule_id", "event_id", 5), "SELECT rule_id, event_id FROM (SELECT user_id % 9 AS rule_id, event_id, row_number() OVER (PARTITION BY user_id % 9 ORDER BY event_id DESC) AS r FROM events WHERE event_type = 'error') WHERE r <= 5", on=_rule_events)
+_add("newest_event_of_rule", lambda df: rows.latest_per_key(df, "rule_id", "event_id"), "SELECT user_id % 9 AS rule_id, max(event_id) AS event_id FROM events WHERE event_type = 'error' GROUP BY 1", on=_rule_events)
+
+# More formats
+
+_SYSLOG_5424 = lambda: F.concat(F.lit("<34>1 "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" host"), (F.col("doc_seq") % 9).cast("string"), F.lit(" app "), F.col("doc_seq").cast("string"), F.lit(" ID47 "), F.lower("level"), F.lit(" it is"))
+_add("extract_syslog_5424", _extracted("priority", "version", "timestamp", "hostname", "appName", "procId", "msgId", "message"), "SELECT doc_seq AS pos, 'syslog' AS format, '34' AS priority, '1' AS version, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, 'host' || (doc_seq % 9) AS hostname, 'app' AS \"appName\", CAST(doc_seq AS VARCHAR) AS \"procId\", 'ID47' AS \"msgId\", lower(level) || ' it is' AS message FROM logs", on=_made(_SYSLOG_5424))
+_SYSLOG_3164 = lambda: F.concat(F.lit("<13>"), F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" host"), (F.col("doc_seq") % 9).cast("string"), F.lit(" cron"), F.when(F.col("doc_seq") % 2 == 0, F.concat(F.lit("["), F.col("doc_seq").cast("string"), F.lit("]"))).otherwise(""), F.lit(": job "), F.lower("level"))
+_add("extract_syslog_3164", _extracted("priority", "timestamp", "hostname", "tag", "pid", "message"), "SELECT doc_seq AS pos, 'syslog' AS format, '13' AS priority, strftime(ts, '%b %d %H:%M:%S') AS timestamp, 'host' || (doc_seq % 9) AS hostname, 'cron' AS tag, CASE WHEN doc_seq % 2 = 0 THEN CAST(doc_seq AS VARCHAR) END AS pid, 'job ' || lower(level) AS message FROM logs", on=_made(_SYSLOG_3164))
+_NESTED = lambda: F.concat(F.lit('{"a": {"b": '), F.col("doc_seq").cast("string"), F.lit(', "s": "x\\"y"}, "c": [1.5, {"d": true}], "e": null}'))
+_add("extract_nested_json", _extracted("a.b", "a.s", "c[0]", "c[1].d", "e"), """SELECT doc_seq AS pos, 'json' AS format, CAST(doc_seq AS VARCHAR) AS "a.b", 'x"y' AS "a.s", '1.5' AS "c[0]", 'true' AS "c[1].d", '' AS e FROM logs""", on=_made(_NESTED))
+_WIDE = lambda: F.concat(F.lit("{"), F.array_join(F.transform(F.sequence(F.lit(10), F.lit(49)), lambda i: F.concat(F.lit('"f'), i.cast("string"), F.lit('": '), (F.col("doc_seq") + i).cast("string"))), ", "), F.lit("}"))
+_add("extract_field_cap", lambda df: extract(df.select("pos", F.col("line").alias("message"))).select("pos", F.size("fields").alias("n"), F.try_element_at("fields", F.lit("f41")).alias("f41"), F.try_element_at("fields", F.lit("f42")).alias("f42")), "SELECT doc_seq AS pos, CAST(32 AS INT) AS n, CAST(doc_seq + 41 AS VARCHAR) AS f41, CAST(NULL AS VARCHAR) AS f42 FROM logs", on=_made(_WIDE))
+_PROSE = lambda: F.concat(F.lit("nothing of form in entry "), F.col("doc_seq").cast("string"))
+_add("extract_unstructured", lambda df: extract(df.select("pos", F.col("line").alias("message"))).select("pos", "format", F.size("fields").alias("n")), "SELECT doc_seq AS pos, 'unstructured' AS format, CAST(0 AS INT) AS n FROM logs", on=_made(_PROSE))
+
+# Sources: framing, union, failures
+
+
+def _tail_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last texts of files, each beginning within a line."""
+    made = _made(_APP)(spark, sf_dir)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda p: p["line"]), "\r\n")
+    return made.groupBy("source", "file").agg(F.concat(F.lit("cut off\n"), joined, F.lit("\n")).alias("text"))
+
+
+_add("frame_tail_lines", lambda df: lines.frame_lines(df, F.lit(False), 500).select("source", "pos", "line"), "SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_seq) - 1 AS pos, strftime(ts, '%Y-%m-%d %H:%M:%S') || ',000 [' || level || '] Worker -  item ' || doc_seq AS line FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_seq DESC) AS back FROM logs) WHERE back <= 500", on=_tail_texts)
+
+
+def _of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources of different formats; a third one is disabled."""
+    parts = {"svc-0": _APP, "svc-1": _ISO, "svc-2": _APP}
+    return reduce(DataFrame.unionByName, [_parsed(_made(line)(spark, sf_dir).where(F.col("source") == name)) for name, line in parts.items() if name != "svc-2"])
+
+
+_add("union_of_sources", lambda df: df.select("source", "pos", "level", "message"), "SELECT source, doc_seq AS pos, level, CASE source WHEN 'svc-0' THEN 'Worker - item ' || doc_seq ELSE 'Level is ' || lower(level) || ' for item' END AS message FROM logs WHERE source IN ('svc-0', 'svc-1')", on=_of_sources)
+_add("failed_source", lambda df: tails.error_entry(df.sparkSession, "svc-9", "gone", AS_OF).select("source", "file", "level", F.unix_millis("ts").alias("ts_ms"), "message"), f"WITH one AS (SELECT 1) SELECT 'svc-9' AS source, CAST(NULL AS VARCHAR) AS file, 'ERROR' AS level, epoch_ms(TIMESTAMP '{AS_OF}') AS ts_ms, 'Failed to read log source: gone' AS message")
+_add("newest_files", lambda df: tails.newest(_fingerprints(df, 0).withColumn("path", F.concat_ws("/", "source", "file")), 7).select("path"), "SELECT path FROM (SELECT source || '/' || file AS path, max(ts) AS m FROM logs GROUP BY source, file) ORDER BY m DESC, path LIMIT 7")
+_add("windowed_counts", lambda df: windowed_counts(df, "6 hours").select(F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "source", "level", "count"), f"SELECT epoch_us(ts) // {6 * HOUR * 1000} * {6 * HOUR} AS start_ms, (epoch_us(ts) // {6 * HOUR * 1000} + 1) * {6 * HOUR} AS end_ms, source, level, count(*) AS count FROM logs GROUP BY ALL")
+
+# The engine
+
+
+def _engine(df: DataFrame) -> Engine:
+    engine = Engine(df.sparkSession)
+    for k in range(5):
+        engine.sources.create(Source(f"svc-{k}", "LOCAL_DIRECTORY", "/var/log", enabled=k != 4))
+    return engine
+
+
+def _saved(df: DataFrame) -> DataFrame:
+    engine = _engine(df)
+    saved = engine.saved.create(Search("slow", where="num_value > 20 AND fields['k'] LIKE '1%'", file="click.log", range_minutes=MONTH, sort_by="source"))
+    return _page(engine.run_saved(saved.id, df, AS_OF, page=1, size=12))
+
+
+_add("saved_search", _saved, f"SELECT {_COLUMNS} FROM logs WHERE num_value > 20 AND k LIKE '1%' AND file = 'click.log' AND source <> 'svc-4' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY ORDER BY source DESC, doc_seq LIMIT 12 OFFSET 12")
+_add("search_page", lambda df: _page(_engine(df).search(df, "purchase.log", ["WARN"], source="svc-2", size=15)), f"SELECT {_COLUMNS} FROM logs WHERE file = 'purchase.log' AND level = 'WARN' AND source = 'svc-2' ORDER BY ts DESC, doc_seq LIMIT 15")
+
+
+def _ruled(df: DataFrame) -> DataFrame:
+    engine = _engine(df)
+    engine.rules.create(Rule("many", window_minutes=10080, threshold=5.0, where="num_value > 50", level="ERROR"))
+    engine.rules.create(Rule("broken", window_minutes=60, threshold=1.0, where="no_such_column > 1"))
+    engine.rules.create(Rule("few", window_minutes=1440, threshold=1e9, comparison="LT", search="view.log"))
+    engine.rules.create(Rule("plain", window_minutes=1440, threshold=10.0, source="svc-1"))
+    return engine.evaluate_rules(df, AS_OF).select("rule_id", "count", "triggered")
+
+
+_add("engine_rules", _ruled, f"""SELECT rule_id, count, CASE rule_id WHEN 1 THEN count > 5 WHEN 3 THEN count < 1e9 ELSE count > 10 END AS triggered FROM (
+ SELECT 1 AS rule_id, count(*) FILTER (num_value > 50 AND level = 'ERROR' AND {{w}}) AS count FROM logs UNION ALL SELECT 3, count(*) FILTER (file = 'view.log' AND {{d}}) FROM logs UNION ALL SELECT 4, count(*) FILTER (source = 'svc-1' AND {{d}}) FROM logs)""".replace("{w}", f"source <> 'svc-4' AND ts < TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY").replace("{d}", f"source <> 'svc-4' AND ts < TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY"))

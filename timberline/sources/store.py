@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EMPTY = "__none__"
-DAY_COLUMNS = ["source_key", "file_key"]
+KEYS = ["source_key", "file_key"]
 
 
 class EntryStore:
@@ -27,8 +27,8 @@ class EntryStore:
     def replace(self, entries: DataFrame) -> None:
         """Write a batch. Only the partitions it has are overwritten, so repeating a batch changes nothing."""
         keyed = entries.withColumn("source_key", F.coalesce("source", F.lit(EMPTY))).withColumn("file_key", F.coalesce("file", F.lit(EMPTY)))
-        rows = keyed.repartition(*DAY_COLUMNS, F.floor(F.unix_seconds("ts") / 86400)).sortWithinPartitions(*DAY_COLUMNS, "ts")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*DAY_COLUMNS).parquet(self.path)
+        rows = keyed.repartition(*KEYS, F.floor(F.unix_seconds("ts") / 86400)).sortWithinPartitions(*KEYS, "ts")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(self.path)
 
     def read(self, source: str | None = None, file: str | None = None) -> DataFrame:
         reader = self.spark.read.schema(self.schema) if self.schema else self.spark.read
@@ -37,21 +37,51 @@ class EntryStore:
             out = out.where(F.col("source_key") == source)
         if file is not None:
             out = out.where(F.col("file_key") == file)
-        return out.drop(*DAY_COLUMNS)
+        return out.drop(*KEYS)
 
     def _rewrite(self, keep, touched: DataFrame, to: str) -> None:
         """Write the kept rows beside the store; readers switch by path, nothing is read and overwritten at once."""
-        touched.where(keep).write.mode("overwrite").partitionBy(*DAY_COLUMNS).parquet(to)
+        touched.where(keep).write.mode("overwrite").partitionBy(*KEYS).parquet(to)
         self.path, self.schema = to, touched.schema  # an empty version has no file to tell its schema
 
-    def purge_source(self, source: str, to: str) -> None:
-        """Drop a source: a new version of the store without its partitions."""
-        self._rewrite(F.col("source_key") != source, self.spark.read.parquet(self.path), to)
-
-    def purge_expired(self, as_of: str, days: int, to: str) -> None:
-        """Drop entries older than ``days``; the cutoff itself stays, 0 or less keeps all."""
-        if days > 0:
-            self._rewrite(retained(as_of, days), self.spark.read.parquet(self.path), to)
+    def _drop_folders(self, pairs) -> None:
+        """Delete the folders of the (source, file) pairs for which a condition holds; no other file is read or written."""
+        context = self.spark.sparkContext
+        placed = self.spark.read.parquet(self.path).select(*KEYS, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).distinct()
+        for row in pairs(placed).select("folder").distinct().toLocalIterator():
+            path = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(row.folder))
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+    def purge_source(self, source: str, to: str | None = None) -> None:
+        """Drop a source by deleting its folders, or, for readers of the old version, by writing a new one to ``to``."""
+        rows = self.spark.read.parquet(self.path)
+        if to is None:
+            self.schema = rows.schema
+            return self._drop_folders(lambda placed: placed.where(F.col("source_key") == source))
+        return self._rewrite(F.col("source_key") != source, rows, to)
+
+    def purge_expired(self, as_of: str, days: int, to: str | None = None) -> None:
+        """Drop entries older than ``days``; the cutoff itself stays, 0 or less keeps all.
+
+        Folders of files that are wholly expired are deleted and files that are
+        expired in part are written anew; with ``to``, a new version is written there.
+        """
+        if days <= 0:
+            return None
+        rows = self.spark.read.parquet(self.path)
+        if to is not None:
+            return self._rewrite(retained(as_of, days), rows, to)
+        self.schema = rows.schema
+        ages = rows.groupBy(*KEYS).agg(F.count_if(retained(as_of, days)).alias("_kept"), F.count_if(~retained(as_of, days)).alias("_gone")).where("_gone > 0")
+        partly = rows.join(ages.where("_kept > 0").select(*KEYS), KEYS, "left_semi").where(retained(as_of, days))
+        staged = f"{self.path.rstrip('/')}-purge"
+        partly.write.mode("overwrite").parquet(staged)
+        self._drop_folders(lambda placed: placed.join(ages.where("_kept = 0").select(*KEYS), KEYS, "left_semi"))
+        self.replace(self.spark.read.schema(rows.schema).parquet(staged).drop(*KEYS))
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(staged)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        return None
 
 
 def retained(as_of: str, days: int):

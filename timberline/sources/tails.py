@@ -8,6 +8,7 @@ ERROR entry instead of an exception.
 from __future__ import annotations
 
 import urllib.error
+import urllib.parse
 import urllib.request
 from dataclasses import dataclass
 from email.utils import parsedate_to_datetime
@@ -38,25 +39,52 @@ def base_name(path) -> F.Column:
     return F.regexp_extract(path, r"([^/\\]+)[/\\]*$", 1)
 
 
-def history(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """All lines under a path as (source, file, pos, line), read in splits.
+def line_places() -> list[F.Column]:
+    """Where a line of Spark's text source stands: its file and the start of its split."""
+    return [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")]
+
+
+def placed_lines(lines: DataFrame, source: str) -> DataFrame:
+    """(source, file, pos, line) of (value, path, start) rows as they were read.
 
     ``pos`` is a struct that orders the lines of a file: the split's start,
     then Spark's row id, which ascends within a split.
     """
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
-    # Rows of a split are consecutive in id, and splits of a file are ordered by their start.
-    pos = F.struct("start", "id")
-    return lines.select(F.lit(source).alias("source"), base_name(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))).alias("file"), pos.alias("pos"), "line")
+    pos = F.struct("start", F.monotonically_increasing_id().alias("id"))
+    return lines.select(F.lit(source).alias("source"), base_name(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))).alias("file"), pos.alias("pos"), F.regexp_replace("value", "\r$", "").alias("line"))
+
+
+def history(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """All lines under a path as (source, file, pos, line), read in splits."""
+    return placed_lines(spark.read.option("lineSep", "\n").text(path).select("value", *line_places()), source)
+
+
+def newest(files: DataFrame, n: int = MAX_FILES) -> DataFrame:
+    """The ``n`` files that changed last, of (path, modified) rows."""
+    return files.orderBy(F.desc("modified"), "path").limit(n)
 
 
 def local_tails(spark: SparkSession, path: str, source: str, max_bytes: int = MAX_BYTES, max_files: int = MAX_FILES) -> DataFrame:
-    """(source, file, text, from_start, size, modified) of a file or of a directory's newest files; not recursive."""
-    found = spark.read.format("binaryFile").load(path)
-    newest = found.select("path", "length", "modificationTime").orderBy(F.desc("modificationTime"), "path").limit(max_files)
-    kept = found.join(F.broadcast(newest.select("path")), "path", "left_semi")
-    tail = F.expr(f"decode(substring(content, greatest(length(content) - {max_bytes} + 1, 1), {max_bytes}), 'UTF-8')")
-    return kept.select(F.lit(source).alias("source"), base_name(F.col("path")).alias("file"), tail.alias("text"), (F.col("length") <= max_bytes).alias("from_start"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    """(source, file, text, from_start, size, modified) of a file or of a directory's newest files; not recursive.
+
+    Of the files only the tails are read: a task opens a file and seeks, so
+    executors must see the path as the driver does.
+    """
+    found = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))  # without contents
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                with open(urllib.parse.unquote(urllib.parse.urlparse(row["path"]).path), "rb") as file:
+                    file.seek(max(0, row["size"] - max_bytes))
+                    data = file.read(max_bytes)
+                out = {"path": row["path"], "text": data.decode("utf-8", "replace"), "from_start": row["size"] <= max_bytes, "size": row["size"], "modified": row["modified"]}
+                yield pa.RecordBatch.from_pylist([out], pa.schema([("path", pa.string()), ("text", pa.string()), ("from_start", pa.bool_()), ("size", pa.int64()), ("modified", pa.timestamp("us", "UTC"))]))
+
+    tails = newest(found, max_files).mapInArrow(read, "path string, text string, from_start boolean, size long, modified timestamp")
+    return tails.select(F.lit(source).alias("source"), base_name(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))).alias("file"), "text", "from_start", "size", "modified")
 
 
 def http_tail(url: str, max_bytes: int = MAX_BYTES, timeout: float = HTTP_TIMEOUT_S) -> Tail:
@@ -108,6 +136,24 @@ def sftp_tail(host: str, port: int, username: str, password: str, path: str, max
         client.close()
 
 
+def sftp_probe(host: str, port: int, username: str, password: str, path: str) -> Fingerprint:
+    """Size and time of a file over SFTP; needs paramiko."""
+    import datetime
+
+    try:
+        import paramiko
+    except ImportError as error:
+        raise OSError("SFTP needs the paramiko package") from error
+    client = paramiko.SSHClient()
+    client.set_missing_host_key_policy(paramiko.AutoAddPolicy())
+    client.connect(host, port, username, password, timeout=SFTP_TIMEOUT_S)
+    try:
+        found = client.open_sftp().stat(path)
+        return Fingerprint(found.st_size, datetime.datetime.fromtimestamp(found.st_mtime, datetime.UTC))
+    finally:
+        client.close()
+
+
 def remote_tail(spark: SparkSession, source: str, label: str, read) -> DataFrame:
     """(source, file, text, from_start) of one remote tail: read in a task, on whichever machine has it."""
 

@@ -8,28 +8,39 @@ from pyspark.sql import functions as F
 from ..functions.extract import entry_ids, extract
 from ..functions.lines import frame_lines, parse
 from ..sources.store import EntryStore
-from ..sources.tails import base_name
+from ..sources.tails import history, line_places, placed_lines
+
+
+def ingest_lines(store: EntryStore, lines: DataFrame, as_of: str) -> None:
+    """Fold, parse and extract lines (source, file, pos, line), and replace those files' entries; ``pos`` is anything that orders a file's lines."""
+    store.replace(entry_ids(extract(parse(lines, as_of))).drop("pos"))
 
 
 def ingest_batch(store: EntryStore, texts: DataFrame, as_of: str) -> None:
-    """Frame, fold, parse and extract whole file texts (source, file, text), and replace those files' entries."""
-    store.replace(entry_ids(extract(parse(frame_lines(texts), as_of))))
+    """As ingest_lines, for whole file texts (source, file, text)."""
+    ingest_lines(store, frame_lines(texts), as_of)
+
+
+def ingest_history(spark: SparkSession, store: EntryStore, path: str, source: str, as_of: str) -> None:
+    """All files under a path, of any size: they are read in splits."""
+    ingest_lines(store, history(spark, path, source), as_of)
 
 
 def ingest_stream(spark: SparkSession, directory: str, source: str, store: EntryStore, checkpoint: str, as_of=None, every: str = "5 seconds"):
     """A query that indexes new files of a directory, one micro-batch after the other.
 
-    A repeated batch after a failure replaces the same files, so entries are
+    Files are read line by line in splits, so their size doesn't matter. A
+    repeated batch after a failure replaces the same files, so entries are
     there once.
     """
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(directory)
-    texts = files.select(F.lit(source).alias("source"), base_name(F.col("path")).alias("file"), F.expr("decode(content, 'UTF-8')").alias("text"), "modificationTime")
+    rows = spark.readStream.format("text").option("lineSep", "\n").load(directory)
+    named = rows.select("value", *line_places(), F.col("_metadata.file_modification_time").alias("modified"))
 
-    def batch(rows: DataFrame, _: int) -> None:
-        newest = as_of or str(rows.agg(F.max("modificationTime")).first()[0])
-        ingest_batch(store, rows.drop("modificationTime"), newest)
+    def batch(found: DataFrame, _: int) -> None:
+        newest = as_of or str(found.agg(F.max("modified")).first()[0])
+        ingest_lines(store, placed_lines(found, source), newest)
 
-    return texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
+    return named.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
 
 
 def windowed_counts(entries: DataFrame, width: str, late: str = "10 minutes") -> DataFrame:
