@@ -88,3 +88,16 @@ def test_ids_tell_repeated_lines_apart(spark):
     rows = spark.createDataFrame([("s", "f", i, dt.datetime(2026, 1, 1), "same") for i in range(3)], "source string, file string, pos long, ts timestamp, message string")
     found = [r.doc_id for r in entry_ids(rows).orderBy("pos").collect()]
     assert [x.split("::")[1] for x in found] == ["0", "1", "2"] and len({x.split("::")[0] for x in found}) == 1
+
+
+@pytest.mark.parametrize("width", [1, 3, 1 << 16])
+def test_entries_span_ranges_of_a_file(spark, monkeypatch, width):
+    """Continuation lines find their entry in whatever earlier range it opened; a file may begin with one."""
+    from timberline.functions import lines
+
+    monkeypatch.setattr(lines, "RANGE_LINES", width)
+    files = {("s", "a"): [" first", "\tx", "one", " 1a", "", " 1b", " 1c", " 1d", "two", "three", "\t3a"], ("s", None): ["only", *[f" {k}" for k in range(9)]], (None, "b"): ["", " c", "d"]}
+    rows = [(s, f, k, x) for (s, f), texts in files.items() for k, x in enumerate(texts)]
+    found = lines.fold(spark.createDataFrame(rows, "source string, file string, pos long, line string")).collect()
+    expected = {("s", "a", 0, " first", "\tx"), ("s", "a", 2, "one", " 1a\n 1b\n 1c\n 1d"), ("s", "a", 8, "two", ""), ("s", "a", 9, "three", "\t3a"), ("s", None, 0, "only", "\n".join(f" {k}" for k in range(9))), (None, "b", 1, " c", ""), (None, "b", 2, "d", "")}
+    assert {(r.source, r.file, r.pos, r["head"], r.tail) for r in found} == expected and len(found) == len(expected)

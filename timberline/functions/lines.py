@@ -1,13 +1,14 @@
 """Raw lines to entries: folding, timestamps, levels and the remaining message.
 
-Everything stays in Column expressions. Folding needs the lines of one file in
-order, so its window is partitioned by file.
+Everything stays in Column expressions. Folding needs the order of a file's
+lines, which it finds range by range, so that no task holds a file.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # The patterns, formats and word lists that decide how a line is read.
 LEVEL_WORDS = "ERROR|WARN|WARNING|INFO|DEBUG|TRACE"
@@ -97,14 +98,30 @@ def frame_lines(texts: DataFrame, from_start: Column | None = None, max_lines: i
     return texts.select("source", "file", F.posexplode(lines).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long")).withColumn("line", F.regexp_replace("line", "\r$", ""))
 
 
+#: Positions of a file that one window holds, where ``pos`` is a number.
+RANGE_LINES = 1 << 16
+
+
 def fold(lines: DataFrame) -> DataFrame:
     """One row per entry: (source, file, pos, head, tail): its first line and the continuation lines after it.
 
-    Empty lines go; a line that starts with a space or tab continues the entry before it.
+    Empty lines go; a line that starts with a space or tab continues the entry
+    before it. ``pos`` is a number, or a struct whose first field tells ranges
+    of lines (as the splits of a large file). A line belongs to the last
+    opening line before it: that of its own range, else that of the ranges
+    before, of which there is one row each.
     """
-    order = Window.partitionBy("source", "file").orderBy("pos")
-    opens = (~F.col("line").rlike("^[ \t]")) | (F.row_number().over(order) == 1)
-    numbered = lines.where(F.length("line") > 0).withColumn("opens", opens).withColumn("entry", F.sum(F.col("opens").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kind = lines.schema["pos"].dataType
+    split = F.col(f"pos.{kind.names[0]}") if isinstance(kind, StructType) else F.floor(F.col("pos") / RANGE_LINES)
+    kept = lines.where(F.length("line") > 0).withColumn("_range", split)
+    opening = F.when(~F.col("line").rlike("^[ \t]"), F.col("pos"))
+    within = Window.partitionBy("source", "file", "_range").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = kept.groupBy("source", "file", "_range").agg(F.max(opening).alias("_last"), F.min("pos").alias("_first"))
+    of_file = Window.partitionBy("source", "file")
+    earlier = F.last("_last", ignorenulls=True).over(of_file.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    before = ranges.select(*[F.col(c).alias(f"_{c}") for c in ("source", "file", "_range")], F.coalesce(earlier, F.min("_first").over(of_file)).alias("_before"))  # a file's first line opens anyway
+    same = F.col("source").eqNullSafe(F.col("_source")) & F.col("file").eqNullSafe(F.col("_file")) & F.col("_range").eqNullSafe(F.col("__range"))
+    numbered = kept.withColumn("_own", F.last(opening, ignorenulls=True).over(within)).join(before, same, "left").withColumn("entry", F.coalesce("_own", "_before"))
     parts = F.array_sort(F.collect_list(F.struct("pos", "line")))
     folded = numbered.groupBy("source", "file", "entry").agg(parts.alias("parts"))
     rest = F.transform(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), lambda p: p["line"])
