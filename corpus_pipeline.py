@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm._spark import discard, partitions, scratch, table, written
+from timberline.llm._spark import discard, scratch, table, written
 from timberline.llm.decontaminate import drop_contaminated
 from timberline.llm.exact_dedup import exact_duplicates, text_digest
 from timberline.llm.language_id import LanguageModel, label_identified
@@ -29,17 +29,10 @@ def _free(name: str, docs: DataFrame) -> str:
     return name
 
 
-def _keyed(docs: DataFrame, key: str) -> DataFrame:
-    """``docs``, written, with a long for each row that ascends with doc_id; rows without an id come last.
-
-    Ranges of (id, text hash, position) make the key, so rows without an id
-    and repeated rows are spread over tasks like all others.
-    """
-    hashed, at = _free("row_hash", docs), _free("row_at", docs)
-    order = [F.col("doc_id").cast("long").asc_nulls_last(), F.col(hashed).asc(), F.col(at).asc()]
-    placed = docs.withColumns({hashed: F.xxhash64("text"), at: F.monotonically_increasing_id()})
-    ranged = placed.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    return written(ranged.select(*docs.columns, F.monotonically_increasing_id().alias(key)), "keyed")
+def _keyed(docs: DataFrame, key: str, place: str) -> DataFrame:
+    """``docs``, written where its rows are read, with a long of its own for each row and what orders rows: (no id, id, text hash)."""
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    return written(docs.withColumns({key: F.monotonically_increasing_id(), place: order}), "keyed")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +58,20 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row with the smallest id of each group at 5-word similarity 0.8."""
-    key = _free("row_key", docs)
-    rows = _keyed(docs, key)
-    gone = near_duplicates(rows, words=5, percent=80, id_col=key).where(~F.col("kept")).select(F.col("doc_id").alias(key))
+    """Keep one row of each group at 5-word similarity 0.8: one with the smallest id, or one without an id if no row has any.
+
+    Groups are found for row keys; only the keys of groups with several rows
+    are looked up and folded to their first, so texts move once, to the join
+    that drops the others.
+    """
+    key, place = _free("row_key", docs), _free("row_place", docs)
+    rows = _keyed(docs, key, place)
+    found = near_duplicates(rows, words=5, percent=80, id_col=key).where(~F.col("kept"))
+    members = found.select("component_id", F.explode(F.array("doc_id", "component_id")).alias("row")).distinct()
+    places = rows.select(F.col(key).alias("row"), F.col(place).alias("place"))
+    grouped = written(places.join(members, "row"), "near-members")
+    first = grouped.groupBy("component_id").agg(F.min(F.struct("place", "row")).alias("first"))
+    gone = grouped.join(first, "component_id").where(F.col("row") != F.col("first.row")).select(F.col("row").alias(key))
     return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
