@@ -71,6 +71,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     odd = np.bincount(rows, weights=SYMBOL[last] | SHOUT[last], minlength=docs)
     again = np.zeros(len(data), dtype=bool)
     again[1:] = (data[1:] == data[:-1]) & (SYMBOL | SHOUT | STOP)[data[1:]]
+    inner = offsets[:-1]
+    again[inner[inner < len(data)]] = False  # the byte before is another text's
     breaks = share(data == 10)
     return np.stack([
         np.log1p(sizes), np.log1p(words), np.log1p(sizes / np.maximum(1, words)),
