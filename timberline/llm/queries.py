@@ -86,7 +86,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_near_dedup, op4_quality, op5_mixing, op6_suffix_dedup, op7_language_id, op8_chat_format, op9_token_counts, op10_decontamination)}
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge, text_metrics
+
+    return judge(text_metrics(table(spark, sf_dir, "documents"))).drop("lang")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_lm_scoring, op2_exact_dedup, op3_near_dedup, op4_quality, op5_mixing, op6_suffix_dedup, op7_language_id, op8_chat_format, op9_token_counts, op10_decontamination, op12_quality_rules)
+}
+
 
 def _filled(level: str, parent: str, weight: str, keys: list[str]) -> str:
     """SQL of one level of the mixing budget: shares of the nodes of ``keys`` within their parents."""
@@ -123,7 +133,32 @@ _MIXING_SQL = f"""
         SELECT doc_id, {", ".join(_TREE)}, mix_tokens, CAST(e AS INT) AS mix_epoch FROM c, (VALUES (1), (2)) v(e)
         WHERE e <= epochs OR (e = epochs + 1 AND in_prefix)"""
 
+
+def _rules_sql() -> str:
+    """The rules' thresholds are the same SQL in both engines; the metrics are counted here by windows over exploded words."""
+    from .quality_rules import BASE, METRICS, RULES, STOP_WORDS
+
+    stop = ", ".join(f"'{w}'" for w in sorted({w for words in STOP_WORDS.values() for w in words}))
+    failed = "list_filter([" + ", ".join(f"CASE WHEN {r.sql()} THEN '{r.name}' END" for r in (*BASE, *RULES)) + "], lambda x: x IS NOT NULL)"
+    base = " OR ".join(f"({r.sql()})" for r in BASE)
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS text FROM documents),
+        s AS (SELECT *, regexp_extract_all(text, '[^ \\x09-\\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\x09-\\x0D]')) AS lines FROM d),
+        w AS (SELECT k, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM s),
+        t AS (SELECT k, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS t FROM w WINDOW o AS (PARTITION BY k ORDER BY i)),
+        r AS (SELECT k, i, t IS NOT NULL AND count(*) OVER (PARTITION BY k, t) >= 2 AS twice FROM t),
+        c AS (SELECT k, count(*) FILTER (covered) AS n FROM (SELECT k, twice OR coalesce(lag(twice) OVER o, false) OR coalesce(lag(twice, 2) OVER o, false) AS covered FROM r WINDOW o AS (PARTITION BY k ORDER BY i)) GROUP BY k),
+        m AS (SELECT doc_id, lang, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(list_filter(words, lambda x: regexp_matches(x, '\\p{{L}}'))) AS BIGINT) AS n_letter_words,
+          CAST(len(list_filter(words, lambda x: lower(x) IN ({stop}))) AS BIGINT) AS n_stop_words, CAST(len(lines) AS BIGINT) AS n_lines,
+          CAST(len(list_filter(lines, lambda x: regexp_matches(x, '([.][.][.]|…)[ \\x09-\\x0D]*$'))) AS BIGINT) AS n_cut_lines, CAST(len(list_filter(lines, lambda x: regexp_matches(x, '^[ \\x09-\\x0D]*[-*•‣·][ \\x09-\\x0D]'))) AS BIGINT) AS n_list_lines
+          FROM s LEFT JOIN c USING (k)),
+        f AS (SELECT *, {failed} AS failed FROM m)
+        SELECT doc_id, {", ".join(METRICS)}, {base} AS base_failed, len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed_rules FROM f"""
+
+
 ORACLE_SQL = {
+    "op12_quality_rules": _rules_sql(),
     "op5_mixing": _MIXING_SQL,
     "op2_exact_dedup": """
         WITH n AS (
