@@ -92,9 +92,15 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(text_metrics(table(spark, sf_dir, "documents"))).drop("lang")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened_embeddings
+
+    return whitened_embeddings(table(spark, sf_dir, "embeddings"), components=4)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_exact_dedup, op3_near_dedup, op4_quality, op5_mixing, op6_suffix_dedup, op7_language_id, op8_chat_format, op9_token_counts, op10_decontamination, op12_quality_rules)
+    for f in (op1_lm_scoring, op2_exact_dedup, op3_near_dedup, op4_quality, op5_mixing, op6_suffix_dedup, op7_language_id, op8_chat_format, op9_token_counts, op10_decontamination, op12_quality_rules, op13_embedding_whitening)
 }
 
 
