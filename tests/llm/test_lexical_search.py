@@ -1,0 +1,118 @@
+"""Ranked search against a plain version; the algorithm's bound against full scores."""
+
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from conftest import ODD
+from pyspark.sql import functions as F
+
+from timberline.llm import lexical_search
+from timberline.llm.lexical_search import Shard, best_positions, ranked_search
+
+AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def terms(text):
+    return re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (text or "").translate(AZ))
+
+
+def plain_search(docs, queries, k=20):
+    """[(item_id, rank, score, doc_id)] by scoring every document."""
+    bags = [(d, Counter(terms(t))) for d, t in docs]
+    bags = [(d, b) for d, b in bags if b]
+    n_docs, length = len(bags), sum(b.total() for _, b in bags)
+    df = Counter(w for _, b in bags for w in b)
+    out = []
+    for item, text in queries:
+        scored = []
+        for d, b in bags:
+            m = 75 + 25 * b.total() * n_docs // length
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1))) * (10**9 * b[w] // (1000 * b[w] + 12 * m)) for w in terms(text) if w in b)
+            if score > 0:
+                scored.append((-score, d is None, d or 0, d))
+        out += [(item, r, -s, d) for r, (s, _, _, d) in enumerate(sorted(scored, key=lambda x: x[:3])[:k], 1)]
+    return sorted(out, key=str)
+
+
+def rows(found):
+    return sorted([(r.item_id, r["rank"], r.score, r.doc_id) for r in found.collect()], key=str)
+
+
+QUERIES = [(1, "the same text here"), (2, None), (3, ""), (4, "word5 word5 goes1 ... word976"), (5, "Größe über 漢字 привет"), (6, "nowhere2be found"), (6, "a passage of text"), (None, "one two WORDS"), (7, "one two WORDS"), (7, "one two WORDS")]
+
+
+@pytest.mark.parametrize(("shard", "step"), [(2_000_000, 64), (40, 1)])
+def test_odd_documents(spark, odd, monkeypatch, shard, step):
+    monkeypatch.setattr(lexical_search, "SHARD_ENTRIES", shard)
+    monkeypatch.setattr(lexical_search, "FIRST_STEP", step)
+    queries = spark.createDataFrame([(*q, "x") for q in QUERIES], "item_id long, text string, doc_id string")
+    docs = [(r[0], r[1]) for r in ODD]
+    assert rows(ranked_search(odd, queries)) == plain_search(docs, QUERIES)
+    assert rows(ranked_search(odd, queries, k=2)) == plain_search(docs, QUERIES, 2)
+    assert rows(ranked_search(odd, queries, words_at_once=5)) == plain_search(docs, QUERIES)
+
+
+def test_empty_tables(none, spark):
+    queries = spark.createDataFrame(QUERIES, "item_id long, text string")
+    assert ranked_search(none, queries).count() == 0
+    assert ranked_search(queries.withColumnRenamed("item_id", "doc_id"), queries.limit(0)).count() == 0
+    assert ranked_search(none, queries.where("item_id = 2")).columns == ["item_id", "rank", "doc_id", "score"]
+
+
+def test_benchmark_against_plain(spark, documents, data):
+    items = spark.read.parquet(f"{data}/benchmark.parquet")
+    docs = [(r.doc_id, r.text) for r in documents.collect()]
+    found = ranked_search(documents.repartition(3).unionByName(documents.where("doc_id < 30").withColumn("doc_id", F.col("doc_id") + 10_000)), items)
+    assert rows(found) == plain_search([*docs, *[(d + 10_000, t) for d, t in docs if d < 30]], [(r.item_id, r.text) for r in items.collect()])
+
+
+def random_shard(seed, documents=400, vocabulary=30):
+    rng = np.random.default_rng(seed)
+    held = [np.sort(rng.choice(vocabulary, rng.integers(0, 12), replace=False)) for _ in range(documents)]
+    bounds = np.concatenate([[0], np.cumsum([len(h) for h in held])])
+    tf = rng.zipf(1.7, int(bounds[-1])).clip(1, 500)
+    n = rng.integers(1, 3000, documents)
+    return Shard(n, bounds, np.concatenate(held).astype(np.int64), tf, rng.integers(0, 3, vocabulary) * 900, documents, int(n.sum())), rng
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_no_document_is_missed(monkeypatch, seed):
+    """Also with ties, repeated terms, lists of one entry and none, and scores known from before."""
+    monkeypatch.setattr(lexical_search, "FIRST_STEP", 1 + seed % 3)
+    shard, rng = random_shard(seed)
+    for _ in range(20):
+        wanted, times = np.unique(rng.integers(0, 30, rng.integers(1, 9)), return_counts=True)
+        full = np.zeros(len(shard.first) - 1, np.int64)
+        for t, c in zip(wanted, times, strict=True):
+            full[shard.doc[shard.start[t] : shard.start[t + 1]]] += c * shard.falling[shard.start[t] : shard.start[t + 1]]
+        before = np.sort(rng.integers(1, max(2, full.max()), rng.integers(0, 8)))
+        docs, scores, read = best_positions(shard, wanted, times, 5, before)
+        assert (full[docs] == scores).all() and len(set(docs.tolist())) == len(docs)
+        kth = np.sort(np.concatenate([before, full[full > 0]]))[-5:]
+        least = kth[0] if len(kth) == 5 else 1
+        assert set(np.flatnonzero(full >= max(1, least)).tolist()) == set(docs.tolist())
+
+
+def test_reading_stops_early():
+    """Two long lists in like order: far fewer positions are read than there are."""
+    documents = 50_000
+    tf = np.repeat(np.arange(documents, 0, -1), 2)
+    shard = Shard(np.full(documents, 100), np.arange(0, 2 * documents + 1, 2), np.tile([0, 1], documents), tf, np.array([500, 700]), documents, 100 * documents)
+    docs, _, read = best_positions(shard, np.array([0, 1]), np.array([1, 2]), 20, np.zeros(0, np.int64))
+    assert read < 10_000 and set(range(20)) <= set(docs.tolist())
+
+
+def test_same_hash_of_different_terms(spark, monkeypatch):
+    """Terms are told by their bytes where hashes don't."""
+    from timberline.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "content_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    queries = lexical_search.Queries([1], __import__("pyarrow").array(["bb aa aa ccc"]))
+    data = np.frombuffer(b"aa bb cc ccc ddd", np.uint8)
+    starts, ends = np.array([0, 3, 6, 9, 13]), np.array([2, 5, 8, 12, 16])
+    word, term = queries.find(data, (ends - starts).astype(np.uint64), starts, ends)
+    spelled = [queries.data[a:b].tobytes() for a, b in zip(queries.offsets, queries.offsets[1:])]
+    assert [(int(w), spelled[t]) for w, t in zip(word, term, strict=True)] == [(0, b"aa"), (1, b"bb"), (3, b"ccc")]

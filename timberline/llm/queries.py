@@ -86,6 +86,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge, text_metrics
 
@@ -100,7 +106,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_exact_dedup, op3_near_dedup, op4_quality, op5_mixing, op6_suffix_dedup, op7_language_id, op8_chat_format, op9_token_counts, op10_decontamination, op12_quality_rules, op13_embedding_whitening)
+    for f in (op1_lm_scoring, op2_exact_dedup, op3_near_dedup, op4_quality, op5_mixing, op6_suffix_dedup, op7_language_id, op8_chat_format, op9_token_counts, op10_decontamination, op11_lexical_search, op12_quality_rules, op13_embedding_whitening)
 }
 
 
@@ -163,7 +169,20 @@ def _rules_sql() -> str:
         SELECT doc_id, {", ".join(METRICS)}, {base} AS base_failed, len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed_rules FROM f"""
 
 
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
 ORACLE_SQL = {
+    "op11_lexical_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS terms FROM documents),
+        q AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS terms FROM benchmark),
+        s AS (SELECT CAST(count(*) AS BIGINT) AS documents, CAST(sum(len(terms)) AS BIGINT) AS length FROM d WHERE len(terms) > 0),
+        t AS (SELECT k, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT k, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * documents + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s),
+        i AS (SELECT q, item_id, unnest(terms) AS term FROM q),
+        c AS (SELECT q, item_id, k, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * documents) // length)))) AS BIGINT) AS score
+          FROM i JOIN w USING (term) JOIN t USING (term), s GROUP BY ALL),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank FROM c WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
     "op12_quality_rules": _rules_sql(),
     "op5_mixing": _MIXING_SQL,
     "op2_exact_dedup": """
