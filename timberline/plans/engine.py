@@ -26,6 +26,8 @@ from .registry import Event, Records, Rule, Search, Source, check_local, valid_e
 
 #: How long what was read of a live source is used.
 LIVE_SECONDS = 2.0
+#: How long a source isn't probed again for changes.
+PROBE_SECONDS = 5.0
 
 
 class Engine:
@@ -39,6 +41,8 @@ class Engine:
         self.config = {"apm_template": apm_template or None}
         self._held: dict[int, DataFrame] = {}
         self._read_at: dict[int, float] = {}
+        self._probed_at: dict[int, float] = {}
+        self._prints: dict[int, list] = {}
 
     # Sources
 
@@ -115,6 +119,25 @@ class Engine:
         now = self.spark.createDataFrame([(source.path.rstrip("/\\").rsplit("/", 1)[-1], print_.size, modified)], "file string, size long, modified string")
         return tails.changed(now.withColumn("modified", F.col("modified").cast("timestamp")), known)
 
+    def probe(self, key: int) -> list[str]:
+        """Names of a source's files that changed since the probe before; its newest files are looked at, every PROBE_SECONDS at most.
+
+        The first probe only remembers. A source with changes is read again by the next logs().
+        """
+        now = time.monotonic()
+        if now - self._probed_at.get(key, -PROBE_SECONDS) < PROBE_SECONDS:
+            return []
+        self._probed_at[key] = now
+        schema = "file string, size long, modified timestamp"
+        known = self.spark.createDataFrame(self._prints.get(key, []), schema)
+        changed = [tuple(r) for r in tails.newest(self.changed_files(key, known).select("file", "size", "modified"), by="file").collect()]
+        first = key not in self._prints
+        held = {r[0]: tuple(r) for r in self._prints.get(key, [])} | {r[0]: r for r in changed}
+        self._prints[key] = sorted(held.values(), key=lambda r: (r[2] is not None, r[2]), reverse=True)[: tails.MAX_FILES]
+        if changed and not first and key in self._held:
+            self._held.pop(key).unpersist()
+        return [] if first else sorted(r[0] for r in changed)
+
     # Queries
 
     def _disabled(self) -> list[str]:

@@ -289,6 +289,33 @@ def _changed(df: DataFrame) -> DataFrame:
 _add("changed_files", _changed, "SELECT DISTINCT source || '/' || file AS file FROM logs WHERE file = 'signup.log' OR (source = 'svc-2' AND file = 'view.log')")
 _add("index_gate", lambda df: tails.ungated(_fingerprints(df, 1), _fingerprints(df, 0)).select("source", "file"), "SELECT DISTINCT source, file FROM logs WHERE source = 'svc-2' AND file = 'view.log'")
 
+
+
+def _stored(df: DataFrame) -> store.EntryStore:
+    """Entries whose messages hold a word of their own, in a store with a token index; a second batch replaces one file."""
+    kept = store.EntryStore(df.sparkSession, store.scratch_dir(df.sparkSession))
+    entries = df.select("doc_seq", "ts", "level", "source", "file", F.concat(F.lit("Job no "), F.col("doc_seq").cast("string"), F.lit(" ended as "), F.col("level")).alias("message"))
+    kept.replace(entries)
+    kept.replace(entries.where("source = 'svc-1' AND file = 'view.log'").withColumn("message", F.concat("message", F.lit(" again"))))
+    return kept
+
+
+_SOME = [77, 501, 888, 999]
+_add("search_indexed_words", lambda df: _stored(df).search(" ".join(map(str, _SOME))).select("doc_seq", "message"), f"SELECT doc_seq, 'Job no ' || doc_seq || ' ended as ' || level || CASE WHEN source = 'svc-1' AND file = 'view.log' THEN ' again' ELSE '' END AS message FROM logs WHERE doc_seq IN ({', '.join(map(str, _SOME))})")
+_add("search_indexed_phrase", lambda df: _stored(df).search("debug AGAIN", phrase=True).select("doc_seq"), "SELECT doc_seq FROM logs WHERE level = 'DEBUG' AND source = 'svc-1' AND file = 'view.log'")
+
+
+def _gated_rounds(df: DataFrame) -> DataFrame:
+    """What a second round of ingest reads: files that are new or changed since the first."""
+    kept = store.EntryStore(df.sparkSession, store.scratch_dir(df.sparkSession))
+    kept.record(_fingerprints(df, 0).where("file <> 'signup.log'"))
+    kept.record(_fingerprints(df, 1).where("source = 'svc-2' AND file = 'click.log'"))
+    kept.forget("svc-3")
+    return kept.ungated(_fingerprints(df, 1)).select("source", "file", "size")
+
+
+_add("ingest_gate_rounds", _gated_rounds, "SELECT source, file, count(*) + CASE WHEN source = 'svc-2' AND file = 'view.log' THEN 1 ELSE 0 END AS size FROM logs GROUP BY 1, 2 HAVING file = 'signup.log' OR source = 'svc-3' OR (source = 'svc-2' AND file = 'view.log')")
+
 # Names, links and labels
 
 

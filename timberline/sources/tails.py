@@ -59,9 +59,14 @@ def history(spark: SparkSession, path: str, source: str) -> DataFrame:
     return placed_lines(spark.read.option("lineSep", "\n").text(path).select("value", *line_places()), source)
 
 
-def newest(files: DataFrame, n: int = MAX_FILES) -> DataFrame:
+def lines_of(spark: SparkSession, paths: list[str], source: str) -> DataFrame:
+    """As history, for files by name."""
+    return placed_lines(spark.read.option("lineSep", "\n").text(paths).select("value", *line_places()), source)
+
+
+def newest(files: DataFrame, n: int = MAX_FILES, by: str = "path") -> DataFrame:
     """The ``n`` files that changed last, of (path, modified) rows."""
-    return files.orderBy(F.desc("modified"), "path").limit(n)
+    return files.orderBy(F.desc("modified"), by).limit(n)
 
 
 def local_tails(spark: SparkSession, path: str, source: str, max_bytes: int = MAX_BYTES, max_files: int = MAX_FILES) -> DataFrame:
