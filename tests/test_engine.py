@@ -12,7 +12,7 @@ from timberline.operators import alerts, dashboard, rows
 from timberline.plans.engine import Engine
 from timberline.plans.registry import Missing, Records, Rule, Search, Source, browse, valid_rule, valid_source
 from timberline.sources import store, tails
-from timberline.streaming.alerts import alert_edges
+from timberline.streaming.alerts import EVENTS, RollUp, alert_edges, state_store
 from timberline.streaming.ingest import ingest_batch, ingest_history, ingest_stream, windowed_counts
 
 AS_OF = "2026-08-10 12:00:00"
@@ -93,14 +93,45 @@ def test_spans_and_stream_agree(spark, tmp_path):
     found = [(r.triggered_at, r.resolved_at, r.metric_value) for r in alerts.spans(alerts.evaluate(ticks)).orderBy("triggered_at").collect()]
     assert found == [(1, 3, 5.0), (4, None, 9.0)]
     ready = alerts.evaluate(ticks).select("rule_id", F.col("window").cast("long").alias("tick"), "triggered", "metric_value")
+    assert edges_of(spark, ready, [(0, 2), (3, 4)], tmp_path) == [(1, "open"), (3, "resolve"), (4, "open")]
+
+
+def edges_of(spark, ready, batches, tmp_path, silence_ms=600_000):
+    """Edges of ticks that come batch by batch, each with a new query from the same checkpoint."""
+    state_store(spark)
     schema, folder = ready.schema, str(tmp_path / "ticks")
-    query = None
-    for low, high in ((0, 2), (3, 4)):  # the state lives on from one batch to the next
+    for low, high in batches:
         ready.where(F.col("tick").between(low, high)).coalesce(1).write.mode("append").parquet(folder)
-        query = alert_edges(spark.readStream.schema(schema).parquet(folder)).writeStream.format("parquet").option("path", str(tmp_path / "edges")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        query.awaitTermination()
-    edges = [(r.tick, r.edge) for r in spark.read.parquet(str(tmp_path / "edges")).orderBy("tick").collect()]
-    assert edges == [(1, "open"), (3, "resolve"), (4, "open")]
+        alert_edges(spark.readStream.schema(schema).parquet(folder), silence_ms).writeStream.format("parquet").option("path", str(tmp_path / "edges")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    return [(r.tick, r.edge) for r in spark.read.schema(EVENTS).parquet(str(tmp_path / "edges")).orderBy("tick", "edge").collect()]
+
+
+def test_a_silent_rule_is_resolved(spark, tmp_path):
+    """Rule 1 stops while it is firing; ticks of another rule let time pass. The state is in the checkpoint."""
+    ready = spark.createDataFrame([(1, 0, False, 0.0), (1, 1, True, 7.0), (2, 5, False, 0.0), (2, 300, False, 0.0)], "rule_id long, tick long, triggered boolean, metric_value double")
+    (tmp_path / "x").mkdir()
+    assert edges_of(spark, ready, [(0, 1), (5, 5)], tmp_path / "x", 60_000) == [(1, "open")]
+    assert edges_of(spark, ready, [(0, 1), (5, 5), (300, 300)], tmp_path, 60_000) == [(1, "open"), (1, "resolve")]
+
+
+def test_a_tick_reads_counts_only(spark, tmp_path):
+    made = [(k, NOW - dt.timedelta(seconds=7 * k + 1), ["ERROR", "WARN"][k % 2], "svc", "a.log", "m") for k in range(900)]
+    logs = spark.createDataFrame(made, "doc_seq long, ts timestamp, level string, source string, file string, message string")
+    rules = spark.createDataFrame([(1, "svc", "ERROR", 10), (2, None, None, 30), (3, None, None, 5)], "rule_id long, source string, level string, window_minutes int")
+    where = {3: F.col("doc_seq") % 5 == 0}
+    kept = RollUp(spark, str(tmp_path / "roll"), where)
+    logs.write.parquet(str(tmp_path / "in"))
+    kept.follow(spark.readStream.schema(logs.schema).parquet(str(tmp_path / "in")), str(tmp_path / "cp"), every="").awaitTermination()
+    kept.add(logs.limit(0), 99)
+    found = kept.window_counts(rules, AS_OF, 4)
+    counts = lambda df: sorted((r.rule_id, r.window, r["count"]) for r in df.collect())
+    assert counts(found) == counts(alerts.window_counts(logs, rules, AS_OF, 4, where))
+    assert all("/roll/" in f for f in found.inputFiles())
+    kept.compact("2026-08-11")
+    assert counts(kept.window_counts(rules, AS_OF, 4)) == counts(found) and kept.rows().select("batch").distinct().count() == 1
+    assert RollUp(spark, str(tmp_path / "none")).window_counts(rules, AS_OF, 2).agg(F.sum("count")).first()[0] == 0
+    with pytest.raises(ValueError):
+        kept.window_counts(rules, "2026-08-10 12:00:01", 2).collect()
 
 
 def test_latest_per_key(spark):

@@ -21,6 +21,27 @@ def compare(metric: Column, comparison: Column, threshold: Column) -> Column:
     )
 
 
+def _scopes(where: dict[int, Column]) -> Column:
+    """The scopes a row counts in: 0 for all rows, and the id of each rule whose predicate it meets."""
+    return F.array_compact(F.array(F.lit(0).cast("long"), *[F.when(p, F.lit(k).cast("long")) for k, p in where.items()]))
+
+
+def _by_rule(near, rules: DataFrame, as_of: str, windows: int, own_scopes) -> DataFrame:
+    """Counts of (ts, source, level, scope, n) rows in each rule's windows; ``near`` makes the rows from the first instant that is looked at."""
+    end = F.unix_millis(F.lit(as_of).cast("timestamp"))
+    widths = sorted(r[0] for r in rules.select("window_minutes").distinct().collect())  # control data: a few numbers
+    ago = F.floor((end - 1 - F.unix_millis("ts")) / (F.col("window_minutes") * 60_000))
+    rows = near(F.timestamp_millis(end - max(widths, default=0) * 60_000 * windows), F.lit(as_of).cast("timestamp"))
+    wide = rows.withColumn("window_minutes", F.explode(F.array(*map(F.lit, widths)).cast("array<int>")))
+    counted = wide.where(F.unix_millis("ts") >= end - F.col("window_minutes").cast("long") * 60_000 * windows).groupBy("window_minutes", ago.cast("int").alias("ago"), "source", "level", "scope").agg(F.sum("n").alias("n"))
+    own = F.when(F.col("rule_id").isin(*own_scopes), F.col("rule_id")).otherwise(0) if own_scopes else F.lit(0)
+    r, c = rules.withColumn("scope", own.cast("long")).alias("r"), counted.alias("c")
+    fits = (F.col("r.window_minutes") == F.col("c.window_minutes")) & (F.col("r.scope") == F.col("c.scope")) & (F.col("r.source").isNull() | (F.col("r.source") == F.col("c.source"))) & (F.col("r.level").isNull() | (F.col("r.level") == F.col("c.level")))
+    hits = r.join(c, fits).groupBy("r.rule_id", "c.ago").agg(F.sum("c.n").alias("count"))
+    spine = rules.withColumn("ago", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
+    return spine.join(hits, ["rule_id", "ago"], "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long"))).withColumn("window", F.lit(windows - 1) - F.col("ago")).drop("ago")
+
+
 def window_counts(logs: DataFrame, rules: DataFrame, as_of: str, windows: int, where: dict[int, Column] | None = None) -> DataFrame:
     """(rule columns, window, count): entries in each of the last ``windows`` windows of every rule, empty ones included.
 
@@ -30,20 +51,21 @@ def window_counts(logs: DataFrame, rules: DataFrame, as_of: str, windows: int, w
     entries; only entries of the longest rule's windows are scanned.
     """
     where = where or {}
-    now = F.lit(as_of).cast("timestamp")
-    end = F.unix_millis(now)
-    widths = sorted(r[0] for r in rules.select("window_minutes").distinct().collect())  # control data: a few numbers
-    ago = F.floor((end - 1 - F.unix_millis("ts")) / (F.col("window_minutes") * 60_000))
-    near = logs.where((F.col("ts") < now) & (F.col("ts") >= F.timestamp_millis(end - max(widths, default=0) * 60_000 * windows)))
-    scopes = F.array_compact(F.array(F.lit(0).cast("long"), *[F.when(p, F.lit(k).cast("long")) for k, p in where.items()]))
-    wide = near.select("ts", "source", "level", F.explode(scopes).alias("scope")).withColumn("window_minutes", F.explode(F.array(*map(F.lit, widths)).cast("array<int>")))
-    counted = wide.where(F.unix_millis("ts") >= end - F.col("window_minutes").cast("long") * 60_000 * windows).groupBy("window_minutes", ago.cast("int").alias("ago"), "source", "level", "scope").agg(F.count("*").alias("n"))
-    own = F.when(F.col("rule_id").isin(*where), F.col("rule_id")).otherwise(0) if where else F.lit(0)
-    r, c = rules.withColumn("scope", own.cast("long")).alias("r"), counted.alias("c")
-    fits = (F.col("r.window_minutes") == F.col("c.window_minutes")) & (F.col("r.scope") == F.col("c.scope")) & (F.col("r.source").isNull() | (F.col("r.source") == F.col("c.source"))) & (F.col("r.level").isNull() | (F.col("r.level") == F.col("c.level")))
-    hits = r.join(c, fits).groupBy("r.rule_id", "c.ago").agg(F.sum("c.n").alias("count"))
-    spine = rules.withColumn("ago", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
-    return spine.join(hits, ["rule_id", "ago"], "left").withColumn("count", F.coalesce("count", F.lit(0))).withColumn("window", F.lit(windows - 1) - F.col("ago")).drop("ago")
+    inside = lambda low, high: logs.where((F.col("ts") < high) & (F.col("ts") >= low)).select("ts", "source", "level", F.explode(_scopes(where)).alias("scope"), F.lit(1).cast("long").alias("n"))
+    return _by_rule(inside, rules, as_of, windows, where.keys())
+
+
+def minute_counts(logs: DataFrame, where: dict[int, Column] | None = None) -> DataFrame:
+    """(ts, source, level, scope, n): entries a minute, which ``kept_window_counts`` adds up; counts of parts of the entries may be put together."""
+    rows = logs.where("ts IS NOT NULL").select(F.date_trunc("minute", "ts").alias("ts"), "source", "level", F.explode(_scopes(where or {})).alias("scope"))
+    return rows.groupBy("ts", "source", "level", "scope").agg(F.count("*").alias("n"))
+
+
+def kept_window_counts(minutes: DataFrame, rules: DataFrame, as_of: str, windows: int, scopes=()) -> DataFrame:
+    """As window_counts, from counts a minute; ``as_of`` must be a whole minute. ``scopes`` are the rules whose predicates were counted."""
+    if not str(as_of).endswith(":00"):
+        raise ValueError("kept counts are looked at on whole minutes")
+    return _by_rule(lambda low, high: minutes.where((F.col("ts") < high) & (F.col("ts") >= low)), rules, as_of, windows, set(scopes))
 
 
 def evaluate(counts: DataFrame, rate_compat: bool = False) -> DataFrame:

@@ -21,6 +21,7 @@ from .operators import alerts, dashboard, rows
 from .plans.engine import Engine
 from .plans.registry import Rule, Search, Source
 from .sources import store, tails
+from .streaming.alerts import RollUp
 from .streaming.ingest import windowed_counts
 
 AS_OF = "2024-01-31 00:00:00"
@@ -205,6 +206,20 @@ _add(
  SELECT o.rule_id, o."window" AS triggered_at, (SELECT min(c."window") FROM e c WHERE c.rule_id = o.rule_id AND c.closes AND c."window" > o."window") AS resolved_at, round(o.metric_value, 9) AS metric_value, o.threshold AS threshold_at_trigger, NOT o.muted AS notified FROM e o WHERE o.opens""",
 )
 
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Windows from counts by the minute that came in three batches, one of them twice."""
+    rules = df.sparkSession.createDataFrame(_RULES, _RULE_COLUMNS)
+    kept = RollUp(df.sparkSession, store.scratch_dir(df.sparkSession))
+    for batch in (0, 1, 1, 2):
+        kept.add(df.where(F.col("doc_seq") % 3 == batch), batch)
+    kept.compact("2024-01-10")
+    return alerts.evaluate(kept.window_counts(rules, AS_OF, _WINDOWS))
+
+
+_add("alert_windows_kept", lambda df: _kept(df).select("rule_id", "window", "count", F.round("metric_value", 9).alias("metric_value"), "triggered"), ORACLE_SQL["alert_windows"])
+
 # Parsing and extraction of log text that is made from events
 
 

@@ -1,26 +1,135 @@
-"""Edge-triggered alert state over a stream of evaluated ticks."""
+"""Alerts over streams: counts kept by the minute, and edges from state with a timer."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.alerts import kept_window_counts, minute_counts
 
 EVENTS = "rule_id long, tick long, edge string, metric_value double"
+MINUTES = "ts timestamp, source string, level string, scope long, n long, day string, batch long"
+
+
+class RollUp:
+    """Counts of entries by minute, source, level and rule predicate, under ``path``.
+
+    A batch writes its counts into a folder of its own within each day, so a
+    repeated batch changes nothing and late entries only add rows. A tick reads
+    the days of the rules' windows and no entries. ``where`` has the predicates
+    of rules, by id; a rule's predicate counts from when it is there.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, where: dict[int, Column] | None = None):
+        self.spark, self.path, self.where = spark, path, where or {}
+
+    def add(self, entries: DataFrame, batch: int) -> None:
+        counts = minute_counts(entries, self.where).withColumns({"day": F.date_format("ts", "yyyy-MM-dd"), "batch": F.lit(batch).cast("long")})
+        counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(self.path)
+
+    def follow(self, entries: DataFrame, checkpoint: str, every: str = "30 seconds"):
+        """A query that adds the batches of a stream of entries."""
+        trigger = {"processingTime": every} if every else {"availableNow": True}
+        return entries.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+    def rows(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(MINUTES).parquet(self.path)
+        except AnalysisException:
+            return self.spark.createDataFrame([], MINUTES)
+
+    def window_counts(self, rules: DataFrame, as_of: str, windows: int) -> DataFrame:
+        """As operators.alerts.window_counts over all entries that were added; ``as_of`` is a whole minute."""
+        longest = rules.agg(F.max("window_minutes")).first()[0] or 0
+        now = F.lit(as_of).cast("timestamp")
+        days = self.rows().where((F.col("day") >= F.date_format(now - F.make_dt_interval(mins=F.lit(longest * windows)), "yyyy-MM-dd")) & (F.col("day") <= F.date_format(now, "yyyy-MM-dd")))
+        return kept_window_counts(days.select("ts", "source", "level", "scope", "n"), rules, as_of, windows, self.where)
+
+    def compact(self, before: str, batch: int = -1) -> None:
+        """Put the batches of days before ``before`` together, one folder a day; no batch may be on its way for those days.
+
+        The sums are staged beside the table first, so a reader sees a day's
+        batches or its sum, and a compaction that is cut off is done again.
+        """
+        staged, old = f"{self.path}-compact", self.rows().where(F.col("day") < before)
+        days = [r.day for r in old.groupBy("day").agg(F.count_distinct("batch").alias("n")).where("n > 1").collect()]  # a row a day
+        if not days:
+            return
+        merged = old.where(F.col("day").isin(days)).groupBy("ts", "source", "level", "scope", "day").agg(F.sum("n").alias("n"))
+        merged.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").partitionBy("day").parquet(staged)
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path
+        files = path(self.path).getFileSystem(context._jsc.hadoopConfiguration())
+        for day in days:
+            files.delete(path(f"{self.path}/day={day}"), True)
+            files.mkdirs(path(f"{self.path}/day={day}"))
+            files.rename(path(f"{staged}/day={day}"), path(f"{self.path}/day={day}/batch={batch}"))
+        files.delete(path(staged), True)
+
+
+class Edges(StatefulProcessor):
+    """The last tick, its time and metric of a rule that is firing; a timer resolves a rule whose ticks stop."""
+
+    def __init__(self, silence_ms: int):
+        self.silence_ms = silence_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("firing", "tick long, metric_value double, timer long")
+
+    def _rows(self, out: list) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame(out, columns=["rule_id", "tick", "edge", "metric_value"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        ticks, out = pd.concat(list(rows)).sort_values("tick"), []
+        held = self.state.get() if self.state.exists() else None
+        firing = held is not None
+        for tick, triggered, metric in zip(ticks["tick"], ticks["triggered"], ticks["metric_value"], strict=True):
+            if bool(triggered) != firing:
+                firing = bool(triggered)
+                out.append((key[0], tick, "open" if firing else "resolve", metric))
+        if held is not None:
+            self.handle.deleteTimer(held[2])
+        if firing:
+            timer = int(ticks["at"].iloc[-1].timestamp() * 1000) + self.silence_ms
+            self.handle.registerTimer(timer)
+            self.state.update((int(ticks["tick"].iloc[-1]), float(ticks["metric_value"].iloc[-1]), timer))
+        elif held is not None:
+            self.state.clear()
+        return self._rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.state.exists():
+            tick, metric, timer = self.state.get()
+            if timer <= expiredTimerInfo.getExpiryTimeInMs():
+                out.append((key[0], tick, "resolve", metric))
+                self.state.clear()
+        return self._rows(out)
+
+    def close(self) -> None:
+        pass
+
 
+def alert_edges(ticks: DataFrame, silence_ms: int = 600_000, late: str = "10 seconds") -> DataFrame:
+    """Open and resolve events of a streaming frame (rule_id, tick, triggered, metric_value, at).
 
-def edges(key, batches, state):
-    """Open and resolve events of one rule; the state is whether it is firing."""
-    firing = state.get[0] if state.exists else False
-    rows = pd.concat(list(batches)).sort_values("tick")
-    out = []
-    for tick, triggered, metric in zip(rows["tick"], rows["triggered"], rows["metric_value"], strict=True):
-        if bool(triggered) != firing:
-            firing = bool(triggered)
-            out.append((key[0], tick, "open" if firing else "resolve", metric))
-    state.update((firing,))
-    yield pd.DataFrame(out, columns=["rule_id", "tick", "edge", "metric_value"])
+    Ticks of a rule must come in order across batches. What is firing is in
+    the query's checkpoint. A rule that is firing and whose ticks stop is
+    resolved with its last one, once the ticks of other rules are ``silence_ms``
+    (and ``late``) further: time is that of the ticks, so a replay gives the
+    same events. Without a column ``at``, ticks are seconds. The session's
+    state store must be RocksDB (``state_store``).
+    """
+    timed = ticks if "at" in ticks.columns else ticks.withColumn("at", F.timestamp_seconds("tick"))
+    return timed.withWatermark("at", late).groupBy("rule_id").transformWithStateInPandas(Edges(silence_ms), EVENTS, "append", "eventTime")
 
 
-def alert_edges(ticks: DataFrame) -> DataFrame:
-    """Events of a streaming frame (rule_id, tick, triggered, metric_value); ticks of a rule must come in order across batches."""
-    return ticks.groupBy("rule_id").applyInPandasWithState(edges, EVENTS, "firing boolean", "append", "NoTimeout")
+def state_store(spark: SparkSession) -> None:
+    """Let the session's streams keep state of this kind."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
