@@ -186,13 +186,13 @@ def test_history_is_ingested_whole(spark, tmp_path):
 
 
 def test_state_outlives_the_engine(spark, tmp_path):
-    engine = Engine(spark, state=str(tmp_path))
+    engine = Engine(spark, state=str(tmp_path), key=bytes(16))
     source = engine.sources.create(Source("a", "SFTP", "p", "h", 22, "u", "pw"))
     engine.saved.create(Search("s", levels=("ERROR", "WARN")))
     rule = engine.rules.create(Rule("r", threshold=1.0, webhook_url="http://x"))
     engine.rules.create(Rule("gone", threshold=1.0))
     engine.rules.delete(2)
-    again = Engine(spark, state=str(tmp_path))
+    again = Engine(spark, state=str(tmp_path), key=bytes(16))
     assert again.sources.list() == [source] and again.saved.get(1).levels == ("ERROR", "WARN") and again.rules.list() == [rule]
     assert oct((tmp_path / "sources.json").stat().st_mode & 0o777) == "0o600"
 

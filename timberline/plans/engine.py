@@ -7,6 +7,7 @@ own to parse, since Spark SQL is one.
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import os
 import time
@@ -22,7 +23,8 @@ from ..functions.extract import extract
 from ..functions.lines import frame_lines, parse
 from ..operators import aggregations, alerts, dashboard, rows
 from ..sources import tails
-from .registry import Event, Records, Rule, Search, Source, check_local, valid_event, valid_rule, valid_search, valid_source
+from ..sources.store import Sender, post_webhook
+from .registry import Event, Missing, Records, Rule, Search, Source, Vault, check_local, valid_event, valid_rule, valid_search, valid_source
 
 #: How long what was read of a live source is used.
 LIVE_SECONDS = 2.0
@@ -31,13 +33,14 @@ PROBE_SECONDS = 5.0
 
 
 class Engine:
-    """``state`` names a folder of the driver's that keeps sources, searches, rules and alert events over restarts."""
+    """``state`` names a folder of the driver's that keeps sources, searches, rules and alert events over restarts; ``key`` seals the secrets in it."""
 
-    def __init__(self, spark: SparkSession, apm_template: str | None = None, state: str | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, apm_template: str | None = None, state: str | None = None, key: bytes | None = None, sender: Sender | None = None):
+        self.spark, self._sender = spark, sender
+        vault = Vault(spark, key) if key else None
         kept = lambda name: os.path.join(state, f"{name}.json") if state else None
-        self.sources, self.saved = Records(valid_source, kept("sources")), Records(valid_search, kept("searches"))
-        self.rules, self.events = Records(valid_rule, kept("rules")), Records(valid_event, kept("events"))
+        self.sources, self.saved = Records(valid_source, kept("sources"), vault), Records(valid_search, kept("searches"))
+        self.rules, self.events = Records(valid_rule, kept("rules"), vault), Records(valid_event, kept("events"))
         self.config = {"apm_template": apm_template or None}
         self._held: dict[int, DataFrame] = {}
         self._read_at: dict[int, float] = {}
@@ -194,8 +197,38 @@ class Engine:
         counts = alerts.window_counts(logs.where(filters.scope(disabled=self._disabled())), rules, as_of, windows, where)
         return alerts.evaluate(counts).where(F.col("window") == windows - 1)
 
-    def fire(self, triggered: DataFrame, firing: set[int], post, as_of: str | None = None) -> set[int]:
-        """Open events of rules that began to trigger and notify unless muted, resolve those that stopped; returns those that trigger now."""
+    @property
+    def sender(self) -> Sender:
+        """What posts webhooks; its threads start with the first use."""
+        self._sender = self._sender or Sender()
+        return self._sender
+
+    def notify(self, rule: Rule, payload: dict, event: int | None = None) -> bool:
+        """Queue a rule's webhook and return at once; an event that couldn't be sent is marked so when that is known."""
+
+        def done(status, error) -> None:
+            if event is not None and (error is not None or not 200 <= status < 300):
+                with contextlib.suppress(Missing):  # the event may be deleted by then
+                    self.events.update(event, notified=False)
+
+        return self.sender.submit(rule.webhook_url, payload, rule.webhook_secret or None, done)
+
+    def test_webhook(self, key: int, timeout: float = 5) -> tuple[bool, str]:
+        """Post a sample to a rule's webhook and wait for it: whether it arrived, and why not."""
+        rule: Rule = self.rules.get(key)
+        if not rule.webhook_url:
+            return False, "the rule has no webhook"
+        try:
+            status = post_webhook(rule.webhook_url, {**_told(rule), "metricValue": 0.0, "test": True}, rule.webhook_secret or None, timeout)
+        except (OSError, ValueError) as error:
+            return False, str(error)
+        return 200 <= status < 300, f"HTTP status {status}"
+
+    def fire(self, triggered: DataFrame, firing: set[int], post=None, as_of: str | None = None) -> set[int]:
+        """Open events of rules that began to trigger and notify unless muted, resolve those that stopped; returns those that trigger now.
+
+        ``post(rule, payload)`` sends at once; without it the sender's threads do.
+        """
         now = {r["rule_id"]: r for r in triggered.where("triggered").collect()}  # one row a rule
         at = as_of or datetime.datetime.now(datetime.UTC).isoformat()
         for event in self.events.list():
@@ -206,14 +239,19 @@ class Engine:
             sent = bool(rule.webhook_url) and not rule.muted
             event = self.events.create(Event(rule_id, at, None, now[rule_id]["metric_value"], rule.threshold, not rule.muted))
             if sent:
+                payload = {**_told(rule), "metricValue": now[rule_id]["metric_value"]}
+                if post is None:
+                    if not self.notify(rule, payload, event.id):
+                        self.events.update(event.id, notified=False)
+                    continue
                 try:
-                    post(rule, {k: v for k, v in asdict(rule).items() if k not in ("webhook_secret",)} | {"metricValue": now[rule_id]["metric_value"]})
+                    post(rule, payload)
                 except OSError:  # a receiver that is down stops no other rule
                     self.events.update(event.id, notified=False)
         return set(now)
 
     def watch(self, logs, post, checkpoint: str, every: str = "30 seconds"):
-        """A streaming query that evaluates all rules on ``logs()`` at every tick and fires; events open at a restart stay open."""
+        """A streaming query that evaluates all rules on ``logs()`` at every tick and fires (``post`` as there); events open at a restart stay open."""
         firing = {e.rule_id for e in self.events.list() if e.resolved_at is None}
 
         def tick(_: DataFrame, __: int) -> None:
@@ -225,6 +263,11 @@ class Engine:
         return ticks.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
+def _told(rule: Rule) -> dict:
+    """What a webhook is told of a rule: all but the secret."""
+    return {k: v for k, v in asdict(rule).items() if k != "webhook_secret"}
+
+
 def count_by(logs: DataFrame, where: Column, name: str) -> DataFrame:
     """The shortest path from a filter to groups."""
     return aggregations.count_by(logs.where(where), name)

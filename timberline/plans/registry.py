@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import os
+import threading
 from dataclasses import asdict, dataclass, replace
 
 SOURCE_TYPES = {"LOCAL_FILE": ["path"], "LOCAL_DIRECTORY": ["path"], "SFTP": ["path", "host", "username", "password"], "HTTP": ["path"]}
@@ -117,29 +119,83 @@ def valid_search(search: Search) -> Search:
     return search
 
 
+SECRETS = ("password", "webhook_secret")
+SEALED = "aes:"
+
+
+class Vault:
+    """Seals secrets by AES-GCM with a key of 16, 24 or 32 bytes (Spark's aes_encrypt: a random IV of 12 bytes, then text and tag)."""
+
+    def __init__(self, spark, key: bytes):
+        if len(key) not in (16, 24, 32):
+            raise ValueError("a key has 16, 24 or 32 bytes")
+        self.spark, self.key = spark, key
+
+    def _one(self, function: str, value: bytes) -> bytes:
+        from pyspark.sql import functions as F
+
+        frame = self.spark.createDataFrame([(bytearray(value), bytearray(self.key))], "value binary, key binary")  # as data, so that no plan shows them
+        return bytes(frame.select(getattr(F, function)("value", "key", F.lit("GCM"))).first()[0])
+
+    def seal(self, text: str) -> str:
+        return SEALED + base64.b64encode(self._one("aes_encrypt", text.encode())).decode()
+
+    def open(self, sealed: str) -> str:
+        from pyspark.errors import PySparkException
+
+        try:
+            return self._one("aes_decrypt", base64.b64decode(sealed.removeprefix(SEALED))).decode()
+        except PySparkException as error:
+            raise ValueError("a secret can't be opened: another key, or a damaged file") from error
+
+
 class Records:
-    """Records by id, with a check on every change; kept in a JSON file of the driver's, if one is named."""
+    """Records by id, with a check on every change; kept in a JSON file of the driver's, if one is named.
 
-    def __init__(self, check, path: str | None = None):
-        self.check, self.path = check, path
+    Secrets are sealed in the file; without a vault they aren't written at all
+    and must be given again after a restart. Changes may come from several
+    threads.
+    """
+
+    def __init__(self, check, path: str | None = None, vault: Vault | None = None):
+        self.check, self.path, self.vault = check, path, vault
+        self.lock, self.sealed = threading.RLock(), {}
         self.kind = {valid_source: Source, valid_search: Search, valid_rule: Rule, valid_event: Event}[check]
         self.rows: dict[int, object] = {}
         if path and os.path.exists(path):
             with open(path, encoding="utf-8") as file:
                 for row in json.load(file):
-                    row = {k: tuple(v) if isinstance(v, list) else v for k, v in row.items()}
+                    row = {k: tuple(v) if isinstance(v, list) else self._opened(v) if k in SECRETS else v for k, v in row.items()}
                     self.rows[row["id"]] = self.kind(**row)
 
+    def _opened(self, kept: str) -> str:
+        if not kept.startswith(SEALED):
+            return kept
+        if self.vault is None:
+            raise ValueError("sealed secrets need their key")
+        text = self.vault.open(kept)
+        self.sealed[text] = kept
+        return text
+
+    def _closed(self, row) -> dict:
+        out = asdict(row)
+        for name in {*SECRETS} & out.keys():
+            if out[name] and self.vault and out[name] not in self.sealed:
+                self.sealed[out[name]] = self.vault.seal(out[name])
+            out[name] = self.sealed[out[name]] if out[name] and self.vault else ""
+        return out
+
     def _store(self) -> None:
         if self.path:
             with open(self.path + ".new", "w", encoding="utf-8", opener=lambda p, flags: os.open(p, flags, 0o600)) as file:
-                json.dump([asdict(r) for r in self.rows.values()], file)
+                json.dump([self._closed(r) for r in self.rows.values()], file)
             os.replace(self.path + ".new", self.path)
 
     def create(self, row):
-        row = replace(self.check(row), id=max(self.rows, default=0) + 1)
-        self.rows[row.id] = row
-        self._store()
+        with self.lock:
+            row = replace(self.check(row), id=max(self.rows, default=0) + 1)
+            self.rows[row.id] = row
+            self._store()
         return row
 
     def get(self, key: int):
@@ -149,18 +205,20 @@ class Records:
 
     def update(self, key: int, **changes):
         """Change fields; a blank password or secret keeps the old one, and a changed source is unverified again."""
-        old = self.get(key)
-        changes = {k: v for k, v in changes.items() if not (k in ("password", "webhook_secret") and not v)}
-        if isinstance(old, Source) and not {"enabled", "live", "status"} >= changes.keys():
-            changes["status"] = "UNVERIFIED"
-        self.rows[key] = self.check(replace(old, **changes))
-        self._store()
-        return self.rows[key]
+        with self.lock:
+            old = self.get(key)
+            changes = {k: v for k, v in changes.items() if not (k in SECRETS and not v)}
+            if isinstance(old, Source) and not {"enabled", "live", "status"} >= changes.keys():
+                changes["status"] = "UNVERIFIED"
+            self.rows[key] = self.check(replace(old, **changes))
+            self._store()
+            return self.rows[key]
 
     def delete(self, key: int):
-        row = self.get(key)
-        del self.rows[key]
-        self._store()
+        with self.lock:
+            row = self.get(key)
+            del self.rows[key]
+            self._store()
         return row
 
     def list(self) -> list:

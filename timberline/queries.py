@@ -7,8 +7,6 @@ parsed columns from the original ones.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,16 +160,18 @@ _add("level_ordinals", lambda df: df.select(level_ordinal(F.col("level")).alias(
 # Dashboard
 
 
-def _registry(spark: SparkSession) -> DataFrame:
-    return spark.range(7).select(F.concat(F.lit("svc-"), F.col("id").cast("string")).alias("name"), F.when(F.col("id") % 3 == 0, "REACHABLE").when(F.col("id") % 3 == 1, "UNREACHABLE").otherwise("UNVERIFIED").alias("status"), (F.col("id") != 4).alias("enabled"), (F.col("id") == 1).alias("live"))
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources that users of the events table belong to; the last two have no entries in the log view."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 7).alias("id")).distinct()
+    return users.select(F.concat(F.lit("svc-"), F.col("id").cast("string")).alias("name"), F.when(F.col("id") % 3 == 0, "REACHABLE").when(F.col("id") % 3 == 1, "UNREACHABLE").otherwise("UNVERIFIED").alias("status"), (F.col("id") != 4).alias("enabled"), (F.col("id") == 1).alias("live"))
 
 
-_REGISTRY = "registry AS (SELECT concat('svc-', id) AS name, CASE id % 3 WHEN 0 THEN 'REACHABLE' WHEN 1 THEN 'UNREACHABLE' ELSE 'UNVERIFIED' END AS status, id <> 4 AS enabled, id = 1 AS live FROM range(7) r(id))"
+_REGISTRY = "registry AS (SELECT concat('svc-', id) AS name, CASE id % 3 WHEN 0 THEN 'REACHABLE' WHEN 1 THEN 'UNREACHABLE' ELSE 'UNVERIFIED' END AS status, id <> 4 AS enabled, id = 1 AS live FROM (SELECT DISTINCT user_id % 7 AS id FROM events))"
 _DAY = "ts >= TIMESTAMP '2024-01-29 12:00:00' - INTERVAL 24 HOUR"
 _NOON = "2024-01-29 12:00:00"
-_add("dashboard_source_counts", lambda df: dashboard.source_counts(_registry(df.sparkSession)), f"WITH {_REGISTRY} SELECT count(*) AS sources, count(*) FILTER (status = 'REACHABLE') AS reachable, count(*) FILTER (status = 'UNREACHABLE') AS unreachable, count(*) FILTER (status = 'UNVERIFIED') AS unverified, count(*) FILTER (enabled) AS enabled, count(*) FILTER (NOT enabled) AS disabled FROM registry")
+_add("dashboard_source_counts", dashboard.source_counts, f"WITH {_REGISTRY} SELECT count(*) AS sources, count(*) FILTER (status = 'REACHABLE') AS reachable, count(*) FILTER (status = 'UNREACHABLE') AS unreachable, count(*) FILTER (status = 'UNVERIFIED') AS unverified, count(*) FILTER (enabled) AS enabled, count(*) FILTER (NOT enabled) AS disabled FROM registry", on=_sources)
 _add("dashboard_totals", lambda df: dashboard.totals(df, _NOON), f"SELECT count(*) AS entries, count(*) FILTER (level = 'ERROR') AS errors, count(*) FILTER (level = 'WARN') AS warnings FROM logs WHERE {_DAY}")
-_add("dashboard_source_activity", lambda df: dashboard.source_activity(_registry(df.sparkSession), df, _NOON), f"WITH {VIEW}, {_REGISTRY} SELECT name AS source, status, enabled, live, coalesce(entries, 0) AS entries, coalesce(errors, 0) AS errors FROM registry LEFT JOIN (SELECT source, count(*) AS entries, count(*) FILTER (level = 'ERROR') AS errors FROM logs WHERE {_DAY} GROUP BY 1) a ON name = source")
+_add("dashboard_source_activity", lambda both: dashboard.source_activity(*both, _NOON), f"WITH {VIEW}, {_REGISTRY} SELECT name AS source, status, enabled, live, coalesce(entries, 0) AS entries, coalesce(errors, 0) AS errors FROM registry LEFT JOIN (SELECT source, count(*) AS entries, count(*) FILTER (level = 'ERROR') AS errors FROM logs WHERE {_DAY} GROUP BY 1) a ON name = source", on=lambda spark, sf_dir: (_sources(spark, sf_dir), _logs(spark, sf_dir)))
 _add("dashboard_file_activity", lambda df: dashboard.file_activity(df, _NOON), f"SELECT source, file, count(*) AS entries, count(*) FILTER (level = 'ERROR') AS errors FROM logs WHERE {_DAY} AND file IS NOT NULL GROUP BY 1, 2")
 _add("dashboard_top_error_files", lambda df: dashboard.top_error_files(df, _NOON), f"SELECT source, file, count(*) AS entries, count(*) FILTER (level = 'ERROR') AS errors FROM logs WHERE {_DAY} GROUP BY 1, 2 HAVING errors > 0 ORDER BY errors DESC, source, file LIMIT 6")
 _add("dashboard_recent_issues", lambda df: _page(dashboard.recent_issues(df)), f"SELECT {_COLUMNS} FROM logs WHERE level IN ('ERROR', 'WARN') ORDER BY ts DESC, doc_seq LIMIT 10")
@@ -346,7 +346,7 @@ _AGO = f"epoch(TIMESTAMP '{_NOON}')::BIGINT - epoch_us(ts) // 1000000"
 _add("time_labels", lambda df: df.select("doc_seq", f.time_ago(F.col("ts"), _NOON).alias("ago")), f"SELECT doc_seq, CASE WHEN s < 5 THEN 'just now' WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' ELSE s // 86400 || 'd ago' END AS ago FROM (SELECT doc_seq, {_AGO} AS s FROM logs)")
 _PATHS = lambda: F.concat(F.when(F.col("doc_seq") % 2 == 0, "/var/log/").otherwise("C:\\logs\\"), F.col("file"), F.when(F.col("doc_seq") % 3 == 0, "/").otherwise(""))
 _add("file_labels", lambda df: df.select("doc_seq", tails.base_name(_PATHS()).alias("label")), "SELECT doc_seq, file AS label FROM logs")
-_add("source_names", lambda df: rows.sources(_registry(df.sparkSession)), f"WITH {_REGISTRY} SELECT name AS source FROM registry WHERE enabled")
+_add("source_names", rows.sources, f"WITH {_REGISTRY} SELECT name AS source FROM registry WHERE enabled", on=_sources)
 
 
 def _bars(df: DataFrame) -> DataFrame:
@@ -401,13 +401,19 @@ _add("frame_tail_lines", lambda df: lines.frame_lines(df, F.lit(False), 500).sel
 
 
 def _of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sources of different formats; a third one is disabled."""
-    parts = {"svc-0": _APP, "svc-1": _ISO, "svc-2": _APP}
-    return reduce(DataFrame.unionByName, [_parsed(_made(line)(spark, sf_dir).where(F.col("source") == name)) for name, line in parts.items() if name != "svc-2"])
-
-
-_add("union_of_sources", lambda df: df.select("source", "pos", "level", "message"), "SELECT source, doc_seq AS pos, level, CASE source WHEN 'svc-0' THEN 'Worker - item ' || doc_seq ELSE 'Level is ' || lower(level) || ' for item' END AS message FROM logs WHERE source IN ('svc-0', 'svc-1')", on=_of_sources)
-_add("failed_source", lambda df: tails.error_entry(df.sparkSession, "svc-9", "gone", AS_OF).select("source", "file", "level", F.unix_millis("ts").alias("ts_ms"), "message"), f"WITH one AS (SELECT 1) SELECT 'svc-9' AS source, CAST(NULL AS VARCHAR) AS file, 'ERROR' AS level, epoch_ms(TIMESTAMP '{AS_OF}') AS ts_ms, 'Failed to read log source: gone' AS message")
+    """What an engine reads of four sources: two written from events in different formats, a disabled one, and one that is gone."""
+    engine, top = Engine(spark), store.scratch_dir(spark).removeprefix("file:").replace("///", "/")
+    for name, line in {"svc-0": _APP, "svc-1": _ISO, "svc-2": _APP}.items():
+        made = _made(line)(spark, sf_dir).where(F.col("source") == name).coalesce(1).sortWithinPartitions("pos")
+        made.select("line").write.text(f"file:{top}/{name}", lineSep="\n")
+        engine.sources.create(Source(name, "LOCAL_DIRECTORY", f"{top}/{name}", enabled=name != "svc-2"))
+    engine.sources.create(Source("svc-9", "LOCAL_DIRECTORY", f"{top}/gone"))
+    return engine.logs(AS_OF)
+
+
+_TAIL = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_seq DESC) AS back FROM logs) WHERE back <= {tails.MAX_LINES} AND source IN ('svc-0', 'svc-1')"
+_add("union_of_sources", lambda df: df.where("source <> 'svc-9' AND file LIKE 'part-%'").select("source", "level", "message"), f"SELECT source, level, CASE source WHEN 'svc-0' THEN 'Worker - item ' || doc_seq ELSE 'Level is ' || lower(level) || ' for item' END AS message FROM ({_TAIL})", on=_of_sources)
+_add("failed_source", lambda df: df.groupBy("source").agg(F.count_if(F.col("message").startswith("Failed to read log source: can't read") & (F.col("level") == "ERROR") & F.col("file").isNull() & (F.col("ts") == F.lit(AS_OF).cast("timestamp"))).alias("failures"), F.count_if(F.col("file").startswith("part-")).alias("entries")), f"SELECT source, 0 AS failures, count(*) AS entries FROM ({_TAIL}) GROUP BY 1 UNION ALL SELECT 'svc-9', 1, 0", on=_of_sources)
 _add("newest_files", lambda df: tails.newest(_fingerprints(df, 0).withColumn("path", F.concat_ws("/", "source", "file")), 7).select("path"), "SELECT path FROM (SELECT source || '/' || file AS path, max(ts) AS m FROM logs GROUP BY source, file) ORDER BY m DESC, path LIMIT 7")
 _add("windowed_counts", lambda df: windowed_counts(df, "6 hours").select(F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "source", "level", "count"), f"SELECT epoch_us(ts) // {6 * HOUR * 1000} * {6 * HOUR} AS start_ms, (epoch_us(ts) // {6 * HOUR * 1000} + 1) * {6 * HOUR} AS end_ms, source, level, count(*) AS count FROM logs GROUP BY ALL")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import queue
+import threading
 import urllib.parse
 import urllib.request
 import uuid
@@ -234,3 +236,44 @@ def post_webhook(url: str, payload: dict, secret: str | None = None, timeout: fl
     headers = {"Content-Type": "application/json"} | ({header: sign(secret, body)} if secret else {})
     with urllib.request.urlopen(urllib.request.Request(url, body, headers), timeout=timeout) as answer:
         return answer.status
+
+
+class Sender:
+    """Posts webhooks behind the caller's back: a bounded queue, a few threads, one attempt each.
+
+    A receiver that is down or hangs holds up one thread for as long as its
+    time limit, and no caller. What doesn't fit into the queue is refused.
+    """
+
+    def __init__(self, threads: int = 2, waiting: int = 1000, post=post_webhook):
+        self.post, self.queue = post, queue.Queue(waiting)
+        self.threads = [threading.Thread(target=self._work, daemon=True) for _ in range(threads)]
+        for thread in self.threads:
+            thread.start()
+
+    def _work(self) -> None:
+        while (job := self.queue.get()) is not None:
+            url, payload, secret, done = job
+            try:
+                status, error = self.post(url, payload, secret), None
+            except Exception as failed:  # whatever it is, the thread goes on
+                status, error = None, failed
+            if done:
+                done(status, error)
+            self.queue.task_done()
+        self.queue.task_done()
+
+    def submit(self, url: str, payload: dict, secret: str | None = None, done=None) -> bool:
+        """Queue a post; false if the queue is full. ``done`` gets (status, error) once, in a sender's thread."""
+        try:
+            self.queue.put_nowait((url, payload, secret, done))
+            return True
+        except queue.Full:
+            return False
+
+    def close(self) -> None:
+        """Send what is queued, then stop."""
+        for _ in self.threads:
+            self.queue.put(None)
+        for thread in self.threads:
+            thread.join()
