@@ -151,3 +151,31 @@ def holds(tree, row):
 def test_any_predicate_agrees_with_plain_python(status, tree):
     everything = status.collect()
     assert ids(status, build(tree)) == [r.doc_seq for r in everything if holds(tree, r.asDict())]
+
+
+def plain_near(tokens, words, slop):
+    """By trying every choice of positions."""
+    import itertools
+
+    places = [[i for i, t in enumerate(tokens) if t == w] for w in words]
+    for chosen in itertools.product(*places):
+        shifts = [p - i for i, p in enumerate(chosen)]
+        if len(set(chosen)) == len(chosen) and max(shifts) - min(shifts) <= slop:
+            return True
+    return False
+
+
+@pytest.mark.parametrize("phrase", ["a b", "a a", "a b a", "a b c", "b b b", "ä b"])
+@pytest.mark.parametrize("slop", [1, 2, 4])
+def test_sloppy_phrases(spark, phrase, slop):
+    import random
+
+    rng = random.Random(f"{phrase}{slop}")
+    texts = [" ".join(rng.choices(["a", "b", "c", "x", "ä"], k=rng.randint(0, 9))) for _ in range(120)] + [None, ""]
+    frame = spark.createDataFrame([*enumerate(texts)], "k int, t string")
+    found = {r.k for r in frame.where(text.has_near_phrase(F.col("t"), phrase, slop)).select("k").collect()}
+    assert found == {k for k, t in enumerate(texts) if plain_near((t or "").split(), phrase.split(), slop)}
+
+
+def test_sloppy_phrase_without_tokens(spark):
+    assert spark.range(3).where(text.has_near_phrase(F.lit("a b"), "...", 3)).count() == 0

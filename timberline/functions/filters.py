@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..model import KEYWORD_FIELDS
-from .text import composite, has_any_token, has_phrase, tokens, whole_term_pattern, wildcard_pattern
+from .text import composite, has_any_token, has_near_phrase, has_phrase, tokens, whole_term_pattern, wildcard_pattern
 
 NUMBER = r"^-?\d+(\.\d+)?$"
 
@@ -42,8 +42,10 @@ def term(words: str) -> Column:
     return has_any_token(all_text(), words)
 
 
-def phrase(words: str, name: str | None = None) -> Column:
-    return has_phrase(all_text() if name is None else value(name), words)
+def phrase(words: str, name: str | None = None, slop: int = 0) -> Column:
+    """The words side by side, or moved by at most ``slop``."""
+    text = all_text() if name is None else value(name)
+    return has_near_phrase(text, words, slop) if slop else has_phrase(text, words)
 
 
 def any_word(words: str, name: str) -> Column:

@@ -138,6 +138,7 @@ _filter("trace_correlation", lambda: f.trace("k", "42"), "k = '42'")
 _WORDS = r"(SELECT doc_id AS doc_seq, source, lang, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '(\p{L})[.:''’·](\p{L})', '\1_\2', 'g'), '(\p{L})[.:''’·](\p{L})', '\1_\2', 'g'), '(\p{Nd})[.,;''’](\p{Nd})', '\1_\2', 'g'), '(\p{Nd})[.,;''’](\p{Nd})', '\1_\2', 'g'), '[\p{L}\p{N}\p{M}_]+') AS t FROM documents)"
 _filter("text_any_word", lambda: text.has_any_token(F.col("message"), "haou est"), f"WITH d AS {_WORDS} SELECT doc_seq FROM d WHERE list_has_any(t, ['haou', 'est'])", _docs)
 _filter("text_phrase", lambda: text.has_phrase(F.col("message"), "of the"), f"WITH d AS {_WORDS} SELECT doc_seq FROM d WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' of the ')", _docs)
+_filter("text_near_phrase", lambda: text.has_near_phrase(F.col("message"), "of the", 2), f"WITH d AS {_WORDS}, w AS (SELECT doc_seq, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM d) SELECT DISTINCT a.doc_seq FROM w a JOIN w b ON a.doc_seq = b.doc_seq AND a.w = 'of' AND b.w = 'the' AND abs(b.i - 1 - a.i) <= 2", _docs)
 _filter("text_pattern_token", lambda: f.matches("th[ae]t?ha.*"), f"WITH d AS {_WORDS} SELECT doc_seq FROM d WHERE len(list_filter(t, lambda x: regexp_full_match(x, 'th[ae]t?ha.*'))) > 0", _docs)
 
 # Rows
