@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from timberline.functions import filters as f
-from timberline.functions import text
+from timberline.functions import patterns, text
 from timberline.functions.extract import extract
 from timberline.operators import aggregations as agg
 from timberline.operators import rows
@@ -117,15 +117,69 @@ def test_tokens(spark, text_, expected):
     assert spark.createDataFrame([(text_,)], "x string").select(text.tokens(F.col("x"))).first()[0] == expected
 
 
-@pytest.mark.parametrize(("pattern", "java"), [("a^b$", "^(?:a\\^b\\$)$"), ('x"a.b"', "^(?:x\\Qa.b\\E)$"), ("@[^@]", "^(?:.*[^@])$")])
-def test_term_patterns(pattern, java):
-    assert text.whole_term_pattern(pattern) == java
+@pytest.mark.parametrize(("pattern", "yes", "no"), [
+    ("a^b$", ["a^b$"], ["ab", "a^b$\n"]), ('x"a.b"', ["xa.b"], ["xacb"]), ("@[^@]", ["ab", "a\nb", "é"], ["", "a@"]),
+    ("a.b", ["a\nb", "a\U0001f600b"], ["ab"]), ("#|x", ["x"], ["", "#"]), ("()", [""], ["a"]), ("a**?", ["", "aaa"], ["b"]), ("[a&&b]+", ["a&b"], ["|"]), ("[\\d_]{2}", ["1_"], ["a_"]),
+    ("<1-20>", ["1", "007", "20"], ["0", "21", "", "1a"]), ("<01-20>", ["01", "20"], ["1", "001"]), ("<20-01>", ["07"], ["21"]), ("v<8-123>x", ["v8x", "v0123x"], ["v7x", "v124x"]), ("<0-0>", ["0"], ["00"]),
+    ("~a", ["~a"], ["a", "b"]), ("ab&.*b&a@", ["ab"], ["b"]), ("a|b&c", ["a"], ["b", "c"]), ("(a@&@b)c", ["abc", "a1bc"], ["abcc", "ac"]), ("(.*&<1-5>){2}", ["11", "53"], ["1", "16", "0105"]),
+])
+def test_term_patterns(spark, pattern, yes, no):
+    frame = spark.createDataFrame([*[(t, True) for t in yes], *[(t, False) for t in no]], "t string, expected boolean")
+    assert [r.t for r in frame.where(F.col("t").rlike(patterns.whole_term_pattern(pattern)) != F.col("expected")).collect()] == []
 
 
-@pytest.mark.parametrize("pattern", ["a&b", "~a", "<1-5>", '"open'])
+@pytest.mark.parametrize("pattern", ['"open', "(a", "a)", "a{2,1}", "a{", "<5>", "[z-a]", "[a", "a\\", "<a-b>"])
 def test_refused_patterns(pattern):
     with pytest.raises(ValueError):
-        text.whole_term_pattern(pattern)
+        patterns.whole_term_pattern(pattern)
+
+
+def random_pattern(rng, depth):
+    """A pattern, and a function that gives every place where its terms that begin at a place of a text end."""
+    kind = rng.choice(["char", "char", "class", "range"] if depth == 0 else ["cat", "cat", "or", "and", "not", "many", "char"])
+    if kind in ("char", "class"):
+        pattern, held = {"char": [("a", "a"), ("b", "b"), ("1", "1")], "class": [("[^a]", "b01"), (".", "ab01"), ("\\d", "01")]}[kind][rng.randrange(3)]
+        return pattern, lambda s, i: {i + 1} if i < len(s) and s[i] in held else set()
+    if kind == "range":
+        low, high = sorted((rng.randrange(12), rng.randrange(100)))
+        wide = len(str(low)) == len(str(high))
+        return f"<{low}-{high}>", lambda s, i: {j for j in range(i + 1, len(s) + 1) if s[i:j].isdecimal() and low <= int(s[i:j]) <= high and (not wide or j - i == len(str(high)))}
+    p, first = random_pattern(rng, depth - 1)
+    if kind == "not":
+        return f"~({p})", lambda s, i: {*range(i, len(s) + 1)} - first(s, i)
+    if kind == "many":
+
+        def closed(s, i):
+            found, todo = {i}, {i}
+            while todo:
+                todo = {k for j in todo for k in first(s, j)} - found
+                found |= todo
+            return found
+
+        return f"({p})*", closed
+    q, last = random_pattern(rng, depth - 1)
+    if kind == "cat":
+        return f"({p})({q})", lambda s, i: {k for j in first(s, i) for k in last(s, j)}
+    return (f"({p}|{q})", lambda s, i: first(s, i) | last(s, i)) if kind == "or" else (f"({p}&{q})", lambda s, i: first(s, i) & last(s, i))
+
+
+def test_any_term_pattern_agrees_with_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    made = [random_pattern(rng, rng.choice([1, 2, 3])) for _ in range(150)]
+    assert sum("&" in p for p, _ in made) > 20 and sum("~" in p for p, _ in made) > 20
+    texts = ["".join(t) for n in range(5) for t in itertools.product("ab01", repeat=n)]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    found = frame.select("t", *[F.col("t").rlike(patterns.whole_term_pattern(p, complement=True)).alias(f"p{i}") for i, (p, _) in enumerate(made)]).collect()
+    wrong = [(p, r.t) for r in found for i, (p, ends) in enumerate(made) if r[i + 1] != (len(r.t) in ends(r.t, 0))]
+    assert wrong == []
+
+
+def test_patterns_with_too_many_states_are_refused():
+    with pytest.raises(ValueError, match="states"):
+        patterns.whole_term_pattern("(@a.{12}&@b.{9})c")
 
 
 LEAVES = [("level", "ERROR"), ("source", "payments-api"), ("status", "500"), ("service", "test")]

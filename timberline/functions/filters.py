@@ -14,7 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..model import KEYWORD_FIELDS
-from .text import composite, has_any_token, has_near_phrase, has_phrase, tokens, whole_term_pattern, wildcard_pattern
+from .patterns import whole_term_pattern
+from .text import composite, has_any_token, has_near_phrase, has_phrase, tokens, wildcard_pattern
 
 NUMBER = r"^-?\d+(\.\d+)?$"
 
@@ -84,9 +85,9 @@ def lexical_range(name: str, low: str | None, high: str | None, with_low: bool =
     return _range(value(name), low, high, with_low, with_high)
 
 
-def matches(pattern: str, name: str | None = None) -> Column:
-    """A whole-term pattern on a field's value, or on any token of the message."""
-    java = whole_term_pattern(pattern)
+def matches(pattern: str, name: str | None = None, complement: bool = False) -> Column:
+    """A whole-term pattern on a field's value, or on any token of the message; with ``complement``, ``~`` negates."""
+    java = whole_term_pattern(pattern, complement)
     if name is None:
         return F.exists(tokens(F.col("message")), lambda t: t.rlike(java))
     return value(name).rlike(java)

@@ -1,4 +1,4 @@
-"""Tokens, phrases and whole-term regular expressions."""
+"""Tokens, phrases and wildcards."""
 
 from __future__ import annotations
 
@@ -94,42 +94,8 @@ def composite(*parts: Column) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def whole_term_pattern(pattern: str) -> str:
-    """An anchored term pattern as a Java regular expression.
-
-    ``^`` and ``$`` are plain characters, ``"..."`` is literal text, ``@`` is
-    any text and ``#`` matches nothing; intersections, complements and numeric
-    ranges are refused.
-    """
-    out, i, in_class = [], 0, False
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\" and i + 1 < len(pattern):
-            out.append(pattern[i : i + 2])
-            i += 2
-            continue
-        if in_class:
-            in_class = c != "]"
-            out.append(c)
-        elif c == "[":
-            in_class = True
-            out.append(c)
-        elif c in "&~<":
-            raise ValueError(f"not supported in a term pattern: {c}")
-        elif c == '"':
-            end = pattern.find('"', i + 1)
-            if end < 0:
-                raise ValueError("a quote is not closed")
-            out.append("\\Q" + pattern[i + 1 : end] + "\\E")
-            i = end
-        else:
-            out.append({"^": "\\^", "$": "\\$", "@": ".*", "#": "(?!)"}.get(c, c))
-        i += 1
-    return "^(?:" + "".join(out) + ")$"
-
-
 def wildcard_pattern(pattern: str) -> str:
     """``*`` and ``?`` wildcards as a Java regular expression; a leading wildcard is refused."""
     if pattern[:1] in ("*", "?"):
         raise ValueError("a wildcard can't come first")
-    return "^" + "".join(".*" if c == "*" else "." if c == "?" else "\\Q" + c + "\\E" for c in pattern) + "$"
+    return "(?s)^" + "".join(".*" if c == "*" else "." if c == "?" else "\\Q" + c + "\\E" for c in pattern) + "\\z"

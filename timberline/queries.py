@@ -124,6 +124,9 @@ _filter("filter_time", lambda: f.in_time("2024-01-10 00:00:00", "2024-01-12 00:0
 _filter("filter_levels", lambda: f.simple(levels=["ERROR", "WARN"]), "level IN ('ERROR', 'WARN')")
 _filter("filter_nested", lambda: (f.equals("level", "ERROR") | f.equals("source", "svc-1")) & f.negate(f.equals("file", "view.log")), "(level = 'ERROR' OR source = 'svc-1') AND file <> 'view.log'")
 _filter("filter_pattern_field", lambda: f.matches("svc-[12]", "source"), "regexp_full_match(source, 'svc-[12]')")
+_filter("filter_pattern_both", lambda: f.matches("svc-.*&@[13]", "source"), "regexp_full_match(source, 'svc-.*') AND regexp_full_match(source, '.*[13]')")
+_filter("filter_pattern_complement", lambda: f.matches("svc-~(1|3)", "source", complement=True), "starts_with(source, 'svc-') AND substr(source, 5) NOT IN ('1', '3')")
+_filter("filter_pattern_number", lambda: f.matches("<5-20>", "k"), "regexp_full_match(k, '[0-9]+') AND CAST(k AS BIGINT) BETWEEN 5 AND 20")
 _filter("filter_wildcard", lambda: f.wildcard("pur*.l?g", "file"), "file LIKE 'pur%.l_g'")
 _filter("filter_prefix", lambda: f.prefix("svc-3", "source"), "starts_with(source, 'svc-3')")
 _filter("filter_lexical_range", lambda: f.lexical_range("k", "2", "4"), "k >= '2' AND k <= '4'")
@@ -140,6 +143,7 @@ _filter("text_any_word", lambda: text.has_any_token(F.col("message"), "haou est"
 _filter("text_phrase", lambda: text.has_phrase(F.col("message"), "of the"), f"WITH d AS {_WORDS} SELECT doc_seq FROM d WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' of the ')", _docs)
 _filter("text_near_phrase", lambda: text.has_near_phrase(F.col("message"), "of the", 2), f"WITH d AS {_WORDS}, w AS (SELECT doc_seq, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM d) SELECT DISTINCT a.doc_seq FROM w a JOIN w b ON a.doc_seq = b.doc_seq AND a.w = 'of' AND b.w = 'the' AND abs(b.i - 1 - a.i) <= 2", _docs)
 _filter("text_pattern_token", lambda: f.matches("th[ae]t?ha.*"), f"WITH d AS {_WORDS} SELECT doc_seq FROM d WHERE len(list_filter(t, lambda x: regexp_full_match(x, 'th[ae]t?ha.*'))) > 0", _docs)
+_filter("text_pattern_inner", lambda: f.matches("(th@&@a).{2}"), f"WITH d AS {_WORDS} SELECT doc_seq FROM d WHERE len(list_filter(t, lambda x: regexp_full_match(x, 'th.*a..'))) > 0", _docs)
 
 # Rows
 
