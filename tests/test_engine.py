@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from timberline.operators import alerts, dashboard, rows
 from timberline.plans.engine import Engine
-from timberline.plans.registry import Missing, Records, Rule, Search, Source, browse, valid_rule, valid_source
+from timberline.plans.registry import Event, Missing, Records, Rule, Search, Source, browse, valid_rule, valid_source
 from timberline.sources import store, tails
-from timberline.streaming.alerts import EVENTS, RollUp, alert_edges, state_store
+from timberline.streaming.alerts import EVENTS, RollUp, TickTable, alert_edges, state_store
 from timberline.streaming.ingest import ingest_batch, ingest_history, ingest_stream, windowed_counts
 
 AS_OF = "2026-08-10 12:00:00"
@@ -227,6 +227,96 @@ def test_rules_are_watched(spark, tmp_path):
     assert posted == [3.0] and len(engine.events.list()) == 1
 
 
+def until(query, holds):
+    for _ in range(90):
+        if holds():
+            return
+        assert not query.awaitTermination(1)
+    raise AssertionError("nothing happened")
+
+
+def test_a_watch_goes_on_in_the_middle_of_an_alert(spark, tmp_path):
+    now = [(k, dt.datetime.now(dt.UTC).replace(tzinfo=None) - dt.timedelta(hours=1), "INFO", "s", "f", "m") for k in range(3)]
+    many = spark.createDataFrame(now, "doc_seq long, ts timestamp, level string, source string, file string, message string")
+    posted, current = [], [many]
+    engine = Engine(spark, state=str(tmp_path / "state"))
+    engine.rules.create(Rule("some", threshold=2.0, window_minutes=1440, webhook_url="http://x"))
+    post = lambda rule, body: posted.append(body["metricValue"])
+    ticks = lambda: len(list((tmp_path / "cp" / "ticks").glob("tick-*/_SUCCESS")))
+    query = engine.watch(lambda: current[0], post, str(tmp_path / "cp"), "1 second")
+    try:
+        until(query, lambda: posted)
+    finally:
+        query.stop()
+    again = Engine(spark, state=str(tmp_path / "state"))
+    before = ticks()
+    query = again.watch(lambda: current[0], post, str(tmp_path / "cp"), "1 second")
+    try:
+        until(query, lambda: ticks() >= before + 2)
+        assert posted == [3.0] and [e.resolved_at for e in again.events.list()] == [None]
+        current[0] = many.limit(0)
+        until(query, lambda: again.events.list()[0].resolved_at)
+    finally:
+        query.stop()
+    assert posted == [3.0] and len(again.events.list()) == 1 and not query.isActive
+
+
+def test_edges_come_to_events_once(spark, tmp_path):
+    """What was open before is resolved; a rule that is gone is resolved by the ticks of others; a batch that is repeated changes nothing."""
+    state_store(spark)
+    engine, posted = Engine(spark), []
+    for name in ("old", "gone", "muted"):
+        engine.rules.create(Rule(name, threshold=1.0, webhook_url="http://x", muted=name == "muted"))
+    engine.events.create(Event(1, "2020-01-01 00:00:00", None, 5.0, 1.0, True))
+    ticks = TickTable(spark, str(tmp_path / "ticks"))
+    assert not ticks.begun()
+    ticks.begin(spark.createDataFrame([(1, 5.0)], "rule_id long, metric_value double"))
+    assert ticks.begun()
+    seen = []
+
+    def run():
+        def apply(edges, _):
+            for _ in range(2):
+                engine.apply_edges(edges, lambda rule, body: posted.append((rule.id, body["metricValue"])))
+            seen.extend(edges.collect())
+
+        ticks.edges(60_000).writeStream.foreachBatch(apply).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return [(e.rule_id, e.resolved_at is not None) for e in engine.events.list()]
+
+    made = lambda *rows: spark.createDataFrame(rows, "rule_id long, triggered boolean, metric_value double")
+    assert run() == [(1, False)]
+    later = dt.datetime.now(dt.UTC) + dt.timedelta(minutes=1)
+    at = lambda minutes: (later + dt.timedelta(minutes=minutes)).strftime("%Y-%m-%d %H:%M:%S")
+    ticks.add(made((1, False, 0.0), (2, True, 7.0), (3, True, 8.0)), at(0), 0)
+    ticks.add(made((1, True, 9.0)), at(0), 0)
+    assert run() == [(1, True), (2, False), (3, False)] and posted == [(2, 7.0)]
+    engine.rules.delete(2)
+    ticks.add(made((1, False, 0.0), (3, True, 8.0)), at(10), 1)
+    run()
+    ticks.add(made((1, False, 0.0), (3, True, 8.0)), at(20), 2)
+    assert run() == [(1, True), (2, True), (3, False)] and posted == [(2, 7.0)]
+    assert sorted((r.rule_id, r.edge) for r in seen) == [(1, "open"), (1, "resolve"), (2, "open"), (2, "resolve"), (3, "open")]
+
+
+def test_rules_are_evaluated_on_kept_counts(spark, tmp_path):
+    made = [(k, NOW - dt.timedelta(seconds=7 * k + 1), ["ERROR", "WARN"][k % 2], f"s{k % 3}", "a.log", f"m{k % 5}", {}) for k in range(300)]
+    logs = spark.createDataFrame(made, "doc_seq long, ts timestamp, level string, source string, file string, message string, fields map<string,string>")
+    engine = Engine(spark)
+    engine.sources.create(Source("s1", "LOCAL_FILE", "/nowhere", enabled=False))
+    for rule in (Rule("all", threshold=10.0), Rule("errors", level="ERROR", threshold=10.0), Rule("word", search="m3", threshold=1.0), Rule("sql", where="message = 'm1'", threshold=1.0), Rule("more", rule_type="ANOMALY", baseline_windows=3, deviations=1.0)):
+        engine.rules.create(rule)
+    kept = engine.roll_up(str(tmp_path / "roll"), logs)
+    kept.add(logs, 0)
+    found = lambda df: sorted((r.rule_id, r.metric_value, r.triggered) for r in df.collect())
+    counted = engine.evaluate_rules(logs, AS_OF[:17] + "31", kept)
+    assert found(counted) == found(engine.evaluate_rules(logs, AS_OF)) and len(found(counted)) == 5
+    assert all("/roll/" in f for f in counted.inputFiles())
+    engine.rules.update(3, search="m2 m4")
+    engine.rules.update(4, where="")
+    engine.rules.create(Rule("new", where="message <> 'm1'", threshold=1.0))
+    assert found(engine.evaluate_rules(logs, AS_OF, kept)) == found(engine.evaluate_rules(logs, AS_OF))
+
+
 def test_live_sources_are_read_again_after_a_while(spark, tmp_path, monkeypatch):
     from timberline.plans import engine as module
 

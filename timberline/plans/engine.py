@@ -24,6 +24,7 @@ from ..functions.lines import frame_lines, parse
 from ..operators import aggregations, alerts, dashboard, rows
 from ..sources import tails
 from ..sources.store import Sender, post_webhook
+from ..streaming.alerts import RollUp, TickTable, Watch, state_store
 from .registry import Event, Missing, Records, Rule, Search, Source, Vault, check_local, valid_event, valid_rule, valid_search, valid_source
 
 #: How long what was read of a live source is used.
@@ -38,6 +39,8 @@ class Engine:
     def __init__(self, spark: SparkSession, apm_template: str | None = None, state: str | None = None, key: bytes | None = None, sender: Sender | None = None):
         self.spark, self._sender = spark, sender
         vault = Vault(spark, key) if key else None
+        if state:
+            os.makedirs(state, mode=0o700, exist_ok=True)
         kept = lambda name: os.path.join(state, f"{name}.json") if state else None
         self.sources, self.saved = Records(valid_source, kept("sources"), vault), Records(valid_search, kept("searches"))
         self.rules, self.events = Records(valid_rule, kept("rules"), vault), Records(valid_event, kept("events"))
@@ -189,12 +192,34 @@ class Engine:
                     bad.append(rule.id)
         return good, bad
 
-    def evaluate_rules(self, logs: DataFrame, as_of: str) -> DataFrame:
-        """Each rule's current window: metric_value and triggered. A rule that can't be evaluated is left out and stops no other."""
+    def roll_up(self, path: str, logs: DataFrame) -> RollUp:
+        """Counts by the minute for the rules as they are now; ``logs`` shows the columns that entries have."""
+        kept = RollUp(self.spark, path, self._predicates(logs)[0])
+        kept.rules = {r.id: (r.where, r.search) for r in self.rules.list() if r.id in kept.where}
+        return kept
+
+    def evaluate_rules(self, logs: DataFrame, as_of: str, kept: RollUp | None = None) -> DataFrame:
+        """Each rule's current window: metric_value and triggered. A rule that can't be evaluated is left out and stops no other.
+
+        With ``kept`` (of roll_up) only its counts are read, up to the whole
+        minute before ``as_of``; rules whose predicate it doesn't count, being
+        newer or changed since, look at ``logs`` for the same time.
+        """
         where, bad = self._predicates(logs)
-        rules = self.rules.frame(self.spark).where(~F.col("id").isin(*bad)).drop("where", "search") if bad else self.rules.frame(self.spark).drop("where", "search")
         windows = 1 + max([r.baseline_windows for r in self.rules.list()], default=0)
-        counts = alerts.window_counts(logs.where(filters.scope(disabled=self._disabled())), rules, as_of, windows, where)
+        rules = self.rules.frame(self.spark).drop("where", "search")
+        rules = rules.where(~F.col("id").isin(*bad)) if bad else rules
+        disabled = self._disabled()
+        entries = logs.where(filters.scope(disabled=disabled))
+        if kept is None:
+            counts = alerts.window_counts(entries, rules, as_of, windows, where)
+        else:
+            as_of = str(as_of)[:16] + ":00"
+            told = {r.id: (r.where, r.search) for r in self.rules.list()}
+            fresh = [k for k in where if kept.rules.get(k) != told[k]]
+            counts = kept.window_counts(rules.where(~F.col("id").isin(*fresh)) if fresh else rules, as_of, windows, disabled, where.keys() - fresh)
+            if fresh:
+                counts = counts.unionByName(alerts.window_counts(entries, rules.where(F.col("id").isin(*fresh)), as_of, windows, {k: where[k] for k in fresh}))
         return alerts.evaluate(counts).where(F.col("window") == windows - 1)
 
     @property
@@ -235,32 +260,66 @@ class Engine:
             if event.resolved_at is None and event.rule_id not in now:
                 self.events.update(event.id, resolved_at=at)
         for rule_id in sorted(now.keys() - firing):
-            rule: Rule = self.rules.get(rule_id)
-            sent = bool(rule.webhook_url) and not rule.muted
-            event = self.events.create(Event(rule_id, at, None, now[rule_id]["metric_value"], rule.threshold, not rule.muted))
-            if sent:
-                payload = {**_told(rule), "metricValue": now[rule_id]["metric_value"]}
-                if post is None:
-                    if not self.notify(rule, payload, event.id):
-                        self.events.update(event.id, notified=False)
-                    continue
-                try:
-                    post(rule, payload)
-                except OSError:  # a receiver that is down stops no other rule
-                    self.events.update(event.id, notified=False)
+            self._begin(self.rules.get(rule_id), at, now[rule_id]["metric_value"], post)
         return set(now)
 
-    def watch(self, logs, post, checkpoint: str, every: str = "30 seconds"):
-        """A streaming query that evaluates all rules on ``logs()`` at every tick and fires (``post`` as there); events open at a restart stay open."""
-        firing = {e.rule_id for e in self.events.list() if e.resolved_at is None}
-
-        def tick(_: DataFrame, __: int) -> None:
-            nonlocal firing
-            as_of = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%d %H:%M:%S")
-            firing = self.fire(self.evaluate_rules(logs(), as_of), firing, post, as_of)
-
-        ticks = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-        return ticks.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    def _begin(self, rule: Rule, at: str, metric: float, post) -> None:
+        """Open a rule's event and notify unless muted."""
+        event = self.events.create(Event(rule.id, at, None, metric, rule.threshold, not rule.muted))
+        if not rule.webhook_url or rule.muted:
+            return
+        payload = {**_told(rule), "metricValue": metric}
+        if post is None:
+            if not self.notify(rule, payload, event.id):
+                self.events.update(event.id, notified=False)
+            return
+        try:
+            post(rule, payload)
+        except OSError:  # a receiver that is down stops no other rule
+            self.events.update(event.id, notified=False)
+
+    def apply_edges(self, edges: DataFrame, post=None) -> None:
+        """Open and resolve events by the rows of ``alert_edges``; rows that come again change nothing, and an event that is open stays the rule's only one."""
+        for e in edges.orderBy("tick", F.col("edge") == "open").collect():  # a row each time a rule changes
+            at = datetime.datetime.fromtimestamp(e.tick, datetime.UTC).strftime("%Y-%m-%d %H:%M:%S")
+            own = [x for x in self.events.list() if x.rule_id == e.rule_id]
+            if e.edge == "resolve":
+                for x in own:
+                    if x.resolved_at is None:
+                        self.events.update(x.id, resolved_at=at)
+            elif not any(x.resolved_at is None or x.triggered_at == at for x in own):
+                with contextlib.suppress(Missing):  # the rule may be deleted by then
+                    self._begin(self.rules.get(e.rule_id), at, e.metric_value, post)
+
+    def watch(self, logs, post, checkpoint: str, every: str = "30 seconds", kept: RollUp | None = None, silence_ms: int = 600_000) -> Watch:
+        """Evaluate all rules at every tick and open and resolve their events (``post`` as in fire).
+
+        One query evaluates the rules on ``logs()``, or on the counts of
+        ``kept``, and writes a tick; another follows the ticks, with what is
+        firing in its state under ``checkpoint``: a restart goes on in the
+        middle of an alert. A rule that is deleted while it is firing is
+        resolved once ``silence_ms`` have passed. The time of a tick is that of
+        its rows, so a tick that is repeated is the same.
+        """
+        state_store(self.spark)
+        ticks = TickTable(self.spark, f"{checkpoint}/ticks")
+        if not ticks.begun():
+            ticks.begin(self.spark.createDataFrame([(e.rule_id, e.metric_value) for e in self.events.list() if e.resolved_at is None], "rule_id long, metric_value double"))
+
+        def tick(rows: DataFrame, batch: int) -> None:
+            newest = rows.agg(F.max("timestamp").cast("string")).first()[0]
+            if newest is not None:
+                as_of = newest[:19] if kept is None else newest[:16] + ":00"
+                ticks.add(self.evaluate_rules(logs(), as_of, kept), as_of, batch)
+
+        clock = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        ticking = clock.writeStream.foreachBatch(tick).option("checkpointLocation", f"{checkpoint}/clock").trigger(processingTime=every).start()
+        try:
+            firing = ticks.edges(silence_ms).writeStream.foreachBatch(lambda edges, _: self.apply_edges(edges, post)).option("checkpointLocation", f"{checkpoint}/edges").start()
+        except Exception:
+            ticking.stop()
+            raise
+        return Watch(ticking, firing)
 
 
 def _told(rule: Rule) -> dict:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.alerts import kept_window_counts, minute_counts
 
 EVENTS = "rule_id long, tick long, edge string, metric_value double"
+TICKS = "rule_id long, tick long, triggered boolean, metric_value double, at timestamp"
+#: No rule: a row of each tick that lets time pass for rules that are gone.
+NO_RULE = 0
 MINUTES = "ts timestamp, source string, level string, scope long, n long, day string, batch long"
 
 
@@ -27,6 +31,7 @@ class RollUp:
 
     def __init__(self, spark: SparkSession, path: str, where: dict[int, Column] | None = None):
         self.spark, self.path, self.where = spark, path, where or {}
+        self.rules: dict[int, tuple[str, str]] = {}  # the texts of the predicates, where an engine made them
 
     def add(self, entries: DataFrame, batch: int) -> None:
         counts = minute_counts(entries, self.where).withColumns({"day": F.date_format("ts", "yyyy-MM-dd"), "batch": F.lit(batch).cast("long")})
@@ -43,12 +48,17 @@ class RollUp:
         except AnalysisException:
             return self.spark.createDataFrame([], MINUTES)
 
-    def window_counts(self, rules: DataFrame, as_of: str, windows: int) -> DataFrame:
-        """As operators.alerts.window_counts over all entries that were added; ``as_of`` is a whole minute."""
+    def window_counts(self, rules: DataFrame, as_of: str, windows: int, disabled=(), scopes=None) -> DataFrame:
+        """As operators.alerts.window_counts over all entries that were added but those of ``disabled`` sources.
+
+        ``as_of`` is a whole minute. ``scopes`` are the rules that go by their
+        predicates; without it, all that were counted.
+        """
         longest = rules.agg(F.max("window_minutes")).first()[0] or 0
         now = F.lit(as_of).cast("timestamp")
         days = self.rows().where((F.col("day") >= F.date_format(now - F.make_dt_interval(mins=F.lit(longest * windows)), "yyyy-MM-dd")) & (F.col("day") <= F.date_format(now, "yyyy-MM-dd")))
-        return kept_window_counts(days.select("ts", "source", "level", "scope", "n"), rules, as_of, windows, self.where)
+        days = days.where(~F.coalesce(F.col("source").isin(*disabled), F.lit(False))) if disabled else days
+        return kept_window_counts(days.select("ts", "source", "level", "scope", "n"), rules, as_of, windows, self.where if scopes is None else scopes)
 
     def compact(self, before: str, batch: int = -1) -> None:
         """Put the batches of days before ``before`` together, one folder a day; no batch may be on its way for those days.
@@ -130,6 +140,71 @@ def alert_edges(ticks: DataFrame, silence_ms: int = 600_000, late: str = "10 sec
     return timed.withWatermark("at", late).groupBy("rule_id").transformWithStateInPandas(Edges(silence_ms), EVENTS, "append", "eventTime")
 
 
+class TickTable:
+    """Evaluated rules of each tick, a folder a tick under ``path``, which ``alert_edges`` follows as a stream.
+
+    A folder that is complete is never written again, so a tick that is
+    repeated after a failure is the one that was decided first.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _exists(self, name: str) -> bool:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path)
+
+    def begun(self) -> bool:
+        return self._exists("begin/_SUCCESS")
+
+    def begin(self, firing: DataFrame) -> None:
+        """What is firing (rule_id, metric_value) before the first tick; once."""
+        self._write(firing.select("rule_id", F.lit(True).alias("triggered"), "metric_value"), None, "begin")
+
+    def add(self, evaluated: DataFrame, as_of: str, batch: int) -> None:
+        """The rules of one tick; ``batch`` names it."""
+        beat = self.spark.range(1).select(F.lit(NO_RULE).cast("long").alias("rule_id"), F.lit(False).alias("triggered"), F.lit(0.0).alias("metric_value"))
+        self._write(evaluated.select("rule_id", "triggered", "metric_value").unionByName(beat), as_of, f"tick-{batch:012d}")
+
+    def _write(self, rows: DataFrame, as_of: str | None, name: str) -> None:
+        if self._exists(f"{name}/_SUCCESS"):
+            return
+        at = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
+        made = rows.select("rule_id", F.unix_seconds(at).alias("tick"), "triggered", "metric_value", at.alias("at"))
+        made.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}")  # a row a rule, seen by a reader at once
+
+    def edges(self, silence_ms: int) -> DataFrame:
+        return alert_edges(self.spark.readStream.schema(TICKS).parquet(f"{self.path}/*"), silence_ms)
+
+
+class Watch:
+    """Streaming queries that run and stop together."""
+
+    def __init__(self, *queries):
+        self.queries = queries
+
+    @property
+    def isActive(self) -> bool:
+        return all(q.isActive for q in self.queries)
+
+    def awaitTermination(self, timeout: float | None = None) -> bool:
+        """Wait until one of them ends or the seconds are over; an error of one is raised and stops the others."""
+        end = None if timeout is None else time.monotonic() + timeout
+        while self.isActive and (end is None or time.monotonic() < end):
+            time.sleep(0.1)
+        if self.isActive:
+            return False
+        self.stop()
+        for query in self.queries:
+            query.awaitTermination()
+        return True
+
+    def stop(self) -> None:
+        for query in self.queries:
+            query.stop()
+
+
 def state_store(spark: SparkSession) -> None:
     """Let the session's streams keep state of this kind."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
