@@ -119,6 +119,45 @@ def test_statistics_are_those_of_each_text_alone(spark):
         assert dict(zip(q.STATISTICS, found[k], strict=True)) == pytest.approx(dict(zip(q.STATISTICS, plain_statistics(text), strict=True)), abs=1e-6)
 
 
+def plain_quality(rows, labels):
+    """doc_id -> score by two Gaussians, of (doc_id, text) rows and (doc_id, label) rows to learn from."""
+    x = {d: np.array(plain_statistics(t)) for d, t in rows}
+    mine = {k: np.array([x[d] for d, label in labels if label == k]) for k in (0, 1)}
+    scatter = {k: (v - v.mean(axis=0)).T @ (v - v.mean(axis=0)) for k, v in mine.items()}
+    total = len(mine[0]) + len(mine[1])
+    pooled = (scatter[0] + scatter[1]) / total
+    out = {}
+    for d, v in x.items():
+        logs = {}
+        for k in (0, 1):
+            own = 0.98 * (0.9 * scatter[k] / len(mine[k]) + 0.1 * pooled) + 0.02 * np.diag(np.diag(pooled)) + 1e-6 * np.eye(len(v))
+            away = v - mine[k].mean(axis=0)
+            logs[k] = math.log(len(mine[k]) / total) - 0.5 * (away @ np.linalg.solve(own, away) + np.linalg.slogdet(own)[1])
+        out[d] = 1 / (1 + math.exp(-min(max(logs[1] - logs[0], -60), 60)))
+    return out
+
+
+def test_quality_scores_are_those_of_a_plain_discriminant(spark, data, documents, tmp_path):
+    """Through the query: labels that are null, other than 0 and 1, repeated, contradictory or of no document; documents that have none."""
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()][:300] + [(-1, None), (-2, ""), (-3, "z" * 500)]
+    given = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{data}/labels.parquet").select("doc_id", "quality").collect()]
+    known = {d for d, _ in rows}
+    ids = sorted(d for d, _ in given if d in known)
+    labels = [(d, None if k % 7 == 0 else 2 if k % 11 == 0 else q_) for k, (d, q_) in enumerate(given) if k % 5]
+    labels += [(ids[0], 0), (ids[0], 1), (ids[1], 1), (ids[1], 1), (-1, 0), (-3, 1), (10**12, 1), (None, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    out_of_fold = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    learned = [(d, label) for d, label in labels if d in known and label in (0, 1) and not out_of_fold(d)]
+    assert {0, 1} == {label for _, label in learned} and len(learned) < len(labels) - 20
+    expected = plain_quality(rows, learned)
+    found = QUERIES["op4_quality"](spark, str(tmp_path)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r.score == pytest.approx(expected[r.doc_id], abs=1e-6) and r.held_out == out_of_fold(r.doc_id)
+        assert r.predicted == (expected[r.doc_id] >= 0.3) or abs(expected[r.doc_id] - 0.3) < 1e-6
+
+
 def test_leaks_are_those_of_aligning_all_pairs(spark, data, texts):
     """Every document is aligned with every item; pairs with too few words in common for half a score are passed over."""
     items = {r.item_id: r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
