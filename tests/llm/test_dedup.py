@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from conftest import ODD
 from plain import AZ, components, cut_repeats
+from pyspark.sql import functions as F
 
 from timberline.llm import exact_dedup as ed
 from timberline.llm import near_dedup as nd
@@ -71,8 +72,10 @@ def test_near_components(documents, texts, monkeypatch, words, percent, region,
     assert found == components(texts, words, percent)
 
 
-def test_near_links_across_blocks(spark, monkeypatch):
-    """A long chain: each text is like the next one only, so it hangs together through regions of all blocks."""
+@pytest.mark.parametrize("size", [32 << 20, 1500])
+def test_near_links_across_blocks(spark, monkeypatch, size):
+    """A long chain: each text is like the next one only, so it hangs together through regions of all blocks, of texts or of bytes."""
+    monkeypatch.setattr(nd, "COMPARED_BYTES", size)
     monkeypatch.setattr(nd, "REGION", 6)
     monkeypatch.setattr(nd, "WINDOW", 4)
     monkeypatch.setattr(nd, "BLOCK", 4)
@@ -84,6 +87,45 @@ def test_near_links_across_blocks(spark, monkeypatch):
     assert len({c for _, c in expected.values()}) == 1
 
 
+def test_long_texts_meet_in_bounded_blocks(spark, monkeypatch):
+    """No comparison holds more texts than COMPARED_BYTES allows, a few times over since they are dealt by hash, and none is lost."""
+    held = spark.sparkContext.accumulator(0)
+    seen = []
+    monkeypatch.setattr(nd, "COMPARED_BYTES", 1 << 20)
+    confirm = nd._confirm
+
+    def watched(words, percent):
+        run = confirm(words, percent)
+
+        def note(batches):
+            sizes = {}
+            for batch in batches:
+                for label, part, text in zip(*(batch.column(c).to_pylist() for c in ("label", "part", "text")), strict=True):
+                    sizes[label, part] = sizes.get((label, part), 0) + len(text)
+                held.add(sum(s > 4 << 20 for s in sizes.values()))
+                yield batch
+
+        seen.append(1)
+        return lambda batches: run(note(batches))
+
+    monkeypatch.setattr(nd, "_confirm", watched)
+    base = " ".join(f"w{i}" for i in range(15_000))
+    docs = spark.range(120).select(F.col("id").alias("doc_id"), F.concat(F.lit(base), F.lit(" end"), F.col("id").cast("string")).alias("text"))
+    found = nd.near_duplicates(docs).collect()
+    assert {r.component_id for r in found} == {0} and len(found) == 120 and held.value == 0 and len(seen) > 1
+
+
+def test_groups_come_whole():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        keys = np.sort(rng.integers(0, 6, 40))
+        cuts = np.sort(rng.integers(0, 41, 7)).tolist()
+        table = pa.table({"k": keys, "one": np.zeros(40, np.int64), "at": np.arange(40)})
+        batches = [b for a, z in zip([0, *cuts], [*cuts, 40], strict=True) for b in table[a:z].to_batches()]
+        out = [t["k"].to_pylist() for t in nd.whole_groups(batches, "one", "k")]
+        assert sum(out, []) == keys.tolist() and all(a[-1] != b[0] for a, b in zip(out, out[1:], strict=False))
+
+
 def test_regions_are_neighbours_in_the_order():
     """Every two rows of a region share a prefix; each run is whole, cut deeper, or covered by windows and blocks."""
     rng = np.random.default_rng(6)
