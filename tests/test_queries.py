@@ -4,7 +4,7 @@ import contextlib
 import io
 
 import pytest
-from oracle import same
+from oracle import connect, same
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -119,6 +119,16 @@ def test_fields_cost_linear_time(spark):
         assert some < 5 * few + 2 and many < 5 * some + 2, (few, some, many)
 
 
+def test_union_reads_whole_sources(spark, tmp_path):
+    """Sources of more lines than a tail has are read whole, by the query and by an engine."""
+    events = spark.range(20_000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id")).cast("timestamp_ntz").alias("ts"), "id", F.lit("error").alias("event_type"), F.lit(1.5).alias("value"), F.lit('{"k": "1"}').alias("props"))
+    events.withColumnRenamed("id", "user_id").write.parquet(str(tmp_path / "parts"))
+    connect("").sql(f"COPY (FROM '{tmp_path}/parts/*.parquet') TO '{tmp_path}/events.parquet'")
+    same(spark, str(tmp_path), QUERIES["union_of_sources"], ORACLE_SQL["union_of_sources"])
+    found = QUERIES["union_of_sources"](spark, str(tmp_path)).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in found} == {"svc-0": 4000, "svc-1": 4000}
+
+
 def plain_ids(rows):
     import hashlib
 

@@ -46,6 +46,7 @@ class Engine:
         self.rules, self.events = Records(valid_rule, kept("rules"), vault), Records(valid_event, kept("events"))
         self.config = {"apm_template": apm_template or None}
         self._held: dict[int, DataFrame] = {}
+        self._whole: dict[int, DataFrame] = {}
         self._read_at: dict[int, float] = {}
         self._probed_at: dict[int, float] = {}
         self._prints: dict[int, list] = {}
@@ -78,8 +79,17 @@ class Engine:
             raise OSError(check_local(source)[1])
         return tails.local_tails(self.spark, source.path, source.name)
 
+    def attach(self, key: int, lines: DataFrame) -> None:
+        """Have all of a source's lines, (file, pos, line) with numbers as ``pos``, read from ``lines`` from now on, instead of its tails."""
+        name = self.sources.get(key).name
+        self._whole[key] = lines.select(F.lit(name).alias("source"), "file", F.col("pos").cast("long").alias("pos"), "line")
+        if key in self._held:
+            self._held.pop(key).unpersist()
+
     def read(self, source: Source, as_of: str) -> DataFrame:
         """A source's entries; an error entry if it can't be read."""
+        if source.id in self._whole:
+            return parse(self._whole[source.id], as_of)
         try:
             texts = self._texts(source).select("source", "file", "text", "from_start")
             if source.type in ("HTTP", "SFTP"):  # fetched once, which shows a failure; one tail of bounded size
@@ -95,6 +105,9 @@ class Engine:
         for source in self.sources.list():
             if not source.enabled:
                 continue
+            if source.id in self._whole:  # not of bounded size, so not kept in memory
+                parts.append(self.read(source, as_of))
+                continue
             if source.id in self._held and source.live and time.monotonic() - self._read_at[source.id] > LIVE_SECONDS:
                 self._held.pop(source.id).unpersist()
             if source.id not in self._held:

@@ -416,8 +416,18 @@ def _of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.logs(AS_OF)
 
 
+def _of_whole_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As _of_sources, but every line of the sources that are there, not their tails."""
+    engine = Engine(spark)
+    for name, line in {"svc-0": _APP, "svc-1": _ISO, "svc-2": _APP}.items():
+        source = engine.sources.create(Source(name, "LOCAL_DIRECTORY", f"/var/log/{name}", enabled=name != "svc-2"))
+        engine.attach(source.id, _made(line)(spark, sf_dir).where(F.col("source") == name))
+    engine.sources.create(Source("svc-9", "LOCAL_DIRECTORY", f"{store.scratch_dir(spark).removeprefix('file:').replace('///', '/')}/gone"))
+    return engine.logs(AS_OF)
+
+
 _TAIL = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_seq DESC) AS back FROM logs) WHERE back <= {tails.MAX_LINES} AND source IN ('svc-0', 'svc-1')"
-_add("union_of_sources", lambda df: df.where("source <> 'svc-9' AND file LIKE 'part-%'").select("source", "level", "message"), f"SELECT source, level, CASE source WHEN 'svc-0' THEN 'Worker - item ' || doc_seq ELSE 'Level is ' || lower(level) || ' for item' END AS message FROM ({_TAIL})", on=_of_sources)
+_add("union_of_sources", lambda df: df.where("source <> 'svc-9'").select("source", "pos", "level", "message"), "SELECT source, doc_seq AS pos, level, CASE source WHEN 'svc-0' THEN 'Worker - item ' || doc_seq ELSE 'Level is ' || lower(level) || ' for item' END AS message FROM logs WHERE source IN ('svc-0', 'svc-1')", on=_of_whole_sources)
 _add("failed_source", lambda df: df.groupBy("source").agg(F.count_if(F.col("message").startswith("Failed to read log source: can't read") & (F.col("level") == "ERROR") & F.col("file").isNull() & (F.col("ts") == F.lit(AS_OF).cast("timestamp"))).alias("failures"), F.count_if(F.col("file").startswith("part-")).alias("entries")), f"SELECT source, 0 AS failures, count(*) AS entries FROM ({_TAIL}) GROUP BY 1 UNION ALL SELECT 'svc-9', 1, 0", on=_of_sources)
 _add("newest_files", lambda df: tails.newest(_fingerprints(df, 0).withColumn("path", F.concat_ws("/", "source", "file")), 7).select("path"), "SELECT path FROM (SELECT source || '/' || file AS path, max(ts) AS m FROM logs GROUP BY source, file) ORDER BY m DESC, path LIMIT 7")
 _add("windowed_counts", lambda df: windowed_counts(df, "6 hours").select(F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "source", "level", "count"), f"SELECT epoch_us(ts) // {6 * HOUR * 1000} * {6 * HOUR} AS start_ms, (epoch_us(ts) // {6 * HOUR * 1000} + 1) * {6 * HOUR} AS end_ms, source, level, count(*) AS count FROM logs GROUP BY ALL")
