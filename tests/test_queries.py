@@ -129,6 +129,15 @@ def test_union_reads_whole_sources(spark, tmp_path):
     assert {r.source: r["count"] for r in found} == {"svc-0": 4000, "svc-1": 4000}
 
 
+def test_made_lines_are_dealt_out(spark, tmp_path):
+    """A table of one split is extracted by several tasks, none of which has most of the rows."""
+    events = spark.range(60_000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id")).cast("timestamp_ntz").alias("ts"), "id", F.lit("error").alias("event_type"), F.lit(1.5).alias("value"), F.lit('{"k": "1"}').alias("props"))
+    events.withColumnRenamed("id", "user_id").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    found = QUERIES["extract_field_cap"](spark, str(tmp_path))
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) == 4 and sum(tasks) == 60_000 and max(tasks) < 20_000
+
+
 def plain_ids(rows):
     import hashlib
 

@@ -229,10 +229,15 @@ _add("alert_windows_kept", lambda df: _kept(df).select("rule_id", "window", "cou
 
 
 def _made(line):
-    """Lines made from events, one file per source, in the order of events."""
+    """Lines made from events, one file per source, in the order of events.
+
+    The table may come in one split, however many rows it has. Rows are dealt
+    out before lines are made of them, so that no task reads them all.
+    """
 
     def on(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _logs(spark, sf_dir).select("source", F.lit("made.log").alias("file"), F.col("doc_seq").alias("pos"), line().alias("line"))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, since AQE would join parts that are small before their lines are made
+        return _logs(spark, sf_dir).repartition(parts, "doc_seq").select("source", F.lit("made.log").alias("file"), F.col("doc_seq").alias("pos"), line().alias("line"))
 
     return on
 
