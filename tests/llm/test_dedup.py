@@ -87,6 +87,18 @@ def test_near_links_across_blocks(spark, monkeypatch, size):
     assert len({c for _, c in expected.values()}) == 1
 
 
+def test_a_cut_run_loses_no_link(spark, monkeypatch):
+    """150 linked pairs in one run of documents that are all almost linked: regions, windows and blocks part most of them."""
+    monkeypatch.setattr(nd, "REGION", 8)
+    monkeypatch.setattr(nd, "WINDOW", 4)
+    monkeypatch.setattr(nd, "BLOCK", 20)
+    common = [f"c{k}" for k in range(100)]
+    rows = [(150 * j + i, " ".join([*common, f"p{i}", f"q{i}", *(f"u{i}x{j}x{k}" for k in range(8))])) for i in range(150) for j in (0, 1)]
+    rows += [(900, rows[0][1]), (901, None), (902, "c1 c2"), (0, rows[0][1])]  # a copy, nothing, a short one, a repeated row
+    found = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=1).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {*((d, d % 150) for d in range(300)), (900, 0), (901, 901), (902, 902)}
+
+
 def test_long_texts_meet_in_bounded_blocks(spark, monkeypatch):
     """No comparison holds more texts than COMPARED_BYTES allows, a few times over since they are dealt by hash, and none is lost."""
     held = spark.sparkContext.accumulator(0)

@@ -24,16 +24,20 @@ in the order are the documents with the longest common prefix.
    by region; that is a bounded number of rows a document, however a
    component hangs together. A region of very long texts is dealt into parts
    there, and every two parts meet.
-5. The confirmed links give the components.
-
-A pair is missed only if no chain of candidates joins it: it shares no region
-with a link in it, or its sketches disagree by far more than its similarity
-allows. The chance that a pair shares no region is (1 - s ** depth) ** 16 for
-similarity s, if all its regions have that depth: at 0.85 it is 2.4e-7 at
-depth 3, 8.4e-5 at 5 and 6.2e-3 at 8; at 0.80 it is 1.0e-5, 1.7e-3 and 5.3e-2.
-Only crowded runs go deeper than 3, and their windows come on top. A crowded
-run may also end where a task's range does; its documents then meet in the
-other orders.
+5. What crowded runs are cut into loses no link: documents of runs that hold
+   several of the components found so far meet once more, exactly. By the
+   prefix principle, two sets that are linked share one of the
+   n - ceil(s * n) + 1 rarest shingles of each. All documents of such a
+   shingle meet, in parts of bounded rows and bytes, every two parts that
+   don't belong to one component; no sketch is asked.
+6. The confirmed links give the components.
+
+A pair is missed only if no chain of candidates joins it: it shares no run of
+SHALLOW minhashes with a link in it, or, where its run isn't crowded, its
+sketches disagree by far more than its similarity allows. The chance that a
+pair shares no run is (1 - s ** 3) ** 16 for similarity s: 2.4e-7 at 0.85 and
+1.0e-5 at 0.80. A crowded run counts as a whole in step 5, however it is cut
+and wherever a task's range ends.
 
 Tasks take regions and blocks one after another, in sorted order, and hold a
 batch and one of them at a time; shuffles get more partitions as the corpus
@@ -49,7 +53,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import discard, partitions, scratch, written
@@ -415,7 +419,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
     with scratch():
         # Regions of the forest: rows that share SHALLOW minhashes with another, sorted; a crowded run may span tasks, another doesn't
         forest = written(classes.select("node", "signature").mapInArrow(_plant, "node long, tree int, crowd long, path binary"), "forest")
-        met = forest.join(forest.groupBy("crowd").agg(F.count("*").alias("c")).where("c > 1"), "crowd")
+        crowds = written(forest.groupBy("crowd").agg(F.count("*").alias("c")).where("c > 1"), "crowds")
+        met = forest.join(crowds, "crowd")
         crowded, head = F.col("c") > REGION, F.substring("path", 1, 4 * SHALLOW)
         placed = met.select("node", "tree", "path", F.when(crowded, F.col("path")).otherwise(head).alias("range"), F.when(crowded, F.col("node")).alias("salt"))
         ordered = placed.repartitionByRange(n, "tree", "range", "salt").sortWithinPartitions("tree", "path", "node")
@@ -436,7 +441,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
         found = written(dealt.repartition(n, "label", "part").sortWithinPartitions("label", "part").mapInArrow(_confirm(words, percent), "a long, b long"), "links")
         if several.limit(1).count():
             found = _across_blocks(content.join(several, "label"), found, regions, sketches, words, percent, n)
-        final = written(connected_components(found), "components", lasting=True)
+        final = connected_components(found)
+        rest = _cut_apart(forest, crowds, final)
+        if rest.limit(1).count():
+            final = connected_components(found.unionByName(_across_cuts(one_text, rest, words, percent, n)))
+        final = written(final, "components", lasting=True)
 
     reps = signed.join(known, ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node"))
     out = reps.join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node")).alias("component_id"))
@@ -462,3 +471,61 @@ def _across_blocks(large: DataFrame, found: DataFrame, regions: DataFrame, sketc
     mixed = placed.groupBy("region").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("region")
     asking = placed.join(mixed, "region").join(sketches, "node").repartition(n, "region").sortWithinPartitions("region").mapInArrow(_apart(percent, COMPARED_BYTES // 2), "label long, part long, node long, own long")
     return found.unionByName(confirmed(asking))
+
+
+def _cut_apart(forest: DataFrame, crowds: DataFrame, components: DataFrame) -> DataFrame:
+    """(node, own) of documents in crowded runs that hold several components."""
+    crowded = forest.join(crowds.where(F.col("c") > REGION).select("crowd"), "crowd").select("crowd", "node")
+    owned = written(crowded.join(components.select("node", F.col("label").alias("own")), "node", "left").withColumn("own", F.coalesce("own", "node")), "crowded")
+    mixed = owned.groupBy("crowd").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("crowd")
+    return written(owned.join(mixed, "crowd").select("node", "own").distinct(), "cut-apart")
+
+
+def _shingled(words: int):
+    """(node, own, whole, bytes, n, key): the set of each text."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, data, offsets in text_blocks(batch.column("text")):
+                keys, bounds = shingle_sets(data, offsets, words)
+                sizes = np.diff(bounds)
+                of = np.repeat(np.arange(a, b), sizes)
+                length = pa.array(np.repeat(np.diff(offsets), sizes), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(of)), batch.column("own").take(pa.array(of)), batch.column("whole").take(pa.array(of)), length, pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(keys.view(np.int64))], ["node", "own", "whole", "bytes", "n", "key"])
+
+    return run
+
+
+def _across_cuts(texts: DataFrame, rest: DataFrame, words: int, percent: int, n: int) -> DataFrame:
+    """Links between documents of ``rest`` (node, own) whose ``own`` differs, all of them: a join by the rarest shingles of each set.
+
+    Of shingles that have the same documents one is enough. The documents of
+    one are dealt into heaps, those of a large ``own`` into heaps of its own;
+    every two heaps that hold more than one ``own`` between them meet.
+    """
+    content = written(texts.join(rest, "node").where("text IS NOT NULL"), "cut-texts")
+    named = content.select("node", "own", F.xxhash64("text").alias("whole"), "text")  # an id may stand for several texts, or be repeated with one
+    shingles = written(named.mapInArrow(_shingled(words), "node long, own long, whole long, bytes long, n long, key long"), "cut-shingles")
+    asked = shingles.join(shingles.groupBy("key").agg(F.count("*").alias("df")), "key")
+    rank = F.dense_rank().over(Window.partitionBy("node", "whole").orderBy("df", "key"))
+    prefix = asked.withColumn("rank", rank).where(f"rank <= n - ({percent} * n + 99) div 100 + 1 AND df > 1").groupBy("key", "node", "own").agg(F.max("bytes").alias("bytes"))
+    prefix = written(prefix, "cut-prefixes")
+
+    members = F.sum(F.xxhash64("node").cast("decimal(38,0)")), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)"))
+    mixed = prefix.groupBy("key").agg(F.count("*").alias("c"), members[0].alias("m1"), members[1].alias("m2"), F.min("own").alias("low"), F.max("own").alias("high")).where("low < high")
+    once = mixed.groupBy("c", "m1", "m2").agg(F.min("key").alias("key")).select("key")
+    met = written(prefix.join(once, "key"), "cut-buckets")
+
+    half = lambda rows, size: F.greatest(F.ceil(rows / (BLOCK // 2)), F.ceil(size / (COMPARED_BYTES // 2))).cast("long")
+    owns = met.groupBy("key", "own").agg(F.count("*").alias("c"), F.sum("bytes").alias("size")).withColumn("parts", half(F.col("c"), F.col("size")))
+    small = owns.where("parts = 1").groupBy("key").agg(half(F.sum("c"), F.sum("size")).alias("shared"))
+    heap = F.when(F.col("parts") > 1, F.xxhash64("own", F.pmod(F.xxhash64("node", F.lit(2)), "parts"))).otherwise(F.pmod(F.xxhash64("own"), "shared"))
+    dealt = met.join(owns.select("key", "own", "parts"), ["key", "own"]).join(small, "key", "left").select("key", "node", "own", heap.alias("heap"))
+    dealt = written(dealt, "cut-heaps")
+    heaps = dealt.groupBy("key", "heap").agg(F.min("own").alias("low"), F.max("own").alias("high"))
+    other = heaps.select("key", F.col("heap").alias("heap2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    two = heaps.join(other, "key").where("heap <= heap2 AND least(low, low2) < greatest(high, high2)")
+    two = two.select("key", F.xxhash64("heap", "heap2").alias("part"), F.explode(F.array_distinct(F.array("heap", "heap2"))).alias("heap"))
+    groups = dealt.join(two, ["key", "heap"]).select(F.col("key").alias("label"), "part", "node", "own")
+    gathered = groups.join(content.select("node", "text"), "node").repartition(n, "label", "part").sortWithinPartitions("label", "part")
+    return written(gathered.mapInArrow(_confirm(words, percent), "a long, b long"), "links")
