@@ -1,3 +1,4 @@
+import contextlib
 import hashlib
 import random
 
@@ -179,6 +180,41 @@ def test_components(spark):
     assert found == {2: 1, 3: 1, 4: 1, 8: 5, 9: 5, 101: 100}
 
 
+@pytest.mark.parametrize("folded", [1 << 17, 40, 0])
+def test_components_folded_or_by_stars(spark, monkeypatch, folded):
+    """Long chains, a hub and repeated edges: by one task, by star steps and then one task, by star steps alone."""
+    monkeypatch.setattr(nd, "FOLDED", folded)
+    rng = random.Random(3)
+    edges = [(100 + k, 101 + k) for k in range(60)] + [(7, 300 + k) for k in range(50)] + [(900 - k, 901 - k) for k in range(40)] + [(2, 7), (2, 7)]
+    rng.shuffle(edges)
+    expected = {100 + k: 100 for k in range(1, 61)} | {300 + k: 2 for k in range(50)} | {7: 2} | {901 - k: 861 for k in range(40)}
+    found = [(r.node, r.label) for r in nd.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()]
+    assert sorted(found) == sorted(expected.items())
+    assert nd.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_small_tables_have_few_parts(spark, documents, texts, monkeypatch):
+    """Many partitions that nothing coalesces: tables behind a shuffle still come from two tasks a core at most, and no paths are written where no run is crowded."""
+    made, put = [], nd.written
+    monkeypatch.setattr(nd, "written", lambda df, name, **how: made.append((name, put(df, name, **how))) or made[-1][1])
+    monkeypatch.setattr(nd, "discard", lambda *tables: None)
+    seen = {}
+    monkeypatch.setattr(nd, "scratch", contextlib.nullcontext)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        seen = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(documents.repartition(2)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    few = 2 * spark.sparkContext.defaultParallelism
+    assert seen == components(texts, 3, 85)
+    assert few < 64 and {name for name, df in made if len(df.inputFiles()) > 2 * few} == set()  # regions are the union of two
+    assert not any("path" in df.columns for _, df in made)
+
+
 @pytest.mark.parametrize(("common", "in_all"), [(24, 4096), (2, 4096), (10**9, 10**9), (10**9, 2)])
 def test_suffix_removal(documents, texts, monkeypatch, common, in_all):
     """Whatever seeds are taken for common: by default, nearly all in a chunk, none, nearly all in all chunks."""

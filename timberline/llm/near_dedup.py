@@ -41,7 +41,10 @@ and wherever a task's range ends.
 
 Tasks take regions and blocks one after another, in sorted order, and hold a
 batch and one of them at a time; shuffles get more partitions as the corpus
-grows (``PART_ROWS``, ``PART_BYTES``).
+grows (``PART_ROWS``, ``PART_BYTES``). What comes out of them is read by no more
+tasks than that, or two a core, however many partitions the session has: most
+tables here are far smaller than the corpus. Runs are counted and joined as
+(document, hash); paths move for crowded runs only.
 
 Defined results: a text with fewer words than a shingle is one shingle of all
 its words; a null text or one without words has no set and is linked with
@@ -65,6 +68,8 @@ REGION, WINDOW, BLOCK = 512, 64, 1000
 COMPARED_BYTES = 32 << 20
 #: Documents, and bytes of their texts, behind one partition of a shuffle.
 PART_ROWS, PART_BYTES = 128_000, 128 << 20
+#: The most edges (16 bytes each) that one task folds to components; more are first reduced by star steps.
+FOLDED = 1 << 17
 #: How far below the wanted similarity a sketch may fall and still be checked; over four standard deviations.
 MARGIN = 0.15
 
@@ -133,6 +138,19 @@ def _sign(words: int):
 
 def _plant(batches):
     """(node, tree, crowd, path) for each order: a hash of the first SHALLOW minhashes, and all of them as sortable bytes."""
+    for trees, tree, nodes, crowd in _orders(batches):
+        paths = pa.Array.from_buffers(pa.binary(), len(trees), [None, pa.py_buffer((np.arange(len(trees) + 1) * 4 * DEPTH).astype(np.int32)), pa.py_buffer(trees.astype(">u4"))])
+        yield pa.RecordBatch.from_arrays([nodes, pa.array(tree, pa.int32()), crowd, paths], ["node", "tree", "crowd", "path"])
+
+
+def _crowds(batches):
+    """(node, crowd): what ``_plant`` gives, without paths."""
+    for _, _, nodes, crowd in _orders(batches):
+        yield pa.RecordBatch.from_arrays([nodes, crowd], ["node", "crowd"])
+
+
+def _orders(batches):
+    """(rows of minhashes, their tree, node and crowd) of a batch, TREES rows a document."""
     for batch in batches:
         if batch.num_rows:
             trees = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, DEPTH)
@@ -140,9 +158,8 @@ def _plant(batches):
             crowd = mix64(tree.astype(np.uint64))
             for d in range(SHALLOW):
                 crowd = mix64(crowd * np.uint64(0xA0761D6478BD642F) + trees[:, d])
-            paths = pa.Array.from_buffers(pa.binary(), len(trees), [None, pa.py_buffer((np.arange(len(trees) + 1) * 4 * DEPTH).astype(np.int32)), pa.py_buffer(trees.astype(">u4"))])
             nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), TREES)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(tree, pa.int32()), pa.array(crowd.view(np.int64)), paths], ["node", "tree", "crowd", "path"])
+            yield trees, tree, pa.array(nodes), pa.array(crowd.view(np.int64))
 
 
 def cut_regions(tree: np.ndarray, path: np.ndarray, node: np.ndarray, region: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -323,31 +340,57 @@ def _apart(percent: int, most: int):
     return run
 
 
+def _fold(batches):
+    """(a, b): edges of a task as stars around the smallest node of each component."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    edges = pa.Table.from_batches(held)
+    nodes, at = np.unique(np.concatenate([edges["a"].to_numpy(), edges["b"].to_numpy()]), return_inverse=True)
+    one, two = at[: len(edges)], at[len(edges) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[one], root[two]), np.maximum(root[one], root[two])
+        apart = low != high
+        if not apart.any():
+            break
+        one, two = one[apart], two[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    some = root != np.arange(len(root))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[root[some]]), pa.array(nodes[some])], ["a", "b"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of its component for every node of (a, b) edges with a < b.
+    """(node, label): the smallest node of its component for every node of (a, b) edges with a < b; edges are read twice.
 
-    Alternating large and small star steps; each pair of steps is written to
-    the shared folder. Aggregates fold a hub's edges before the shuffle, and
-    the join back to them is one that AQE can split.
+    Alternating large and small star steps, while there are more edges than a
+    task may fold; each pair of steps is written to the shared folder.
+    Aggregates fold a hub's edges before the shuffle, and the join back to
+    them is one that AQE can split. The rest is folded at once.
     """
 
     def total(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = written(edges.select("a", "b").distinct(), "edges")
+    now, last = edges.select("a", "b"), []
     mark = total(now)
-    while mark[0]:
+    while mark[0] > FOLDED:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b")
         # each edge is (smaller a, larger b): small star of b over its smaller neighbours
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
-        last, now = now, written(small, "edges")
-        discard(last)
-        before, mark = mark, total(now)
+        now = written(small, "edges")
+        discard(*last)
+        last, before, mark = [now], mark, total(now)
         if mark == before:
             break
+    else:
+        now = written(now.coalesce(1).mapInArrow(_fold, "a long, b long"), "edges")
+        discard(*last)
     return now.select(F.col("b").alias("node"), F.col("a").alias("label"))
 
 
@@ -402,6 +445,11 @@ def _confirm(words: int, percent: int):
     return run
 
 
+def _dealt(rows: DataFrame, n: int, few: int, *keys: str) -> DataFrame:
+    """``rows`` by ``keys``, whole groups in sorted tasks; not in more tasks than the corpus needs, since a Python task of a few rows costs more than its work."""
+    return rows.repartition(n, *keys).coalesce(few).sortWithinPartitions(*keys)
+
+
 def _parts():
     """How many blocks of about ``BLOCK`` texts and ``COMPARED_BYTES`` a group's rows need."""
     return F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / COMPARED_BYTES)).cast("long")
@@ -412,21 +460,29 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(texts.mapInArrow(_sign(words), SIGNED), "signatures")
     count, size = signed.agg(F.count("*"), F.sum("bytes")).first()
-    n = max(partitions(docs.sparkSession), count // PART_ROWS, (size or 0) // PART_BYTES)
+    grown = max(count // PART_ROWS, (size or 0) // PART_BYTES)
+    n, few = max(partitions(docs.sparkSession), grown), max(2 * docs.sparkSession.sparkContext.defaultParallelism, grown)
     named = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.max("bytes").alias("bytes"), F.first("signature").alias("signature")), "set-classes")
+    classes = written(named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.max("bytes").alias("bytes"), F.first("signature").alias("signature")).coalesce(few), "set-classes")
 
     with scratch():
-        # Regions of the forest: rows that share SHALLOW minhashes with another, sorted; a crowded run may span tasks, another doesn't
-        forest = written(classes.select("node", "signature").mapInArrow(_plant, "node long, tree int, crowd long, path binary"), "forest")
-        crowds = written(forest.groupBy("crowd").agg(F.count("*").alias("c")).where("c > 1"), "crowds")
-        met = forest.join(crowds, "crowd")
-        crowded, head = F.col("c") > REGION, F.substring("path", 1, 4 * SHALLOW)
-        placed = met.select("node", "tree", "path", F.when(crowded, F.col("path")).otherwise(head).alias("range"), F.when(crowded, F.col("node")).alias("salt"))
-        ordered = placed.repartitionByRange(n, "tree", "range", "salt").sortWithinPartitions("tree", "path", "node")
-        regions = written(ordered.select("node", "tree", "path").mapInArrow(_neighbours(REGION, WINDOW), "node long, region long"), "regions")
+        # Regions of the forest: rows that share SHALLOW minhashes with another. Only those of crowded runs need their paths, sorted; such a run may span tasks
+        signed_nodes = classes.select("node", "signature")
+        planted = signed_nodes.mapInArrow(_crowds, "node long, crowd long")
+        crowds = written(planted.groupBy("crowd").agg(F.count("*").alias("c")).where("c > 1").coalesce(few), "crowds")
+        runs = written(crowds.where(F.col("c") > REGION).select("crowd").coalesce(1 + count // PART_ROWS), "crowded-runs")  # at most one for REGION documents and order
+        small = crowds.where(F.col("c") <= REGION).select(F.col("crowd").alias("region"))
+        # by shuffle at every size: the runs grow with the corpus
+        regions = planted.withColumnRenamed("crowd", "region").join(small.hint("merge"), "region").select("node", "region").coalesce(few)
+        crowded = None
+        if runs.limit(1).count():
+            forest = signed_nodes.mapInArrow(_plant, "node long, tree int, crowd long, path binary")
+            crowded = written(forest.join(runs, "crowd"), "crowded")
+            ordered = crowded.select("node", "tree", "path").repartitionByRange(n, "tree", "path", "node").coalesce(few).sortWithinPartitions("tree", "path", "node")
+            regions = regions.unionByName(ordered.mapInArrow(_neighbours(REGION, WINDOW), "node long, region long"))
+        regions = written(regions, "regions")
         sketches = classes.select("node", "n", "bytes", "signature").mapInArrow(_sketch, "node long, n long, bytes long, sketch binary")
-        candidates = regions.join(sketches, "node").repartition(n, "region").sortWithinPartitions("region").mapInArrow(_candidates(percent), "a long, b long")
+        candidates = written(_dealt(regions.join(sketches, "node"), n, few, "region").mapInArrow(_candidates(percent), "a long, b long"), "candidates")
         labels = connected_components(candidates)
         roots = labels.select(F.col("label").alias("node"), "label").distinct()
         members = labels.unionByName(roots)
@@ -434,17 +490,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
         # Exact comparison in blocks
         known = classes.select("node", "n", "d1", "d2")
         one_text = texts.withColumnRenamed("doc_id", "node")  # by shuffle at every size: the members grow with the corpus
-        content = written(one_text.join(members.hint("merge"), "node").select("label", "node", F.octet_length("text").cast("long").alias("bytes"), "text"), "candidate-texts")
-        several = written(content.groupBy("label").agg(_parts().alias("parts")).where("parts > 1"), "large-components")
+        content = written(one_text.join(members.hint("merge"), "node").select("label", "node", F.octet_length("text").cast("long").alias("bytes"), "text").coalesce(few), "candidate-texts")
+        several = written(content.groupBy("label").agg(_parts().alias("parts")).where("parts > 1").coalesce(few), "large-components")
         parts = F.coalesce("parts", F.lit(1))
-        dealt = content.join(several, "label", "left").withColumn("part", F.pmod(F.xxhash64("node"), parts))
-        found = written(dealt.repartition(n, "label", "part").sortWithinPartitions("label", "part").mapInArrow(_confirm(words, percent), "a long, b long"), "links")
+        blocks = content.join(several, "label", "left").withColumn("part", F.pmod(F.xxhash64("node"), parts))
+        found = written(_dealt(blocks, n, few, "label", "part").mapInArrow(_confirm(words, percent), "a long, b long"), "links")
         if several.limit(1).count():
-            found = _across_blocks(content.join(several, "label"), found, regions, sketches, words, percent, n)
+            found = _across_blocks(content.join(several, "label"), found, regions, sketches, words, percent, n, few)
         final = connected_components(found)
-        rest = _cut_apart(forest, crowds, final)
-        if rest.limit(1).count():
-            final = connected_components(found.unionByName(_across_cuts(one_text, rest, words, percent, n)))
+        rest = crowded and _cut_apart(crowded, final, few)
+        if rest and rest.limit(1).count():
+            final = connected_components(found.unionByName(_across_cuts(one_text, rest, words, percent, n, few)))
         final = written(final, "components", lasting=True)
 
     reps = signed.join(known, ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node"))
@@ -452,7 +508,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _across_blocks(large: DataFrame, found: DataFrame, regions: DataFrame, sketches: DataFrame, words: int, percent: int, n: int) -> DataFrame:
+def _across_blocks(large: DataFrame, found: DataFrame, regions: DataFrame, sketches: DataFrame, words: int, percent: int, n: int, few: int) -> DataFrame:
     """``found`` with the links between the blocks of components that have several."""
 
     def parts(edges: DataFrame) -> DataFrame:
@@ -461,7 +517,7 @@ def _across_blocks(large: DataFrame, found: DataFrame, regions: DataFrame, sketc
 
     def confirmed(groups: DataFrame) -> DataFrame:
         content = groups.join(large.select("node", "text"), "node")
-        return written(content.repartition(n, "label", "part").sortWithinPartitions("label", "part").mapInArrow(_confirm(words, percent), "a long, b long"), "links")
+        return written(_dealt(content, n, few, "label", "part").mapInArrow(_confirm(words, percent), "a long, b long"), "links")
 
     firsts = parts(found).where("node = own")
     crowd = firsts.groupBy("label").agg(_parts().alias("heads"))
@@ -469,16 +525,15 @@ def _across_blocks(large: DataFrame, found: DataFrame, regions: DataFrame, sketc
     found = found.unionByName(confirmed(met.select("label", "part", "node")))
     placed = regions.join(parts(found).select("node", "own"), "node")
     mixed = placed.groupBy("region").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("region")
-    asking = placed.join(mixed, "region").join(sketches, "node").repartition(n, "region").sortWithinPartitions("region").mapInArrow(_apart(percent, COMPARED_BYTES // 2), "label long, part long, node long, own long")
+    asking = _dealt(placed.join(mixed, "region").join(sketches, "node"), n, few, "region").mapInArrow(_apart(percent, COMPARED_BYTES // 2), "label long, part long, node long, own long")
     return found.unionByName(confirmed(asking))
 
 
-def _cut_apart(forest: DataFrame, crowds: DataFrame, components: DataFrame) -> DataFrame:
-    """(node, own) of documents in crowded runs that hold several components."""
-    crowded = forest.join(crowds.where(F.col("c") > REGION).select("crowd"), "crowd").select("crowd", "node")
-    owned = written(crowded.join(components.select("node", F.col("label").alias("own")), "node", "left").withColumn("own", F.coalesce("own", "node")), "crowded")
+def _cut_apart(crowded: DataFrame, components: DataFrame, few: int) -> DataFrame:
+    """(node, own) of documents in ``crowded`` runs that hold several components."""
+    owned = written(crowded.select("crowd", "node").join(components.select("node", F.col("label").alias("own")), "node", "left").withColumn("own", F.coalesce("own", "node")).coalesce(few), "crowd-owns")
     mixed = owned.groupBy("crowd").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("crowd")
-    return written(owned.join(mixed, "crowd").select("node", "own").distinct(), "cut-apart")
+    return written(owned.join(mixed, "crowd").select("node", "own").distinct().coalesce(few), "cut-apart")
 
 
 def _shingled(words: int):
@@ -496,36 +551,35 @@ def _shingled(words: int):
     return run
 
 
-def _across_cuts(texts: DataFrame, rest: DataFrame, words: int, percent: int, n: int) -> DataFrame:
+def _across_cuts(texts: DataFrame, rest: DataFrame, words: int, percent: int, n: int, few: int) -> DataFrame:
     """Links between documents of ``rest`` (node, own) whose ``own`` differs, all of them: a join by the rarest shingles of each set.
 
     Of shingles that have the same documents one is enough. The documents of
     one are dealt into heaps, those of a large ``own`` into heaps of its own;
     every two heaps that hold more than one ``own`` between them meet.
     """
-    content = written(texts.join(rest, "node").where("text IS NOT NULL"), "cut-texts")
+    content = written(texts.join(rest, "node").where("text IS NOT NULL").coalesce(few), "cut-texts")
     named = content.select("node", "own", F.xxhash64("text").alias("whole"), "text")  # an id may stand for several texts, or be repeated with one
     shingles = written(named.mapInArrow(_shingled(words), "node long, own long, whole long, bytes long, n long, key long"), "cut-shingles")
     asked = shingles.join(shingles.groupBy("key").agg(F.count("*").alias("df")), "key")
     rank = F.dense_rank().over(Window.partitionBy("node", "whole").orderBy("df", "key"))
     prefix = asked.withColumn("rank", rank).where(f"rank <= n - ({percent} * n + 99) div 100 + 1 AND df > 1").groupBy("key", "node", "own").agg(F.max("bytes").alias("bytes"))
-    prefix = written(prefix, "cut-prefixes")
+    prefix = written(prefix.coalesce(few), "cut-prefixes")
 
     members = F.sum(F.xxhash64("node").cast("decimal(38,0)")), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)"))
     mixed = prefix.groupBy("key").agg(F.count("*").alias("c"), members[0].alias("m1"), members[1].alias("m2"), F.min("own").alias("low"), F.max("own").alias("high")).where("low < high")
     once = mixed.groupBy("c", "m1", "m2").agg(F.min("key").alias("key")).select("key")
-    met = written(prefix.join(once, "key"), "cut-buckets")
-
+    met = written(prefix.join(once, "key").coalesce(few), "cut-buckets")
     half = lambda rows, size: F.greatest(F.ceil(rows / (BLOCK // 2)), F.ceil(size / (COMPARED_BYTES // 2))).cast("long")
     owns = met.groupBy("key", "own").agg(F.count("*").alias("c"), F.sum("bytes").alias("size")).withColumn("parts", half(F.col("c"), F.col("size")))
     small = owns.where("parts = 1").groupBy("key").agg(half(F.sum("c"), F.sum("size")).alias("shared"))
     heap = F.when(F.col("parts") > 1, F.xxhash64("own", F.pmod(F.xxhash64("node", F.lit(2)), "parts"))).otherwise(F.pmod(F.xxhash64("own"), "shared"))
     dealt = met.join(owns.select("key", "own", "parts"), ["key", "own"]).join(small, "key", "left").select("key", "node", "own", heap.alias("heap"))
-    dealt = written(dealt, "cut-heaps")
+    dealt = written(dealt.coalesce(few), "cut-heaps")
     heaps = dealt.groupBy("key", "heap").agg(F.min("own").alias("low"), F.max("own").alias("high"))
     other = heaps.select("key", F.col("heap").alias("heap2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     two = heaps.join(other, "key").where("heap <= heap2 AND least(low, low2) < greatest(high, high2)")
     two = two.select("key", F.xxhash64("heap", "heap2").alias("part"), F.explode(F.array_distinct(F.array("heap", "heap2"))).alias("heap"))
     groups = dealt.join(two, ["key", "heap"]).select(F.col("key").alias("label"), "part", "node", "own")
-    gathered = groups.join(content.select("node", "text"), "node").repartition(n, "label", "part").sortWithinPartitions("label", "part")
-    return written(gathered.mapInArrow(_confirm(words, percent), "a long, b long"), "links")
+    gathered = groups.join(content.select("node", "text"), "node")
+    return written(_dealt(gathered, n, few, "label", "part").mapInArrow(_confirm(words, percent), "a long, b long"), "links")
