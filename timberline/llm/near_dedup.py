@@ -41,10 +41,11 @@ and wherever a task's range ends.
 
 Tasks take regions and blocks one after another, in sorted order, and hold a
 batch and one of them at a time; shuffles get more partitions as the corpus
-grows (``PART_ROWS``, ``PART_BYTES``). What comes out of them is read by no more
-tasks than that, or two a core, however many partitions the session has: most
-tables here are far smaller than the corpus. Runs are counted and joined as
-(document, hash); paths move for crowded runs only.
+grows (``PART_ROWS``, ``PART_BYTES``). What comes out of them is read by a task
+for every ``TASK_ROWS`` documents or ``CHUNK_BYTES`` of text, two a core at least,
+and not by more, however many partitions the session has: most tables here are
+far smaller than the corpus. Runs are counted and joined as (document, hash);
+paths move for crowded runs only.
 
 Defined results: a text with fewer words than a shingle is one shingle of all
 its words; a null text or one without words has no set and is linked with
@@ -59,7 +60,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import discard, partitions, scratch, written
+from ._spark import CHUNK_BYTES, discard, partitions, scratch, written
 from ._text import mix64, text_blocks, word_hashes
 
 TREES, DEPTH, SHALLOW = 16, 8, 3
@@ -68,6 +69,8 @@ REGION, WINDOW, BLOCK = 512, 64, 1000
 COMPARED_BYTES = 32 << 20
 #: Documents, and bytes of their texts, behind one partition of a shuffle.
 PART_ROWS, PART_BYTES = 128_000, 128 << 20
+#: Documents, beside CHUNK_BYTES of their texts, behind one task that reads a shuffle.
+TASK_ROWS = 16_000
 #: The most edges (16 bytes each) that one task folds to components; more are first reduced by star steps.
 FOLDED = 1 << 17
 #: How far below the wanted similarity a sketch may fall and still be checked; over four standard deviations.
@@ -460,8 +463,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(texts.mapInArrow(_sign(words), SIGNED), "signatures")
     count, size = signed.agg(F.count("*"), F.sum("bytes")).first()
-    grown = max(count // PART_ROWS, (size or 0) // PART_BYTES)
-    n, few = max(partitions(docs.sparkSession), grown), max(2 * docs.sparkSession.sparkContext.defaultParallelism, grown)
+    n = max(partitions(docs.sparkSession), count // PART_ROWS, (size or 0) // PART_BYTES)
+    few = max(2 * docs.sparkSession.sparkContext.defaultParallelism, count // TASK_ROWS, (size or 0) // CHUNK_BYTES)
     named = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.max("bytes").alias("bytes"), F.first("signature").alias("signature")).coalesce(few), "set-classes")
 
